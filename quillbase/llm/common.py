@@ -34,7 +34,7 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """df, written to the shared folder and read again: its lineage ends there, and lost executors cost no recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

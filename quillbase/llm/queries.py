@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from .decontaminate import OP4_SQL, op4_decontaminate
+from .lm_scores import op3_lm_scores
+from .media import op5_media
 from .simhash import op2_simhash
 from .token_counts import op1_token_counts
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_simhash": op2_simhash,
+    "op3_lm_scores": op3_lm_scores,
+    "op4_decontaminate": op4_decontaminate,
+    "op5_media": op5_media,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_decontaminate": OP4_SQL,
+}
