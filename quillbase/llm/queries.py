@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from .byte_bpe import op8_byte_bpe
 from .decontaminate import OP4_SQL, op4_decontaminate
 from .lm_scores import op3_lm_scores
 from .media import op5_media
 from .simhash import op2_simhash
 from .token_counts import op1_token_counts
+from .toxicity import op10_toxicity
+from .url_filter import OP9_SQL, op9_url_filter
+from .warc import op6_warc
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
@@ -14,8 +18,13 @@ QUERIES = {
     "op3_lm_scores": op3_lm_scores,
     "op4_decontaminate": op4_decontaminate,
     "op5_media": op5_media,
+    "op6_warc": op6_warc,
+    "op8_byte_bpe": op8_byte_bpe,
+    "op9_url_filter": op9_url_filter,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_decontaminate": OP4_SQL,
+    "op9_url_filter": OP9_SQL,
 }
