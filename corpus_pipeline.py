@@ -1,7 +1,80 @@
-"""Documents to token ids: the stages, each written as Parquet and read again for the next."""
-STAGES: list = []
+"""Documents to token ids, in stages; each is written as Parquet and read again as the next one's documents.
+
+1. toxicity: documents predicted toxic go.
+2. near-duplicates by SimHash (the operator's own contract: 3-word shingles, links at 3 differing bits): of each
+   group the document with the smallest id stays, once. Documents without an id can't be told apart and stay.
+3. benchmark decontamination: documents that hold a window of a benchmark item go.
+4. personal data: spans give way to the name of their kind; n_chars follows.
+5. byte-level BPE: ids of each text, with the digests of ids and of the decoded bytes.
+
+All but the last return the columns of documents, whatever they are. Documents that no stage objects to come through
+unchanged. A null text is kept by every stage and has no ids.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillbase.llm import byte_bpe, decontaminate, pii, simhash, toxicity
+from quillbase.llm.common import shared_dir, table
+
+
+def _kept(docs: DataFrame, made: DataFrame) -> DataFrame:
+    return made.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    judged = toxicity.with_toxicity(docs, model, keep=tuple(c for c in docs.columns if c not in ("score", "predicted")))
+    return _kept(docs, judged.where("predicted = 0"))
+
+
+def duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    groups = simhash.near_duplicates(docs)
+    first = groups.where("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return _kept(docs, kept.unionByName(docs.where("doc_id is null")))
+
+
+def benchmark_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = decontaminate.with_hits(docs, table(spark, sf_dir, "benchmark"), keep=tuple(docs.columns))
+    return _kept(docs, found.where("n_hit = 0"))
+
+
+def personal_data_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = pii.with_spans(docs, pii.train(docs), keep=tuple(docs.columns))
+    changed = found.where("text is not null").withColumn("text", F.col("redacted"))
+    if "n_chars" in docs.columns:
+        changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return _kept(docs, changed).unionByName(docs.where("text is null"))
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return byte_bpe.with_token_digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), ids=True)
+
+
+STAGES = [
+    ("toxicity", toxic_out),
+    ("simhash", duplicates_out),
+    ("decontaminate", benchmark_out),
+    ("pii", personal_data_out),
+    ("byte_bpe", token_ids),
+]
+
+#: SQL can express neither the learnt stages nor the hashes; tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for place, (name, stage) in enumerate(STAGES):
+        path = f"{folder}/{place}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

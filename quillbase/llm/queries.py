@@ -6,6 +6,7 @@ from .byte_bpe import op8_byte_bpe
 from .decontaminate import OP4_SQL, op4_decontaminate
 from .lm_scores import op3_lm_scores
 from .media import op5_media
+from .pii import op7_pii
 from .simhash import op2_simhash
 from .token_counts import op1_token_counts
 from .toxicity import op10_toxicity
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_decontaminate": op4_decontaminate,
     "op5_media": op5_media,
     "op6_warc": op6_warc,
+    "op7_pii": op7_pii,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_url_filter": op9_url_filter,
     "op10_toxicity": op10_toxicity,
