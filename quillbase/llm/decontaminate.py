@@ -15,7 +15,6 @@ document is contaminated. Columns not asked for are dropped.
 
 from __future__ import annotations
 
-import hashlib
 import re
 
 import ahocorasick
@@ -27,7 +26,7 @@ from .common import per_document, table
 WINDOW = 10
 MAX_PATTERN_BYTES = 32 << 20
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
-_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 
 def normal(text: str | None) -> tuple[str, int]:
