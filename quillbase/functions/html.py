@@ -8,6 +8,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Elements removed with all they hold, attributes that can run code, and addresses that must not stay.
 DANGEROUS = frozenset("script iframe object embed frame frameset meta base link".split())
@@ -87,6 +88,10 @@ def clean(root: Node) -> Node:
     return root
 
 
+def escape(text: str) -> str:
+    return text.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
+
+
 def write(root: Node) -> str:
     out, todo = [], [root]
     while todo:
@@ -94,14 +99,14 @@ def write(root: Node) -> str:
         if isinstance(x, str):
             out.append(x)
         elif not x.tag:
-            todo += reversed(x.parts)
+            todo += [escape(y) if isinstance(y, str) else y for y in reversed(x.parts)]
         else:
             attrs = "".join(f' {k}="{v.replace("&", "&amp;").replace(chr(34), "&quot;")}"' for k, v in x.attrs.items())
             out.append(f"<{x.tag}{attrs}>")
             if x.tag not in _EMPTY:
                 escaped = x.tag not in ("style", "script")
                 todo.append(f"</{x.tag}>")
-                todo += [y.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;") if isinstance(y, str) and escaped else y for y in reversed(x.parts)]
+                todo += [escape(y) if isinstance(y, str) and escaped else y for y in reversed(x.parts)]
     return "".join(out)
 
 
@@ -207,31 +212,32 @@ def _article(html: str | None) -> dict:
     return {"title": name, "markdown": markdown(node), "text": text, "byline": byline, "site_name": None, "published_time": None, "og_image": None, "needs_fallback": len(text) < MIN_TEXT, "images": images}
 
 
-_ARTICLE = "title string, markdown string, text string, byline string, site_name string, published_time string, og_image string, needs_fallback boolean, images array<struct<src: string, alt: string>>"
+_FIELDS = ("title", "markdown", "text", "byline", "site_name", "published_time", "og_image")
+_ARTICLE = T.StructType([T.StructField(f, T.StringType()) for f in _FIELDS]).add("needs_fallback", T.BooleanType()).add("images", T.ArrayType(T.StructType().add("src", T.StringType()).add("alt", T.StringType())))
 
 
-@F.pandas_udf(_ARTICLE)
-def _article_udf(html: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([_article(x) for x in html], columns=["title", "markdown", "text", "byline", "site_name", "published_time", "og_image", "needs_fallback", "images"])
+def _articles(html: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([_article(x) for x in html], columns=_ARTICLE.names)
 
 
-@F.pandas_udf("string")
-def _sanitize_udf(html: pd.Series) -> pd.Series:
+def _sanitized(html: pd.Series) -> pd.Series:
     def one(x):
         root = clean(parse(x))
         body = next((n for n in root.all() if n.tag == "body"), None)
-        return "".join(write(p) if isinstance(p, Node) else p for p in (body or root).parts)
+        inner = Node("")
+        inner.parts = (body or root).parts
+        return write(inner)
 
     return html.map(one)
 
 
 def article(html: Column) -> Column:
     """A struct of the article: title, markdown, text, byline, needs_fallback, images."""
-    return _article_udf(html)
+    return F.pandas_udf(_articles, _ARTICLE)(html)
 
 
 def sanitize(html: Column) -> Column:
-    return _sanitize_udf(html)
+    return F.pandas_udf(_sanitized, T.StringType())(html)
 
 
 def anchors(html: Column) -> Column:

@@ -7,14 +7,14 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _form(name: str):
-    @F.pandas_udf("string")
     def normal(text: pd.Series) -> pd.Series:
         return text.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize(name, x))
 
-    return normal
+    return F.pandas_udf(normal, T.StringType())
 
 
 def nfc(text: Column) -> Column:

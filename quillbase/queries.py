@@ -283,9 +283,9 @@ def a01_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def t02_session_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same by the stateful stream, over all there is; each batch's rows are written, the last of a session counts."""
     static = read(spark, sf_dir, "conversations")
-    source = spark.readStream.schema(static.schema).parquet(f"{sf_dir}/conversations.parquet" if static.inputFiles()[0].count("/conversations.parquet/") else _only_file(sf_dir))
+    source = spark.readStream.schema(static.schema).parquet(f"{sf_dir}/conversations.parque[t]")  # a pattern, so it may be a file
     out = f"{_shared(spark)}/session-stream-{uuid.uuid4().hex}"
-    put = lambda df, n: df.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{out}/rows/batch={n}")
+    put = lambda df, n: df.write.mode("overwrite").parquet(f"{out}/rows/batch={n}")
     q = sessions.stream(conversation_events(source)).writeStream.outputMode("update").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).foreachBatch(put).start()
     q.awaitTermination()
     rows = spark.read.parquet(f"{out}/rows")
@@ -293,10 +293,6 @@ def t02_session_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.select("session_id", "r.file", "r.prompts", "r.turns")
 
 
-def _only_file(sf_dir: str) -> str:
-    return f"{sf_dir}/conversations.parque[t]"
-
-
 def _shared(spark: SparkSession) -> str:
     import tempfile
 

@@ -81,20 +81,20 @@ def block(events: DataFrame, stdout_chars: int = 2000, lenient: bool = True) ->
     )
 
 
-_STATE = "first_seq long, prompt string, ts timestamp, ended timestamp, prompts long, turns long, commands long, edits long"
-_OUT = "session_id string, prompt string, started timestamp, ended timestamp, prompts long, turns long, commands long, edits long"
+_STATE = "first_seq long, title string, ts timestamp, ended timestamp, prompts long, turns long, commands long, edits long"
+_OUT = "session_id string, title string, started timestamp, ended timestamp, prompts long, turns long, commands long, edits long"
 
 
 def _advance(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Events arrive in order of seq within a session; those before its first prompt are forgotten."""
-    first, prompt, ts, ended, *sums = state.get if state.exists else (None, None, None, None, 0, 0, 0, 0)
+    first, title, ts, ended, *sums = state.get if state.exists else (None, None, None, None, 0, 0, 0, 0)
     for frame in frames:
         frame = frame.sort_values("seq")
         if first is None:
             starts = frame[frame["prompts"] == 1]
             if starts.empty:
                 continue
-            first, prompt, ts = int(starts["seq"].iloc[0]), starts["prompt"].iloc[0], starts["ts"].iloc[0]
+            first, title, ts = int(starts["seq"].iloc[0]), starts["title"].iloc[0], starts["ts"].iloc[0]
         frame = frame[frame["seq"] >= first]
         sums = [int(a + frame[c].sum()) for a, c in zip(sums, ("prompts", "turns", "commands", "edits"), strict=True)]
         over = frame.loc[frame["hook_event_name"] == "SessionEnd", "ts"]
@@ -102,16 +102,17 @@ def _advance(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator
             ended = over.max() if ended is None else max(ended, over.max())
     if first is None:
         return
-    state.update((first, prompt, ts, ended, *sums))
-    yield pd.DataFrame([(key[0], prompt, ts, ended, *sums)], columns=["session_id", "prompt", "started", "ended", "prompts", "turns", "commands", "edits"])
+    state.update((first, title, ts, ended, *sums))
+    yield pd.DataFrame([(key[0], title, ts, ended, *sums)], columns=["session_id", "title", "started", "ended", "prompts", "turns", "commands", "edits"])
 
 
 def stream(events: DataFrame) -> DataFrame:
     """The rollup of a stream of events, in update mode: a session's row after each batch that has events of it."""
-    e = recorded(events).select("session_id", "seq", "ts", "hook_event_name", "prompt", "prompts", "turns", "commands", "edits")
+    # titles are made before the state: Spark can't run a Python function right on what this operator returns
+    title = session_title(mask(F.coalesce("prompt", F.lit(""))))
+    e = recorded(events).select("session_id", "seq", "ts", "hook_event_name", title.alias("title"), "prompts", "turns", "commands", "edits")
     out = e.groupBy("session_id").applyInPandasWithState(_advance, _OUT, _STATE, "update", GroupStateTimeout.NoTimeout)
-    title = session_title(mask(F.col("prompt")))
-    return out.select("session_id", session_file(F.col("started"), F.col("session_id"), title).alias("file"), title.alias("title"), "started", "ended", "prompts", "turns", "commands", "edits")
+    return out.select("session_id", session_file(F.col("started"), F.col("session_id"), F.col("title")).alias("file"), "title", "started", "ended", "prompts", "turns", "commands", "edits")
 
 
 def activity(events: DataFrame, ts: str = "ts", length: str = "1 day", late: str | None = None) -> DataFrame:
