@@ -22,34 +22,45 @@ from quillbase.llm import byte_bpe, decontaminate, pii, simhash, toxicity
 from quillbase.llm.common import shared_dir, table
 
 
-def _kept(docs: DataFrame, made: DataFrame) -> DataFrame:
-    return made.select(*[F.col(f"`{c}`") for c in docs.columns])
+def _apply(docs: DataFrame, operator, then) -> DataFrame:
+    """The columns of docs for the rows that operator and then leave; their names can't clash with the operator's.
+
+    operator(df, text column, all columns) adds its columns; then(df, column) filters or changes, where column(name) is
+    the coded name of a column of docs.
+    """
+    coded = {c: f"_{k}" for k, c in enumerate(docs.columns)}
+    made = operator(docs.toDF(*coded.values()), coded["text"], tuple(coded.values()))
+    return then(made, coded).select(*[F.col(v).alias(c) for c, v in coded.items()])
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    judged = toxicity.with_toxicity(docs, model, keep=tuple(c for c in docs.columns if c not in ("score", "predicted")))
-    return _kept(docs, judged.where("predicted = 0"))
+    return _apply(docs, lambda d, text, keep: toxicity.with_toxicity(d, model, text, keep), lambda d, _: d.where("predicted = 0"))
 
 
 def duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = simhash.near_duplicates(docs)
     first = groups.where("doc_id = component_id").select("doc_id").distinct()
     kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return _kept(docs, kept.unionByName(docs.where("doc_id is null")))
+    return kept.select(docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def benchmark_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate.with_hits(docs, table(spark, sf_dir, "benchmark"), keep=tuple(docs.columns))
-    return _kept(docs, found.where("n_hit = 0"))
+    items = table(spark, sf_dir, "benchmark")
+    return _apply(docs, lambda d, text, keep: decontaminate.with_hits(d, items, text, keep), lambda d, _: d.where("n_hit = 0"))
 
 
 def personal_data_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = pii.with_spans(docs, pii.train(docs), keep=tuple(docs.columns))
-    changed = found.where("text is not null").withColumn("text", F.col("redacted"))
-    if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return _kept(docs, changed).unionByName(docs.where("text is null"))
+    tagger = pii.train(docs)
+
+    def change(d: DataFrame, coded: dict[str, str]) -> DataFrame:
+        text = coded["text"]
+        d = d.withColumn(text, F.when(F.col(text).isNotNull(), F.col("redacted")))
+        if "n_chars" in coded:
+            d = d.withColumn(coded["n_chars"], F.length(text).cast(docs.schema["n_chars"].dataType))
+        return d
+
+    return _apply(docs, lambda d, text, keep: pii.with_spans(d, tagger, text, keep), change)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

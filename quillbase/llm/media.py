@@ -126,7 +126,7 @@ def with_tiles(df: DataFrame, image_col: str, keep: tuple[str, ...] = ("doc_id",
     names = ("height", "width", "tile", "dhash", "error")
     kept = [c for c in keep if c not in names]
     src = df.select(*kept, F.col(image_col).alias("__image__"))
-    schema = T.StructType([src.schema[c] for c in kept]).add("height", "int").add("width", "int").add("tile", "binary").add("dhash", "string").add("error", "string")
+    schema = T.StructType([src.schema[c] for c in kept]).add("height", "integer").add("width", "integer").add("tile", "binary").add("dhash", "string").add("error", "string")
 
     def run(batches):
         for batch in batches:
