@@ -378,16 +378,25 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Ta
 # ---- finding
 
 
-def _plausible(kind: str, span: str) -> bool:
-    digits = re.sub(r"[^0-9]", "", span)
-    if kind == "email":
-        return bool(re.fullmatch(r"(?i)[a-z0-9._%+-]+\s?(?:@|[\[({<] ?at ?[\])}>])\s?[a-z0-9-]+(?:\s?(?:\.|[\[({<] ?dot ?[\])}>])\s?[a-z0-9-]+)+", span.strip()))
-    if kind == "ip":
-        parts = re.split(r"[^0-9]+", span)
-        return bool(re.fullmatch(r"[0-9\s.\[\](){}dot]+", span)) and len(parts) == 4 and all(p and _byte(p) for p in parts)
-    if kind == "card":
-        return bool(re.fullmatch(r"[0-9]{4}(?:(?:\s{1,2}|\s?[-./_]\s?)[0-9]{1,4}){3,4}", span)) and 16 <= len(digits) <= 19 and luhn(digits)
-    return bool(re.fullmatch(r"(?:[0-9]{1,3}[ .-]?)?\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4,6}", span)) and len(digits) <= 15
+_CORES = {
+    "email": re.compile(r"(?i)[a-z0-9._%+-]+\s?(?:@|[\[({<] ?at ?[\])}>])\s?[a-z0-9-]+(?:\s?(?:\.|[\[({<] ?dot ?[\])}>])\s?[a-z0-9-]+)+"),
+    "ip": re.compile(r"[0-9]+(?:\s?(?:\.|[\[({<] ?(?:\.|dot) ?[\])}>])\s?[0-9]+){3}"),
+    "card": re.compile(r"[0-9]{4}(?:(?:\s{1,2}|\s?[-./_]\s?)[0-9]{1,4}){3,4}"),
+    "phone": re.compile(r"(?:[0-9]{1,3}[ .-]?)?\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4,6}"),
+}
+
+
+def _core(kind: str, text: str, a: int, b: int) -> tuple[int, int] | None:
+    """The part of a span that is data of its kind, without words around it; None if there is none."""
+    match = _CORES[kind].search(text, a, b)
+    if not match:
+        return None
+    digits = re.sub(r"[^0-9]", "", match[0])
+    if kind == "ip" and not all(map(_byte, re.findall(r"[0-9]+", match[0]))):
+        return None
+    if kind == "card" and not (16 <= len(digits) <= 19 and luhn(digits)) or kind == "phone" and len(digits) > 15:
+        return None
+    return match.span()
 
 
 def find(texts: list[str], tagger: Tagger) -> list[tuple[list, list]]:
@@ -417,13 +426,12 @@ def find(texts: list[str], tagger: Tagger) -> list[tuple[list, list]]:
     for (i, start, _), labels in zip(regions, tagger.labels([texts[i][a:b] for i, a, b in regions]), strict=True):
         text, (base, added) = texts[i], found[i]
         for kind, a, b in spans_of(labels):
-            a, b = a + start, b + start
-            while a < b and text[a].isspace():
-                a += 1
-            while b > a and (text[b - 1].isspace() or text[b - 1] in ".,;:"):
-                b -= 1
+            core = _core(kind, text, a + start, b + start)
+            if core is None:
+                continue
+            a, b = core
             apart = (a == 0 or not text[a - 1].isalnum()) and (b == len(text) or not text[b].isalnum())
-            if a < b and apart and _plausible(kind, text[a:b]) and not any(a < y and x < b for _, x, y in base + added):
+            if apart and not any(a < y and x < b for _, x, y in base + added):
                 added.append((kind, a, b))
     return found
 
