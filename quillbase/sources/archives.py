@@ -10,9 +10,10 @@ import xml.etree.ElementTree as ET
 import zipfile
 from urllib.parse import unquote
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import KBConfig
 from ..functions import html as H
@@ -128,7 +129,6 @@ def docx_text(content: bytes, config: KBConfig) -> list[dict]:
     return [{"chapter_index": 1, "chapter_total": 1, "chapter_href": "word/document.xml", "title": _first(core, "title"), "author": _first(core, "creator"), "subject": _first(core, "subject"), "text": "\n\n".join(lines), "status": status}]
 
 
-_COLUMNS = ["path", "source_sha256", "chapter_index", "chapter_total", "chapter_href", "title", "author", "subject", "text", "status"]
 _SCHEMA = "path string, source_sha256 string, chapter_index int, chapter_total int, chapter_href string, title string, author string, subject string, text string, status string"
 
 
@@ -136,22 +136,25 @@ def chapters(files: DataFrame, config: KBConfig | None = None) -> DataFrame:
     """files (path, content) of .epub and .docx as chapters; an archive that fails is one row with its status."""
     config = config or KBConfig()
 
-    def run(frames):
-        for frame in frames:
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    fields = T._parse_datatype_string(_SCHEMA).fields
+    schema = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in fields])
+
+    def run(batches):
+        for batch in batches:
             rows = []
-            for path, content, sha in frame[["path", "content", "sha"]].itertuples(index=False):
+            for path, content, sha in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 read = epub_chapters if path.lower().endswith(".epub") else docx_text
                 try:
-                    found = read(bytes(content or b""), config)
+                    found = read(content or b"", config)
                     rows += [{"path": path, "source_sha256": sha, **c} for c in found] or [{"path": path, "source_sha256": sha, "status": "empty"}]
                 except ArchiveError as e:
                     rows.append({"path": path, "source_sha256": sha, "status": e.code})
-            out = pd.DataFrame(rows, columns=_COLUMNS)
-            out[["chapter_index", "chapter_total"]] = out[["chapter_index", "chapter_total"]].astype("Int32")
-            yield out
+            yield pa.RecordBatch.from_pylist(rows, schema)
 
     wanted = files.where(F.regexp_like("path", F.lit(r"(?i)\.(epub|docx)$")))
-    return wanted.select("path", "content", F.sha2("content", 256).alias("sha")).mapInPandas(run, _SCHEMA)
+    return wanted.select("path", "content", F.sha2("content", 256).alias("sha")).mapInArrow(run, _SCHEMA)
 
 
 def reader_of(path):

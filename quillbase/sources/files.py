@@ -7,7 +7,6 @@ import subprocess
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import front_matter as fm
 from ..functions.text import base_name, first_heading, parent, strip
@@ -99,7 +98,7 @@ def pages_at(spark: SparkSession, repo: str, sha: str, sub_path: str = "") -> Da
     return spark.createDataFrame([(n, _git(repo, "show", f"{sha}:{n}")) for n in names], "path string, raw string")
 
 
-HOOK = T.StructType.fromDDL(
+HOOK = (
     "session_id string, hook_event_name string, prompt string, cwd string, transcript_path string, tool_name string, "
     "tool_input struct<command: string, file_path: string, edits: array<struct<old_string: string>>>, tool_response struct<stdout: string>, exit_reason string"
 )
