@@ -1,4 +1,7 @@
-"""Unicode normal forms: Spark has no built-in for them, so these are the only scalar functions in Python."""
+"""Unicode normal forms: Spark has no built-in for them, so these are the only scalar functions in Python.
+
+Only texts that a form could change are sent to Python; the rest stay in the JVM, and what is sent of them is a null.
+"""
 
 from __future__ import annotations
 
@@ -10,16 +13,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _form(name: str):
-    def normal(text: pd.Series) -> pd.Series:
-        return text.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize(name, x))
+def _form(name: str, text: Column, changeable: str) -> Column:
+    def normal(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: unicodedata.normalize(name, x), na_action="ignore")
 
-    return F.pandas_udf(normal, T.StringType())
+    sent = F.when(F.regexp_like(text, F.lit(changeable)), text)
+    return F.coalesce(F.pandas_udf(normal, T.StringType())(sent), text)
 
 
 def nfc(text: Column) -> Column:
-    return _form("NFC")(text)
+    """Every character below U+0300 is its own NFC."""
+    return _form("NFC", text, r"[^\x00-\u02ff]")
 
 
 def nfkc(text: Column) -> Column:
-    return _form("NFKC")(text)
+    return _form("NFKC", text, r"[^\x00-\x7f]")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import stored
+
 #: A stored hash counts only as a double-quoted 64-digit value at the start of a line.
 _STORED = r'(?m)^%s:\s*"([0-9a-fA-F]{64})"'
 
@@ -60,6 +62,16 @@ def chunk_state(chunks: DataFrame, summaries: DataFrame) -> DataFrame:
 
 
 def numbered(rows: DataFrame, base: str, order: str) -> DataFrame:
-    """Names that meet get -2, -3, ... in order. Names are dated slugs, so few rows share one."""
-    n = F.row_number().over(Window.partitionBy(base).orderBy(order))
-    return rows.withColumn("name", F.concat(base, F.when(n > 1, F.concat(F.lit("-"), n)).otherwise(""), F.lit(".md")))
+    """Names that meet get -2, -3, ... in the order of a column without ties.
+
+    One name may be shared by a large part of all rows: rows are dealt by ranges of name and order, numbered within
+    each range, and moved on by the sums of the ranges before, of which there are few.
+    """
+    dealt = stored(rows.repartitionByRange(base, order).withColumn("_part", F.spark_partition_id()), "numbered")
+    sums = dealt.groupBy(base, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(base).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sums.select(base, "_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    local = F.row_number().over(Window.partitionBy(base, "_part").orderBy(order))
+    placed = dealt.withColumn("_local", local).join(offsets, [base, "_part"])
+    n = F.col("_local") + F.col("_before")
+    return placed.withColumn("name", F.concat(base, F.when(n > 1, F.concat(F.lit("-"), n)).otherwise(""), F.lit(".md"))).drop("_part", "_local", "_before")

@@ -36,11 +36,11 @@ def bm25(pages: DataFrame, query: str, limit: int = 10, key: str = "path", text:
     stats = rows.agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("mean"), *[F.count_if(F.col(f"t{i}") > 0).alias(f"d{i}") for i in range(len(words))])
     score = F.lit(0.0)
     for i in range(len(words)):
-        t, d = F.col(f"t{i}"), F.col(f"d{i}")
-        idf = F.log((F.col("docs") - d + 0.5) / (d + 0.5) + 1)
-        score = score + idf * t * (k1 + 1) / (t + k1 * (1 - b + b * F.col("n") / F.col("mean")))
-    # stats is one row
-    scored = rows.crossJoin(F.broadcast(stats)).select(key, F.round(score, 6).alias("score"))
+        t, d = F.col(f"t{i}"), F.col(f"s.d{i}")
+        idf = F.log((F.col("s.docs") - d + 0.5) / (d + 0.5) + 1)
+        score = score + idf * t * (k1 + 1) / (t + k1 * (1 - b + b * F.col("n") / F.col("s.mean")))
+    # one row, as a scalar subquery
+    scored = rows.withColumn("s", stats.select(F.struct("*").alias("s")).scalar()).select(key, F.round(score, 6).alias("score"))
     return scored.where("score > 0").orderBy(F.desc("score"), key).limit(limit)
 
 

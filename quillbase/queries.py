@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .functions import html, text, urls
 from .operators import delta, graph, pages, search, store
 from .plans import views
+from .shared import shared_dir
 from .streaming import sessions
 
 NOW = "2024-12-31 00:00:00"
@@ -284,7 +285,7 @@ def t02_session_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same by the stateful stream, over all there is; each batch's rows are written, the last of a session counts."""
     static = read(spark, sf_dir, "conversations")
     source = spark.readStream.schema(static.schema).parquet(f"{sf_dir}/conversations.parque[t]")  # a pattern, so it may be a file
-    out = f"{_shared(spark)}/session-stream-{uuid.uuid4().hex}"
+    out = f"{shared_dir(spark)}/session-stream-{uuid.uuid4().hex}"
     put = lambda df, n: df.write.mode("overwrite").parquet(f"{out}/rows/batch={n}")
     q = sessions.stream(conversation_events(source)).writeStream.outputMode("update").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).foreachBatch(put).start()
     q.awaitTermination()
@@ -293,12 +294,6 @@ def t02_session_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.select("session_id", "r.file", "r.prompts", "r.turns")
 
 
-def _shared(spark: SparkSession) -> str:
-    import tempfile
-
-    return (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillbase-")).rstrip("/")
-
-
 @query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def w10_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.activity(read(spark, sf_dir, "events"))
