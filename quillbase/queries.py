@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import html, text, urls
 from .operators import delta, graph, pages, search, store
-from .plans import views
+from .plans import ingest, views
 from .shared import shared_dir
 from .streaming import sessions
 
@@ -384,3 +384,39 @@ def k03_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = read(spark, sf_dir, "conversations").select(F.col("role").alias("title"), F.concat_ws(" ", "conv_id", "turn", "text").alias("body"), F.array("role").alias("tags"))
     made = store.notes(c, F.lit(NOW).cast("timestamp"))
     return made.groupBy(F.regexp_extract("name", r"-mcp-([a-z]+)", 1).alias("title")).agg(F.count(F.lit(1)).alias("notes"), F.count_distinct("name").alias("names"))
+
+
+# ---- ingestion
+
+@query(r"""WITH u AS (SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)) AS host FROM pages)
+SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'skipped_within_refresh' WHEN page_id % 4 = 1 THEN 'skipped_never' WHEN page_id % 4 = 2 THEN 'dispatched_to_pdf' ELSE 'unsupported_content_type' END AS status FROM u""")
+def f06_fetch_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page under one of four conditions that are decided before it is read."""
+    p, k = read(spark, sf_dir, "pages"), F.col("page_id") % 4
+    kind = F.when(k == 2, "application/pdf").when(k == 3, "image/png").otherwise("text/html")
+    web = p.select("page_id", F.concat(F.lit("https://example.com/p/"), "page_id").alias("url"), "html", kind.alias("content_type"), F.lit(False).alias("truncated"))
+    stored = web.select(urls.file_name(F.col("url")).alias("name"), F.lit("x").alias("source_sha256"), F.when(F.col("page_id") % 4 == 1, "never").alias("refresh_days"), F.lit("2024-12-30T00:00:00Z").alias("fetched_at"))
+    done = ingest.fetched(web, stored, F.lit(NOW).cast("timestamp"))
+    return done.select(F.regexp_extract("url", r"(\d+)$", 1).cast("long").alias("page_id"), "status")
+
+
+@query()
+def x20_ingest_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page read, masked and hashed, with nothing in store yet."""
+    web = read(spark, sf_dir, "pages").select("url", "html", F.lit("text/html").alias("content_type"), F.lit(False).alias("truncated"))
+    none = spark.createDataFrame([], "name string, source_sha256 string, refresh_days string, fetched_at string")
+    return ingest.fetched(web, none, F.lit(NOW).cast("timestamp"))
+
+
+@query("""WITH p AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS page_no, unnest(l) AS text, len(l) AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)), f AS (SELECT doc_id, n FROM p WHERE n <= 1000 GROUP BY doc_id, n HAVING bool_or(regexp_matches(text, '\\S'))),
+e AS (SELECT doc_id, n, least(n, 500) AS e FROM f), b AS (SELECT *, (e + 14) // 15 AS b FROM e), c AS (SELECT *, CASE WHEN b >= 2 AND e - (b - 1) * 15 <= 5 THEN b - 1 ELSE b END AS c FROM b), i AS (SELECT *, unnest(range(0, c)) AS i FROM c),
+r AS (SELECT doc_id, n, i, CASE WHEN i = 0 THEN 1 ELSE i * 15 END AS page_first, CASE WHEN i = c - 1 THEN e ELSE (i + 1) * 15 END AS page_last FROM i)
+SELECT r.doc_id, 'pdf--' || r.doc_id || '-pp' || lpad(CAST(page_first AS VARCHAR), 3, '0') || '-' || lpad(CAST(page_last AS VARCHAR), 3, '0') || '.md' AS name, CAST(r.n AS INT) AS total_pages, sha256(MASKED) AS text_sha256
+FROM r JOIN p ON p.doc_id = r.doc_id AND page_no BETWEEN page_first AND page_last GROUP BY r.doc_id, r.n, page_first, page_last""".replace("MASKED", _masked("string_agg(text, chr(10) || chr(10) ORDER BY page_no)")))
+def s14_page_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as PDFs whose pages are their lines."""
+    d = read(spark, sf_dir, "documents").withColumn("doc", F.concat(F.lit("pdf/"), "doc_id", F.lit(".pdf")))
+    texts = d.select("doc", F.posexplode(F.split("text", "\n")).alias("at", "text")).select("doc", (F.col("at") + 1).alias("page_no"), "text")
+    meta = d.select("doc", F.sha2(F.col("text").cast("binary"), 256).alias("sha"), F.lit("Untitled").alias("title"), F.lit(False).alias("encrypted"))
+    made = ingest.page_chunks(texts, meta)
+    return made.select(F.regexp_extract("doc", r"(\d+)\.pdf$", 1).cast("long").alias("doc_id"), "name", "total_pages", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
