@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -11,47 +9,31 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_OWN_DIR: dict[str, str] = {}
+from ..shared import drop_stored, shared_dir, stored
 
+__all__ = ["drop_stored", "fold", "per_document", "sampled", "shared_dir", "stored", "table"]
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        app = spark.sparkContext.applicationId
-        if app not in _OWN_DIR:
-            _OWN_DIR[app] = tempfile.mkdtemp(prefix="quillbase-")
-            spark.sparkContext.setCheckpointDir(_OWN_DIR[app])
-        base = _OWN_DIR[app]
-    return base.rstrip("/")
-
-
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """df, written to the shared folder and read again: its lineage ends there, and lost executors cost no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_stored(df: DataFrame) -> None:
-    """Removes the folder of a table made by stored() that no later step reads."""
-    spark = df.sparkSession
-    files = df.inputFiles()
-    if files:
-        path = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def fold(id_col: str, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as an empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % n
 
 
+def sampled(df: DataFrame, key: str, most: int) -> DataFrame:
+    """At most `most` rows, by a hash of the key; equal keys stay together but for the last.
+
+    The hash first leaves about that many of all rows, so that the final sort is of few rows, however many there are.
+    """
+    n = df.count()
+    share = min(1.0, 1.5 * most / max(1, n))
+    code = F.xxhash64(key)
+    kept = df if share == 1.0 else df.where(code <= F.lit(int(share * 2**64) - 2**63))
+    return kept.orderBy(code, key).limit(most)
+
+
 def per_document(
     df: DataFrame,
     make: Callable[[], Callable[[list[str | None]], Sequence[list]]],
