@@ -30,9 +30,9 @@ def words_of(text: Column) -> Column:
 def bm25(pages: DataFrame, query: str, limit: int = 10, key: str = "path", text: str = "body", k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """Okapi BM25 for one query. Term counts stay in the rows; only sums over all pages are joined back."""
     words = sorted(set(tokens(query)))
-    found = words_of(F.col(text))
-    tf = [F.size(F.array_remove("w", q)) for q in words]
-    rows = pages.select(key, found.alias("w")).select(key, F.size("w").alias("n"), *[(F.size("w") - c).cast("double").alias(f"t{i}") for i, c in enumerate(tf)])
+    low = F.lower(text)
+    whole = lambda q: F.regexp_count(low, F.lit(rf"(?<![\p{{L}}\p{{N}}]){q}(?![\p{{L}}\p{{N}}])")) if q.isalnum() else F.lit(0)
+    rows = pages.select(key, F.regexp_count(low, F.lit(_WORD)).alias("n"), *[whole(q).cast("double").alias(f"t{i}") for i, q in enumerate(words)])
     stats = rows.agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("mean"), *[F.count_if(F.col(f"t{i}") > 0).alias(f"d{i}") for i in range(len(words))])
     score = F.lit(0.0)
     for i in range(len(words)):
