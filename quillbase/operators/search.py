@@ -31,7 +31,9 @@ def bm25(pages: DataFrame, query: str, limit: int = 10, key: str = "path", text:
     """Okapi BM25 for one query. Term counts stay in the rows; only sums over all pages are joined back."""
     words = sorted(set(tokens(query)))
     low = F.lower(text)
-    whole = lambda q: F.regexp_count(low, F.lit(rf"(?<![\p{{L}}\p{{N}}]){q}(?![\p{{L}}\p{{N}}])")) if q.isalnum() else F.lit(0)
+    near = lambda q: F.regexp_count(low, F.lit(rf"(?<![\p{{L}}\p{{N}}]){q}(?![\p{{L}}\p{{N}}])"))
+    # most texts don't hold the word at all, which is quickly seen
+    whole = lambda q: F.when(F.contains(low, F.lit(q)), near(q)).otherwise(0) if q.isalnum() else F.lit(0)
     rows = pages.select(key, F.regexp_count(low, F.lit(_WORD)).alias("n"), *[whole(q).cast("double").alias(f"t{i}") for i, q in enumerate(words)])
     stats = rows.agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("mean"), *[F.count_if(F.col(f"t{i}") > 0).alias(f"d{i}") for i in range(len(words))])
     score = F.lit(0.0)
