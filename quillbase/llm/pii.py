@@ -5,7 +5,7 @@ They are found in time linear in the text: e-mails from their "@", addresses fro
 
 The model finds what the patterns miss, data written so as to be read by people only ("name [at] host [dot] com",
 cards with dots, phones without "+"). It is trained in numpy from labelled spans: windows of a bounded sample
-(MAX_SAMPLE documents of up to MAX_CHARS characters, by a hash of the id) whose labels are the base spans, and copies of them in which a span is
+(of MAX_SCREENED documents of up to MAX_CHARS characters, by a hash of the id, MAX_SAMPLE with digits or "@") whose labels are the base spans, and copies of them in which a span is
 rewritten in such a way. It reads the surroundings of digits, "@" and bracketed "at" outside base spans, in overlapping
 windows; the windows' scores are added up for each character, weighted by the distance to the window's ends, and one
 Viterbi pass with the CRF's transitions decides each region as a whole. A span it adds must stand apart from
@@ -25,10 +25,11 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import per_document, table
+from .common import per_document, sampled, table
 
 KINDS = ("email", "ip", "card", "phone")
 MAX_SAMPLE = 300
+MAX_SCREENED = 6000
 MAX_CHARS = 20_000
 WINDOW, STRIDE, AROUND = 64, 32, 24
 HIDDEN = 16
@@ -366,12 +367,9 @@ def training_windows(texts: list[str], seed: int = 5) -> tuple[np.ndarray, np.nd
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Tagger:
-    sample = (
-        docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
-        .where((F.length("text") <= MAX_CHARS) & F.regexp_like("text", F.lit("[0-9@]")))
-        .orderBy(F.xxhash64("id"), "id", F.xxhash64("text"))
-        .limit(MAX_SAMPLE)
-    )
+    screened = sampled(docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).where(F.length("text") <= MAX_CHARS), "id", MAX_SCREENED)
+    wanted = screened.where(F.regexp_like("text", F.lit("[0-9@]")))
+    sample = wanted.orderBy(F.xxhash64("id"), "id", F.xxhash64("text")).limit(MAX_SAMPLE)
     return Tagger().fit(*training_windows([r.text for r in sample.collect()]))
 
 
