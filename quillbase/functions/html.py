@@ -123,7 +123,7 @@ def article_node(root: Node) -> Node:
     return best
 
 
-def _inline(node, base: str = "") -> str:
+def _inline(node) -> str:
     if isinstance(node, str):
         return re.sub(r"\s+", " ", node)
     if node.tag in _LEAVE_OUT:
