@@ -23,7 +23,6 @@ import unicodedata
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .common import per_document, table
 from .token_counts import load_ranks

@@ -4,9 +4,9 @@ The patterns (e-mail, IP address, payment card, phone) give the base spans, each
 They are found in time linear in the text: e-mails from their "@", addresses from runs of digits and dots.
 
 The model finds what the patterns miss, data written so as to be read by people only ("name [at] host [dot] com",
-cards with dots, phones without "+"). It is trained in numpy from labelled spans: windows of a bounded sample
-(of MAX_SCREENED documents of up to MAX_CHARS characters, by a hash of the id, MAX_SAMPLE with digits or "@") whose labels are the base spans, and copies of them in which a span is
-rewritten in such a way. It reads the surroundings of digits, "@" and bracketed "at" outside base spans, in overlapping
+cards with dots, phones without "+"). It is trained in numpy from labelled spans: windows of a bounded sample (of
+MAX_SCREENED documents of up to MAX_CHARS characters, by a hash of the id, MAX_SAMPLE with digits or "@") whose labels
+are the base spans, and copies of them in which a span is rewritten in such a way. It reads the surroundings of digits, "@" and bracketed "at" outside base spans, in overlapping
 windows; the windows' scores are added up for each character, weighted by the distance to the window's ends, and one
 Viterbi pass with the CRF's transitions decides each region as a whole. A span it adds must stand apart from
 letters and digits, hold what its kind requires (digits, Luhn's sum, parts at most 255) and not touch a base span.
@@ -17,7 +17,6 @@ are dropped. Without documents the model learns from generated spans alone.
 
 from __future__ import annotations
 
-import hashlib
 import random
 import re
 
