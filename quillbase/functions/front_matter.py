@@ -21,10 +21,12 @@ def body(text: Column) -> Column:
 
 def _value(line: Column) -> Column:
     value = strip(F.regexp_replace(line, "^[^:]*:", ""))
-    quoted = F.regexp_like(value, F.lit(r"""^("[^"]*"|'[^']*')$"""))
-    # a comment begins at " #" unless that is inside quotes
-    bare = strip(F.regexp_replace(value, r"""^((?:[^"'#]|"(?:[^"\\]|\\.)*"|'[^']*'|(?<! )#)*?) #.*$""", "$1"))
-    return F.when(quoted, value).otherwise(bare)
+    # a comment begins at " #" unless that is inside quotes; found piece by piece, since a loop over alternatives
+    # within one expression runs out of stack on long values
+    hidden = F.when(F.startswith(value, F.lit('"')) | F.startswith(value, F.lit("[")), F.regexp_replace(value, r"\\.", "__")).otherwise(value)
+    last = F.try_element_at(F.regexp_extract_all(hidden, F.lit(r""""[^"]*"?|'[^']*'?| #.*$|[^"' ]+|."""), 0), F.lit(-1))
+    bare = F.when(F.startswith(last, F.lit(" #")), strip(F.left(value, F.length(value) - F.length(last)))).otherwise(value)
+    return F.when(F.contains(value, F.lit(" #")), bare).otherwise(value)
 
 
 def parse(text: Column) -> Column:
@@ -55,8 +57,11 @@ def strings(fields: Column, key: str) -> Column:
     """A field like [a, "b, c"] as an array; a plain value is an array of one."""
     raw = fields[key]
     inner = strip(F.regexp_extract(raw, r"(?s)^\[(.*)\]$", 1))
-    parts = F.regexp_extract_all(inner, F.lit(r"""\s*("(?:[^"\\]|\\.)*"|'[^']*'|[^,]+)\s*"""), 1)
-    listed = F.when(inner == "", F.array().cast("array<string>")).otherwise(F.transform(parts, lambda x: unquoted(strip(x))))
+    # escapes are put aside while the items are found
+    aside = F.replace(F.replace(inner, F.lit("\\\\"), F.lit("\x01")), F.lit('\\"'), F.lit("\x02"))
+    back = lambda x: F.replace(F.replace(x, F.lit("\x02"), F.lit('\\"')), F.lit("\x01"), F.lit("\\\\"))
+    parts = F.regexp_extract_all(aside, F.lit(r"""\s*("[^"]*"|'[^']*'|[^,]+)\s*"""), 1)
+    listed = F.when(inner == "", F.array().cast("array<string>")).otherwise(F.transform(parts, lambda x: unquoted(strip(back(x)))))
     return F.when(F.regexp_like(raw, F.lit(r"(?s)^\[.*\]$")), listed).otherwise(F.when(string(fields, key).isNotNull(), F.array(string(fields, key))))
 
 

@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import html, text, urls
+from .functions import front_matter, html, text, urls
 from .operators import delta, graph, pages, search, store
 from .plans import ingest, views
 from .shared import shared_dir
@@ -420,3 +420,118 @@ def s14_page_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     meta = d.select("doc", F.sha2(F.col("text").cast("binary"), 256).alias("sha"), F.lit("Untitled").alias("title"), F.lit(False).alias("encrypted"))
     made = ingest.page_chunks(texts, meta)
     return made.select(F.regexp_extract("doc", r"(\d+)\.pdf$", 1).cast("long").alias("doc_id"), "name", "total_pages", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
+# ---- state of chunks, names, contexts
+
+@query("""SELECT source AS doc, count(*) AS chunks, CAST(count_if(quality IS NULL OR quality = 0) AS BIGINT) AS due, max(n_chars) AS total_pages, bool_or(n_chars > 5000) AS truncated, bool_and(regexp_replace(text, '\\s+', '', 'g') = '') AS all_empty
+FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source""")
+def a04_chunk_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as the chunks of their source; a label says whether a summary is there and of this content."""
+    d = read(spark, sf_dir, "documents").withColumn("name", F.col("doc_id").cast("string")).withColumn("sha", F.sha2("text", 256))
+    chunks = d.select(F.col("source").alias("doc"), "name", "sha", "text", F.col("n_chars").alias("total_pages"), (F.col("n_chars") > 5000).alias("truncated"))
+    summaries = d.join(read(spark, sf_dir, "labels"), "doc_id").select("name", F.when(F.col("quality") == 1, F.col("sha")).otherwise("old").alias("sha"))
+    return delta.chunk_state(chunks, summaries)
+
+
+@query(f"""WITH {_LINKED}, b AS (SELECT DISTINCT name AS f, unnest(links) AS t FROM l), a AS (SELECT DISTINCT f, lower(t) AS t FROM b)
+SELECT f AS "from", t AS "to", 'added' AS change FROM (FROM a EXCEPT FROM b) UNION ALL SELECT f, t, 'removed' FROM (FROM b EXCEPT FROM a)""")
+def j08_edge_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links before and after every page was put in lower case."""
+    p = linked(spark, sf_dir)
+    return graph.edge_diff(graph.edges(p), graph.edges(p.withColumn("body", F.lower("body"))))
+
+
+@query(f"""WITH {_LINKED}, k AS (SELECT 'wiki/' || page_id || '.md' AS path, 1 AS rank, regexp_extract(html, '<title>([^<]*)', 1) AS key FROM pages UNION ALL SELECT 'wiki/' || page_id || '.md', 0, name FROM p)
+SELECT key, path FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY rank DESC, path DESC) AS n FROM k WHERE key <> '') WHERE n = 1""")
+def j05_title_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.title_index(linked(spark, sf_dir))
+
+
+@query("""SELECT doc_id, concat_ws('-', lang, source) || CASE WHEN n > 1 THEN '-' || n ELSE '' END || '.md' AS name
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS n FROM documents)""")
+def w05_numbered_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that all want the name of their language and source."""
+    d = read(spark, sf_dir, "documents").select("doc_id", F.concat_ws("-", "lang", "source").alias("base"))
+    return delta.numbered(d, "base", "doc_id").select("doc_id", "name")
+
+
+@query("""SELECT host, sha256(html) AS sha256, concat('media/', host, '/', sha256(html), '.html') AS path, CAST(min(strlen(html)) AS BIGINT) AS size
+FROM (SELECT regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1) AS host, html FROM pages) GROUP BY host, html""")
+def k09_content_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as files of their host, each content stored once."""
+    p = read(spark, sf_dir, "pages").select(F.regexp_extract("url", "^[a-z]+://([^/?#:]*)", 1).alias("host"), F.col("html").cast("binary").alias("content"), F.lit("html").alias("ext"))
+    return store.images(p).select("host", "sha256", "path", F.octet_length("content").cast("long").alias("size"))
+
+
+@query("SELECT event_id FROM events WHERE ts < TIMESTAMP '2024-04-20 00:00:00' - INTERVAL 90 DAY")
+def k16_expired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as cached files with their times."""
+    return store.expired(read(spark, sf_dir, "events").withColumn("mtime", F.col("ts")), F.lit("2024-04-20 00:00:00").cast("timestamp")).select("event_id")
+
+
+@query("SELECT regexp_replace(url, '^[a-z]+://[^/]*/?', '') AS path, '' AS title, CAST(page_id AS DOUBLE) AS score, coalesce(html, '') AS snippet FROM pages")
+def q05_normal_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = read(spark, sf_dir, "pages").select(F.col("url").alias("file"), F.lit(None).cast("string").alias("title"), F.col("page_id").cast("string").alias("score"), F.col("html").alias("snippet"))
+    return search.normal_hits(hits)
+
+
+@query(f"WITH {_VAULT} SELECT doc_id, name, regexp_extract(path, '([^/]+)/[^/]*$', 1) AS parent, string_split(path, '/')[1] AS subdir, replace(regexp_replace(path, '^[^/]*/', ''), '/', '-') AS flat FROM v")
+def x14_path_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.col("path")
+    return vault(spark, sf_dir).select("doc_id", text.base_name(path).alias("name"), text.parent(path).alias("parent"), text.subdir(path).alias("subdir"), text.flat_name(path).alias("flat"))
+
+
+_TITLE = _strip(rf"""regexp_replace(nfc_normalize(regexp_replace(regexp_replace(regexp_replace(text, '[\x00-\x1f\x7f]', ' ', 'g'), '[/\\]', '-', 'g'), '[<>:"|?*]', '-', 'g')), '[{_WS}]+', ' ', 'g')""")
+
+
+@query(f"""WITH t AS (SELECT conv_id, turn, regexp_replace(replace({_TITLE}, ' ', '-'), '^[-.]+|[-.]+$', '', 'g') AS t FROM conversations)
+SELECT conv_id, turn, '20241231-000000-' || left(CAST(conv_id AS VARCHAR), 4) || '-' || coalesce(nullif(CASE WHEN length(t) > 50 THEN regexp_replace(left(t, 50), '^[-.]+|[-.]+$', '', 'g') ELSE t END, ''), 'untitled') || '.md' AS file FROM t""")
+def x05_session_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The file that each turn would name, were it a session's first prompt."""
+    name = text.session_file(F.lit(NOW).cast("timestamp"), F.col("conv_id").cast("string"), text.session_title(F.col("text")))
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", name.alias("file"))
+
+
+@query(r"""SELECT doc_id, sha256(translate(text, '`' || chr(10) || chr(13) || chr(92) || '$', '?????')) AS prompt_sha256, sha256('> ' || replace(text, chr(10), chr(10) || '> ')) AS callout_sha256,
+CASE WHEN length(c) > 100 THEN left(c, 100) || '…' ELSE c END AS error, sha256(CASE WHEN length(text) > 2000 THEN left(text, 2000) || ' ... (truncated)' ELSE text END) AS cut_sha256
+FROM (SELECT doc_id, text, regexp_replace(text, '[\x00-\x1f\x7f]', '', 'g') AS c FROM documents)""")
+def x25_safe_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    t = F.col("text")
+    return read(spark, sf_dir, "documents").select("doc_id", sha(text.safe_for_prompt(t)).alias("prompt_sha256"), sha(text.quote_callout(t)).alias("callout_sha256"), text.safe_for_error(t).alias("error"), sha(text.cut(t, 2000)).alias("cut_sha256"))
+
+
+@query(f"""SELECT doc_id, sha256(concat_ws(chr(10) || chr(10), nullif(hot, ''), nullif(source, ''))) AS context_sha256
+FROM (SELECT doc_id, source, {_masked("CASE WHEN length(text) > 4000 THEN left(text, 4000) || ' ... (truncated)' ELSE text END")} AS hot FROM documents)""")
+def x30_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as the hot cache beside an index that is its source."""
+    made = text.context(F.col("text"), F.col("source"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.sha2(made.cast("binary"), 256).alias("context_sha256"))
+
+
+@query(f"""SELECT conv_id, turn, sha256(CASE WHEN role = 'user' AND {_strip('text')} <> '' THEN chr(10) || '## User' || chr(10) || chr(10) || m || chr(10) WHEN role = 'assistant' AND text <> '' THEN chr(10) || '## Assistant' || chr(10) || chr(10) || m || chr(10) END) AS block_sha256
+FROM (SELECT *, {_masked('text')} AS m FROM conversations)""")
+def k01_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each turn adds to its session's file."""
+    none = F.lit(None).cast("string")
+    e = conversation_events(read(spark, sf_dir, "conversations")).select("*", none.alias("stdout"), none.alias("exit_reason"))
+    return e.select(F.col("session_id").cast("long").alias("conv_id"), F.col("seq").alias("turn"), F.sha2(sessions.block(e).cast("binary"), 256).alias("block_sha256"))
+
+
+@query(f"WITH {_LINKED} SELECT page_id, sha256(body || CASE WHEN ends_with(body, chr(10)) THEN '' ELSE chr(10) END || chr(10) || '## {text.RELATED}' || chr(10) || chr(10) || '- [[Start here]]' || chr(10)) AS body_sha256 FROM p")
+def k05_backlinks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page with a link to one page that names it."""
+    p = linked(spark, sf_dir)
+    made = graph.add_backlinks(p, p.select(F.col("name").alias("related"), F.lit("Start here").alias("target")))
+    return made.select("page_id", F.sha2(F.col("body").cast("binary"), 256).alias("body_sha256"))
+
+
+@query("SELECT doc_id, sha256(text) AS title_sha256, array_to_string([lang, source], '|') AS tags, sha256(text) AS body_sha256 FROM documents")
+def x08_front_matter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts as titles and bodies, written as front matter and read back as they were."""
+    d = read(spark, sf_dir, "documents")
+    file = front_matter.render({"title": front_matter.scalar(F.col("text")), "tags": front_matter.tag_list(F.array("lang", "source"))}, F.col("text"))
+    d = d.select("doc_id", file.alias("file")).withColumn("fields", front_matter.parse(F.col("file")))
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    return d.select("doc_id", sha(front_matter.string(F.col("fields"), "title")).alias("title_sha256"), F.array_join(front_matter.strings(F.col("fields"), "tags"), "|").alias("tags"), sha(front_matter.body(F.col("file"))).alias("body_sha256"))

@@ -110,6 +110,15 @@ def test_front_matter_round_trip(spark, values):
     assert [r.x for r in got] == [r.y if r.y is not None else "" for r in got]
 
 
+def test_long_front_matter(spark):
+    """Values far longer than a stack of expressions could hold, with quotes, escapes and number signs."""
+    value = 'a "b" \\ # it\'s, ' * 20_000
+    df = spark.createDataFrame([(value,)], "x string")
+    raw = fm.render({"k": fm.scalar(F.col("x")), "l": fm.tag_list(F.array("x", "x"))}, F.lit("b"))
+    r = df.select(fm.string(fm.parse(raw), "k").alias("k"), fm.strings(fm.parse(raw), "l").alias("l"), fm.string(fm.parse(F.concat(F.lit("---\nk: "), F.repeat(F.lit("ab "), F.lit(20_000)), F.lit("#c\n---\n"))), "k").alias("bare")).first()
+    assert r.k == value and r.l == [value, value] and r.bare == "ab " * 19_999 + "ab"
+
+
 def test_merge(spark):
     df = spark.createDataFrame([({"tags": "[a, b]", "t": "old", "n": "1"}, {"tags": "[b, c]", "t": "new", "n": "null"})], "o map<string,string>, n map<string,string>")
     assert df.select(fm.merge(F.col("o"), F.col("n")).alias("m")).first().m == {"tags": "[a, b, c]", "t": "new", "n": "1"}
