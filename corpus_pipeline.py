@@ -8,7 +8,8 @@
 5. byte-level BPE: ids of each text, with the digests of ids and of the decoded bytes.
 
 All but the last return the columns of documents, whatever they are. Documents that no stage objects to come through
-unchanged. A null text is kept by every stage and has no ids.
+unchanged. A null text is never rejected and has no
+ids; texts without words, null ones too, are near-duplicates of each other, so one of them stays.
 """
 
 from __future__ import annotations
