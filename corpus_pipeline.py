@@ -2,21 +2,22 @@
 
 1. toxicity: documents predicted toxic go.
 2. near-duplicates by SimHash (the operator's own contract: 3-word shingles, links at 3 differing bits): of each
-   group the document with the smallest id stays, once. Documents without an id can't be told apart and stay.
+   group one row stays, that of the smallest id (of rows with that id, the one with the smallest hash). Rows of one id
+   in different groups are different documents. Of a group's rows without an id one stays too.
 3. benchmark decontamination: documents that hold a window of a benchmark item go.
 4. personal data: spans give way to the name of their kind; n_chars follows.
 5. byte-level BPE: ids of each text, with the digests of ids and of the decoded bytes.
 
 All but the last return the columns of documents, whatever they are. Documents that no stage objects to come through
 unchanged. A null text is never rejected and has no
-ids; texts without words, null ones too, are near-duplicates of each other, so one of them stays.
+ids; texts without words, null ones too, are near-duplicates of each other.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillbase.llm import byte_bpe, decontaminate, pii, simhash, toxicity
@@ -39,11 +40,22 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _apply(docs, lambda d, text, keep: toxicity.with_toxicity(d, model, text, keep), lambda d, _: d.where("predicted = 0"))
 
 
+def _row_code(docs: DataFrame) -> Column:
+    """128 bits of all columns: rows with the same code are the same."""
+    hashed = [F.to_json(F.struct(f.name)) if "map<" in f.dataType.simpleString() else F.col(f.name) for f in docs.schema]
+    return F.struct(F.xxhash64(*hashed).alias("a"), F.xxhash64(F.lit(1), *hashed).alias("b"))
+
+
 def duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = simhash.near_duplicates(docs)
-    first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    def first(d: DataFrame, coded: dict[str, str]) -> DataFrame:
+        # ids can repeat or be null, so a row is known by its id and its code
+        key = coded["doc_id"]
+        groups = simhash.with_groups(d, key, coded["text"], ("code",))
+        least = groups.groupBy("root", F.isnull(key).alias("no_id")).agg(F.min(F.struct(F.col(key).alias("id"), F.col("code").alias("row"))).alias("of"))
+        kept = least.select("of.*")
+        return d.join(kept, F.col(key).eqNullSafe(F.col("id")) & (F.col("code") == F.col("row")), "left_semi").dropDuplicates([key, "code"])
+
+    return _apply(docs, lambda d, text, keep: d.withColumn("code", _row_code(d)), first)
 
 
 def benchmark_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -216,15 +216,20 @@ def components(edges: DataFrame) -> DataFrame:
         edges = after
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each input row: id_col, fingerprint (16 hex digits), component_id."""
-    docs = stored(with_fingerprints(df, text_col, (id_col,)), "simhash")
+def with_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each input row: id_col, the columns keep, fp, root (the component, never null) and component_id."""
+    docs = stored(with_fingerprints(df, text_col, (id_col, *keep)), "simhash")
     codes = docs.groupBy("fp").agg(F.min(id_col).alias("first"))
     joined = components(links(codes.select("fp")))
     roots = codes.join(joined, codes["fp"] == joined["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     named = roots.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_code = roots.join(named, "root").select("fp", "component_id")
-    return docs.join(by_code, "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    by_code = roots.join(named, "root").select("fp", "root", "component_id")
+    return docs.join(by_code, "fp").select(id_col, *keep, "fp", "root", "component_id")
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each input row: id_col, fingerprint (16 hex digits), component_id."""
+    return with_groups(df, id_col, text_col).select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -84,3 +84,14 @@ def test_odd_rows(spark, sf, odd):
     rows = docs.collect()
     assert sum(r.doc_id is None for r in rows) == 2 and len({r.doc_id for r in rows}) == len(rows) - 1
     assert P.STAGES[4][1](spark, docs, sf).count() == len(rows)
+
+
+def test_one_row_of_each_group_whatever_its_id(spark, sf):
+    """One id on many different texts loses none of them; copies, also without an id, stay once."""
+    texts = [f"text {k} of " + " ".join(f"w{k}x{i}" for i in range(30)) for k in range(8)]
+    rows = [(0, t, {"k": "v"}) for t in texts] + [(5, texts[0], None), (0, texts[1], {"k": "v"}), (0, texts[1], {"k": "u"})]
+    rows += [(None, "a copy without any id", None)] * 3 + [(None, "another text that has no id", None)]
+    got = P.duplicates_out(spark, spark.createDataFrame(rows, "doc_id long, text string, more map<string,string>"), sf)
+    assert got.columns == ["doc_id", "text", "more"]
+    want = [(0, t) for t in texts] + [(None, "a copy without any id"), (None, "another text that has no id")]
+    assert sorted((r.text, r.doc_id) for r in got.collect()) == sorted((t, i) for i, t in want)
