@@ -49,9 +49,9 @@ def missing_pages(pages: DataFrame, links: DataFrame, least: int = 1) -> DataFra
     return links.join(known, "to", "left_anti").groupBy("to").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= least)
 
 
-def broken_links(pages: DataFrame, targets: DataFrame, max_bytes: int = 2_000_000) -> DataFrame:
-    """For each page how often it links to one of the targets (column target), which are about to go."""
-    found = pages.where(F.octet_length("body") <= max_bytes).select("path", F.explode(link_targets(F.col("body"))).alias("target"))
+def broken_links(pages: DataFrame, targets: DataFrame) -> DataFrame:
+    """For each page, however large, how often it links to one of the targets (column target), which are about to go."""
+    found = pages.select("path", F.explode(link_targets(F.col("body"))).alias("target"))
     return found.join(targets.select("target").distinct(), "target", "left_semi").groupBy("path").agg(F.count(F.lit(1)).alias("occurrences"))
 
 

@@ -62,6 +62,12 @@ def test_graph(spark):
     assert [tuple(r) for r in graph.broken_links(p, spark.createDataFrame([("two",)], "target string")).collect()] == [("wiki/a/one.md", 2)]
 
 
+def test_links_of_a_large_page_count(spark):
+    p = frame(spark, [*PAGES, ("wiki/d/large.md", "large", "x", [], "", "x" * 2_000_001 + " [[two]] [[two|t]]"), ("wiki/d/null.md", "null", "x", [], "", None)])
+    got = graph.broken_links(p, spark.createDataFrame([("two",)], "target string")).collect()
+    assert {tuple(r) for r in got} == {("wiki/a/one.md", 2), ("wiki/d/large.md", 2)}
+
+
 def test_diff(spark):
     before = graph.snapshot(frame(spark))
     assert graph.diff(before, before).count() == 0
