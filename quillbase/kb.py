@@ -57,13 +57,16 @@ class KnowledgeBase:
         base = "wiki" + (f"/{checked_path(subdir)}" if subdir else "")
         return pages.listing(self.pages.select("path", "size", "mtime"), base, min(depth, self.config.list_max_depth), self.config.list_max_entries)
 
-    def search(self, query: str, limit: int = 10, mode: str = "lex") -> DataFrame:
+    def search(self, query: str, limit: int = 10, mode: str = "lex", near: DataFrame | None = None) -> DataFrame:
+        """near: (path, score), the top of the pages' vectors by operators.search.nearest. Without it, hybrid fuses BM25 with a scan of whole pages."""
         query, limit, mode = check_search(query, limit, mode)
         if mode == "lex":
             return search.bm25(self.pages, query, limit)
         if mode == "hybrid":
-            return search.fuse([search.bm25(self.pages, query, 50), search.lexical(self.pages, query, 50)], limit)
-        raise KBError("no_vectors", "vectors are a table: use operators.search.nearest")
+            return search.fuse([search.bm25(self.pages, query, 50), search.lexical(self.pages, query, 50) if near is None else near], limit)
+        if near is None:
+            raise KBError("no_vectors", "vectors are a table: give near, made by operators.search.nearest")
+        return near.select("path", "score").orderBy(F.desc("score"), "path").limit(limit)
 
     def write_notes(self, notes: DataFrame) -> DataFrame:
         return store.notes(notes, self.now())

@@ -12,12 +12,15 @@ from ..functions.text import first_heading, hit_count, snippet, tokens
 _WORD = r"[\p{L}\p{N}]+"
 
 
-def lexical(pages: DataFrame, query: str, limit: int = 10, key: str = "path", text: str = "body", head: int = 8192) -> DataFrame:
-    """Pages whose first `head` characters hold most of the query's words, best first; ties by key."""
+def lexical(pages: DataFrame, query: str, limit: int = 10, key: str = "path", text: str = "body", head: int | None = None) -> DataFrame:
+    """Pages that hold most of the query's words, best first; ties by key.
+
+    head: only so many characters of a page are searched, as in the reference's fallback scan (8192).
+    """
     words = tokens(query)
     if not words:
         return pages.select(F.col(key), F.lit("").alias("title"), F.lit(0).alias("score"), F.lit("").alias("snippet")).where(F.lit(False))
-    start = F.left(text, F.lit(head))
+    start = F.col(text) if head is None else F.left(text, F.lit(head))
     hits = pages.withColumn("score", hit_count(start, words)).where("score > 0")
     top = hits.orderBy(F.desc("score"), key).limit(max(1, min(50, limit)))
     return top.select(key, first_heading(start).alias("title"), "score", snippet(start, words[0]).alias("snippet"))

@@ -42,6 +42,9 @@ def vault(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("*", F.concat_ws("/", F.lit("wiki"), "source", F.concat("doc_id", F.lit(".md"))).alias("path"), F.col("doc_id").cast("string").alias("name"), F.col("text").alias("body"), F.octet_length("text").cast("long").alias("size"))
 
 
+#: The SQL of the searches looks at so many characters of a page, as the reference's fallback scan does.
+FALLBACK_HEAD = 8192
+
 _VAULT = "v AS (SELECT *, 'wiki/' || source || '/' || doc_id || '.md' AS path, CAST(doc_id AS VARCHAR) AS name, text AS body, CAST(strlen(text) AS BIGINT) AS size FROM documents)"
 
 
@@ -76,12 +79,12 @@ def x01_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT path, {_strip("coalesce(regexp_extract(t, '(?m)^#[" + _WS + "]+(.+)$', 1), '')")} AS title, score, {_strip("regexp_replace(substring(t, greatest(1, instr(lower(t), 'idiot') - 60), 200), '[" + _WS + "]+', ' ', 'g')")} AS snippet
 FROM s WHERE score > 0 ORDER BY score DESC, path LIMIT 10""")
 def q01_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.lexical(vault(spark, sf_dir), "idiot token the")
+    return search.lexical(vault(spark, sf_dir), "idiot token the", head=FALLBACK_HEAD)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     masked = vault(spark, sf_dir).withColumn("body", text.mask(F.col("body")))
-    return search.lexical(masked, "token the")
+    return search.lexical(masked, "token the", head=FALLBACK_HEAD)
 
 
 @query(r"""WITH b AS (SELECT doc_id, string_split(replace(text, '%%%', chr(8203)), chr(10)) AS l FROM documents),
@@ -331,7 +334,7 @@ b AS (SELECT path, row_number() OVER (ORDER BY score DESC, path) AS n FROM (SELE
 SELECT path, round(sum(1.0 / (60 + n)), 8) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY path ORDER BY score DESC, path LIMIT 10""")
 def q04_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     v, words = vault(spark, sf_dir), "idiot clown pathetic"
-    return search.fuse([search.bm25(v, words, 50), search.lexical(v, words, 50)])
+    return search.fuse([search.bm25(v, words, 50), search.lexical(v, words, 50, head=FALLBACK_HEAD)])
 
 
 @query(f"WITH {_VAULT}, t AS (SELECT doc_id, unnest(regexp_extract_all(lower(body), '[\\p{{L}}\\p{{N}}]+')) AS term FROM v) SELECT term, count(DISTINCT doc_id) AS docs, count(*) AS n FROM t GROUP BY term")

@@ -50,6 +50,12 @@ def vault(spark, tmp_path):
     return K.KnowledgeBase(spark, str(tmp_path))
 
 
+def test_search_by_vectors(spark, vault):
+    near = spark.createDataFrame([("wiki/index.md", 0.9), ("wiki/concepts/beta.md", 0.5)], "path string, score double")
+    assert [r.path for r in vault.search("needle", mode="hybrid", near=near).collect()] == ["wiki/concepts/beta.md", "wiki/index.md", "wiki/projects/alpha.md"]
+    assert [r.path for r in vault.search("needle", 1, "vec", near).collect()] == ["wiki/index.md"]
+
+
 def test_tools(spark, vault):
     assert [r.path for r in vault.list(depth=2).collect()] == ["wiki/concepts", "wiki/concepts/beta.md", "wiki/index.md", "wiki/projects", "wiki/projects/alpha.md"]
     assert vault.read("index.md").first() == ("# Index", False, 7)

@@ -123,6 +123,13 @@ def test_search(spark):
     assert tuple(search.normal_hits(hits).first()) == ("a/b.md", "", None, "")
 
 
+def test_whole_pages_are_searched(spark):
+    p = frame(spark, [("long.md", "long", "", [], "", "x " * 5000 + "# no heading\nlate needle"), ("short.md", "short", "", [], "", "needle late late")])
+    got = {r.path: (r.score, r.snippet) for r in search.lexical(p, "needle late").collect()}
+    assert {k: v[0] for k, v in got.items()} == {"long.md": 2, "short.md": 2} and "needle" in got["long.md"][1]
+    assert [r.path for r in search.lexical(p, "needle", head=8192).collect()] == ["short.md"]
+
+
 def test_store(spark):
     made = store.notes(spark.createDataFrame([("A title", "token=abc", ["x", " x ", "y"]), ("A title", "other", None)], "title string, body string, tags array<string>"), F.lit(NOW), "host").collect()
     assert sorted(r.name for r in made) == ["20240610-000000-mcp-A-title-2.md", "20240610-000000-mcp-A-title.md"]
