@@ -1,48 +1,49 @@
 """Operator 3, language-model scores: a weighted backoff automaton over smoothed n-grams of words.
 
 Tokens are the words of a text (A-Z lower-cased, split at ASCII white space) and one end. The unigram model gives
-(c + 0.1) / (N + 0.1 (V + 1)); N and V come from all training rows, c from a table of every training token.
-N-grams of two and three tokens with a share of at least SHARE of all training tokens, and a count of two, are
-kept with an absolute discount; so at most 1 / SHARE of each order exist, however large the corpus, and the
-automaton can be broadcast. They are found exactly: an n-gram with that share overall has it in at least one block
-of the corpus, so each block names its own (with counts; what a block doesn't name, it has less often than its
-limit, which bounds the sum), and a second scan counts everywhere those that may reach the share. Tasks are merged
-until they hold a block's worth of text, since small blocks would name everything.
-
-States are the histories that have arcs; a failure arc, weighted by the probability mass left over, leads to the
-next shorter history and at last to the root. One traversal from left to right carries the state and adds up the
-logarithms. Tokens frequent enough for the broadcast get their root arc there; for the rest, the traversal
-takes its failure arcs and the root arc's weight is fetched by a join on the word. Those words are rare by
-definition, so that join has no hot key.
-
-Null texts are empty (one token, the end). A null id counts as an empty text for the fold. Rows are numbered within
-their partitions and never merged, so repeated ids stay apart; df must be a scan or a stored table, whose
-partitions read the same again after an executor is lost. Without training rows every count is zero.
+(c + 0.1) / (N + 0.1 (V + 1)). Every n-gram of two or three tokens that training rows hold at least LEAST times is in
+the model, however large the corpus: P(w | h) = (c(hw) - DISCOUNT) / c(h) + left(h) P(w | shorter h), where left(h) is
+what the kept followers of h leave, so the probabilities after each history add up to one.
+
+States are histories with kept followers; an arc's weight is log10 P(w | h), a failure arc's is log10 left(h) and
+leads to the next shorter history, at last to the root. The whole automaton is never in one place. Texts become
+blocks of word numbers (a stored table), and a block gets the arcs, failure arcs and weights of its own n-grams:
+
+1. each block sums its n-grams by hashed code and sends codes and counts, dealt into buckets by code; a bucket adds
+   them up and answers each block with the corpus's counts of the block's codes, in the block's order;
+2. each block sends what its occurrences of kept n-grams add to their histories; buckets answer with the sums;
+3. with both answers, one traversal of each text from left to right carries the state and adds up the weights.
+
+A code occurs once in a block's message, so that no n-gram, however frequent, makes a bucket large; a bucket holds the
+codes of about BUCKET_BYTES of text. Codes have 64 bits: of ten billion n-grams some three would share one.
+
+Null texts are empty (one token, the end). A null id counts as an empty text for the fold. Rows are numbered when
+they are dealt into blocks and never merged, so repeated ids and rows stay apart. A very long text is cut into pieces
+of PIECE_TOKENS, each with the two tokens before it, whose sums are added. Without training rows every count is zero;
+an empty table gives an empty result. Columns other than id and text are dropped, whatever their names.
 """
 
 from __future__ import annotations
 
-import math
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fold, stored, table
 
-SHARE = 2e-6
+LEAST = 2
 DISCOUNT = 0.5
 ADD = 0.1
-BLOCK_TOKENS = 2_000_000
-PIECE_TOKENS = 1_000_000  # with MAX_WORDS below 1 << 21, so that ids fit their part of a code
-BLOCK_BYTES = 24 << 20
-MAX_WORDS = 600_000
+BLOCK_TOKENS = 1_500_000
+PIECE_TOKENS = 200_000
+MAX_WORDS = 400_000
+BUCKET_BYTES = 16 << 20
 TEXTS = 500  # taken from a batch at a time
-PER_SCAN = 1_000_000
 START, END = b"\n", b""  # neither can be a word
 
 
@@ -50,10 +51,19 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[str | None]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, TEXTS):
-            yield from batch.column(0).slice(at, TEXTS).to_pylist()
+# ---- blocks of texts as numbers
+
+
+def pack(values: np.ndarray) -> bytes:
+    """Numbers by byte planes, compressed."""
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.dtype.itemsize).T)
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpack(data: bytes, n: int, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(data, n * size, codec="zstd", asbytes=True), np.uint8).reshape(size, n)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
 class _Ids(dict):
@@ -62,283 +72,297 @@ class _Ids(dict):
         return n
 
 
-def _frequent(codes: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    found, n = np.unique(codes, return_counts=True)
-    return found[n >= least], n[n >= least]
+_BLOCK = "block long, rows array<long>, ids array<{kind}>, held array<boolean>, context array<int>, lengths array<int>, n int, tokens binary, n_words int, codes binary"
+
+
+def _blocks(kind: pa.DataType) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow over (id, text, held_out): one row for each block of texts, as _BLOCK has it.
+
+    tokens: the words' numbers within the block, each piece with `context` tokens before it that don't count (START, or
+    the two before a piece that goes on); codes: the hash of each word.
+    """
+
+    def run(batches):
+        part = TaskContext.get().partitionId()
+        row, block = part << 40, part << 32
+        vocabulary = _Ids({START: 0, END: 1})
+        pieces: list[np.ndarray] = []
+        about: list[tuple] = []  # row, id, held, context, length
+        size = 0
+
+        def made():
+            tokens = np.concatenate(pieces)
+            codes = np.array([xxhash.xxh64_intdigest(w) for w in vocabulary], np.uint64)
+            rows, ids, held, context, lengths = zip(*about, strict=True)
+            lists = [pa.array([list(v)], pa.list_(t)) for v, t in ((rows, pa.int64()), (ids, kind), (held, pa.bool_()), (context, pa.int32()), (lengths, pa.int32()))]
+            cols = [pa.array([block]), *lists, pa.array([len(tokens)], pa.int32()), pa.array([pack(tokens)], pa.binary()), pa.array([len(codes)], pa.int32()), pa.array([pack(codes)], pa.binary())]
+            return pa.RecordBatch.from_arrays(cols, names=["block", "rows", "ids", "held", "context", "lengths", "n", "tokens", "n_words", "codes"])
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, TEXTS):
+                few = batch.slice(at, TEXTS)
+                for key, text, held in zip(*(c.to_pylist() for c in few.columns), strict=True):
+                    words = words_of(text)
+                    for a in range(0, max(1, len(words)), PIECE_TOKENS):
+                        if size >= BLOCK_TOKENS or len(vocabulary) >= MAX_WORDS:
+                            yield made()
+                            vocabulary, pieces, about, size = _Ids({START: 0, END: 1}), [], [], 0
+                            block += 1
+                        before = [vocabulary[w] for w in words[a - 2 : a]] if a else [0]
+                        seq = before + [vocabulary[w] for w in words[a : a + PIECE_TOKENS]]
+                        if a + PIECE_TOKENS >= len(words):
+                            seq.append(1)
+                        pieces.append(np.array(seq, np.int32))
+                        about.append((row, key, held, len(before), len(seq)))
+                        size += len(seq)
+                    row += 1
+        if pieces:
+            yield made()
+
+    return run
+
+
+def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The code of a history's code a and a word's code b."""
+    x = a * np.uint64(0x9E3779B97F4A7C15) + b
+    x ^= x >> np.uint64(31)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    return x ^ x >> np.uint64(29)
 
 
-def _block_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(order, gram, n, slack): every word with its count, and the n-grams that reach SHARE in a block of tokens.
+class Block:
+    """The n-grams of a block. Distinct codes are sorted: answers from buckets come in that order.
 
-    slack: how often a block can have an n-gram without naming it; order 0 has the sum over all blocks.
+    at2, at3: for each token, the place of the pair (triple) that ends in it among the distinct ones; -1 for none.
     """
-    ids, parts, held = _Ids({START: 0, END: 1}), [], 0
-    counts = np.zeros(0, np.int64)
-
-    def grams(cut):
-        nonlocal counts, parts, held
-        seq = np.concatenate(parts).astype(np.int64)
-        parts.clear()
-        counts = np.bincount(seq, minlength=max(len(ids), len(counts))) + np.pad(counts, (0, max(0, len(ids) - len(counts))))
-        least = max(1, math.ceil(SHARE * held))
-        names = list(ids)
-        two = seq[:-1] != 1
-        low = (1 << 21) - 1
-        for order in (2, 3):
-            if order == 2:
-                found, n = _frequent((seq[:-1] << 21 | seq[1:])[two], least)
-            else:
-                found, n = _frequent((seq[:-2] << 42 | seq[1:-1] << 21 | seq[2:])[two[:-1] & two[1:]], least)
-            ws = [[names[i] for i in (found >> 21 * k & low).tolist()] for k in range(order - 1, -1, -1)]
-            yield rows(order, list(map(b" ".join, zip(*ws, strict=True))), n, least - 1)
-        # where the block ends within a text, at most two occurrences of an n-gram lie across its end
-        yield rows(0, [b""], [0], least - 1 + 2 * cut)
-        parts, held = [], 0
-
-    def rows(order, names, n, slack):
-        fill = lambda x, t: pa.array(np.full(len(names), x, t))
-        return pa.RecordBatch.from_arrays([fill(order, np.int32), pa.array(names, pa.binary()), pa.array(np.asarray(n, np.int64)), fill(slack, np.int64)], names=["order", "gram", "n", "slack"])
-
-    def flush(cut):
-        nonlocal ids, counts
-        if parts:
-            yield from grams(cut)
-        if len(counts):
-            yield rows(1, list(ids), counts, 0)
-        ids, counts = _Ids({START: 0, END: 1}), np.zeros(0, np.int64)
-
-    for text in _texts(batches):
-        words = words_of(text)
-        for at in range(0, max(1, len(words)), PIECE_TOKENS):
-            piece, over = words[at : at + PIECE_TOKENS], at + PIECE_TOKENS < len(words)
-            seq = [0] * (not at) + list(map(ids.__getitem__, piece)) + [1] * (not over)
-            parts.append(np.array(seq, np.int32))
-            held += len(seq)
-            if len(ids) >= MAX_WORDS:
-                yield from flush(over)
-            elif held >= 2 * BLOCK_TOKENS:  # so what is left at the end is not a small block, if the task isn't
-                rest, fill = [], 0
-                while parts and fill + len(parts[-1]) <= held - BLOCK_TOKENS:
-                    rest.append(parts.pop())
-                    fill += len(rest[-1])
-                held -= fill
-                yield from grams(parts[-1][-1] != 1)
-                parts, held = rest[::-1], fill
-    yield from flush(False)
-
-
-def _grams_of(ids: np.ndarray, order: int, base: int) -> np.ndarray:
-    """Codes of the n-grams of a text's ids (start and end included); -1 where one token is outside the vocabulary."""
-    if len(ids) < order:
-        return np.zeros(0, np.int64)
-    code, known = np.zeros(len(ids) - order + 1, np.int64), True
-    for k in range(order):
-        part = ids[k : len(ids) - order + 1 + k]
-        code = code * base + part
-        known = known & (part >= 0)
-    return np.where(known, code, -1)
+
+    def __init__(self, row: dict):
+        self.number = row["block"]
+        self.rows, self.ids, self.held = row["rows"], row["ids"], row["held"]
+        self.lengths = np.array(row["lengths"], np.int64)
+        self.stops = np.cumsum(self.lengths)
+        self.context = np.array(row["context"], np.int64)
+        self.tokens = unpack(row["tokens"], row["n"], np.int32)
+        words = unpack(row["codes"], row["n_words"], np.uint64)
+        self.order = np.argsort(words)  # of words by code
+        place = np.arange(row["n"]) - np.repeat(self.stops - self.lengths, self.lengths)
+        self.counted = place >= np.repeat(self.context, self.lengths)
+        self.train = self.counted & ~np.repeat(np.array(self.held, bool), self.lengths)
+        code1 = words[self.tokens]
+        pair, triple = place >= 1, self.counted & (place >= 2)
+        code2, code3 = np.zeros_like(code1), np.zeros_like(code1)
+        code2[1:] = _mix(code1[:-1], code1[1:])
+        code3[2:] = _mix(code2[1:-1], code1[2:])
+        self.at2, self.at3 = np.full(row["n"], -1), np.full(row["n"], -1)
+        self.codes = [words[self.order], None, None]
+        self.codes[1], self.at2[pair] = np.unique(code2[pair], return_inverse=True)
+        self.codes[2], self.at3[triple] = np.unique(code3[triple], return_inverse=True)
+
+    def counts(self) -> list[np.ndarray]:
+        """How often training texts have each distinct word, pair, triple; START counts once for each text."""
+        first = (self.tokens == 0) & ~np.repeat(np.array(self.held, bool), self.lengths)
+        one = np.bincount(self.tokens[self.train | first], minlength=len(self.order))[self.order]
+        return [one] + [np.bincount(at[self.train & (at >= 0)], minlength=len(c)) for at, c in ((self.at2, self.codes[1]), (self.at3, self.codes[2]))]
+
+    def by_word(self, values: np.ndarray) -> np.ndarray:
+        """Values of words in the order of their codes, as values by word number."""
+        out = np.empty_like(values)
+        out[self.order] = values
+        return out
+
+    def shares(self, totals: list[np.ndarray]) -> list[np.ndarray]:
+        """What this block's training occurrences of kept n-grams add to their histories: summed over all blocks, c(hw) - DISCOUNT."""
+        made = []
+        for at, total, history, n in ((self.at2, totals[1], self.tokens, len(self.order)), (self.at3, totals[2], self.at2, len(self.codes[1]))):
+            i = np.flatnonzero(self.train & (at >= 0))
+            c = total[at[i]]
+            i, c = i[c >= LEAST], c[c >= LEAST]
+            made.append(np.bincount(history[i - 1], 1 - DISCOUNT / c, n))
+        made[0] = made[0][self.order]
+        return made
+
+    def automaton(self, totals: list[np.ndarray], kept: list[np.ndarray], scale: float) -> "Automaton":
+        return Automaton(self, totals, kept, scale)
 
 
 class Automaton:
-    """Arcs, failure arcs and weights (log10) of a backoff model over word ids; id 0 is the start, 1 the end."""
-
-    def __init__(self, counts: list[int], docs: int, total: int, distinct: int, grams: dict[tuple[int, ...], int]):
-        """counts: of each id. grams: of those kept, by their ids. total, distinct: N and V of the training tokens."""
-        scale = total + ADD * (distinct + 1)
-        self.root = [math.log10((c + ADD) / scale) for c in counts]
-        context = {(i,): c for i, c in enumerate(counts)} | grams
-        context[(0,)] = docs
-        follow: dict[tuple[int, ...], list[int]] = {}
-        for g in grams:
-            follow.setdefault(g[:-1], []).append(g[-1])
-        state = {h: i for i, h in enumerate(sorted(follow, key=lambda h: (len(h), h)), 1)}
-        self.start = state.get((0,), 0)
-        self.arcs: dict[int, tuple[float, int]] = {}
-        self.fail, self.back, self.down = [0], [0.0], [0.0]
-        after = lambda h, w: state.get((h[-1], w), 0) or state.get((w,), 0)
-        for history, s in state.items():
-            shorter = state.get(history[1:], 0)
-            left = lower = 0.0
-            for w in follow[history]:
-                p = (grams[*history, w] - DISCOUNT) / context[history]
-                left += p
-                lower += 10 ** self.weight(shorter, w)
-                self.arcs[s << 32 | w] = (math.log10(p), after(history, w))
-            back = math.log10(max(1 - left, 1e-12) / max(1 - lower, 1e-12))
-            self.fail.append(shorter)
-            self.back.append(back)
-            self.down.append(back + self.down[shorter])
-        self.first = [(p, state.get((i,), 0)) for i, p in enumerate(self.root)]
-
-    def weight(self, s: int, w: int) -> float:
-        total = 0.0
-        while s:
-            arc = self.arcs.get(s << 32 | w)
-            if arc:
-                return total + arc[0]
-            total += self.back[s]
-            s = self.fail[s]
-        return total + self.root[w]
-
-    def traverse(self, ids: list[int]) -> float:
-        """log10 of the probability of ids after the start; a negative id adds its failure arcs only."""
-        arcs, first, fail, back, down = self.arcs, self.first, self.fail, self.back, self.down
-        s, total = self.start, 0.0
-        for w in ids:
-            if w < 0:
-                total += down[s]
-                s = 0
-                continue
-            while s:
-                arc = arcs.get(s << 32 | w)
-                if arc is not None:
-                    break
-                total += back[s]
-                s = fail[s]
-            else:
-                arc = first[w]
-            total += arc[0]
-            s = arc[1]
+    """The part of the backoff automaton that a block's texts can reach, its arcs laid out by token.
+
+    A state is a history of 2, 1 or 0 words (its level). arcs[level][i]: the weight of token i's arc from the state of the
+    `level` tokens before it, NaN where that state has none; fails[level][i]: the weight of that state's failure arc;
+    after[i]: the level of the state that the arc of token i leads to.
+    """
+
+    def __init__(self, block: Block, totals: list[np.ndarray], kept: list[np.ndarray], scale: float):
+        t = block.tokens
+        count1, kept1 = block.by_word(totals[0]), block.by_word(kept[0])
+        p1 = (count1 + ADD) / scale
+        self.known = (count1 > 0)[t]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            left1 = np.where(kept1 > 0, 1 - kept1 / count1, 1.0)
+            left2 = np.where(kept[1] > 0, 1 - kept[1] / totals[1], 1.0)
+        n = len(t)
+        one = p1[t]
+        two, three = np.full(n, np.nan), np.full(n, np.nan)
+        fail1, fail2 = np.zeros(n), np.zeros(n)
+        i = np.flatnonzero(block.at2 >= 0)
+        c, before = totals[1][block.at2[i]], t[i - 1]
+        fail1[i] = np.log10(left1[before])
+        i, c, before = i[c >= LEAST], c[c >= LEAST], before[c >= LEAST]
+        two[i] = (c - DISCOUNT) / np.maximum(count1[before], 1) + left1[before] * one[i]
+        i = np.flatnonzero(block.at3 >= 0)
+        c, before = totals[2][block.at3[i]], block.at2[i - 1]
+        fail2[i] = np.log10(left2[before])
+        i, c, before = i[c >= LEAST], c[c >= LEAST], before[c >= LEAST]
+        three[i] = (c - DISCOUNT) / np.maximum(totals[1][before], 1) + left2[before] * two[i]
+        self.arcs = [np.log10(one), np.log10(two), np.log10(three)]
+        self.fails = [np.zeros(n), fail1, fail2]
+        self.after = (kept1 > 0)[t].astype(np.int8)
+        i = np.flatnonzero(block.at2 >= 0)
+        self.after[i[kept[1][block.at2[i]] > 0]] = 2
+
+    def traverse(self, context: int, start: int, stop: int) -> float:
+        """log10 of the probability of the tokens after the first `context` of start..stop, from left to right."""
+        root, arcs1, arcs2 = (a[start:stop].tolist() for a in self.arcs)
+        _, fails1, fails2 = (f[start:stop].tolist() for f in self.fails)
+        after = self.after[start:stop].tolist()
+        level, total = after[context - 1], 0.0
+        for i in range(context, stop - start):
+            if level == 2:
+                arc = arcs2[i]
+                if arc == arc:  # not NaN
+                    total += arc
+                    level = after[i]
+                    continue
+                total += fails2[i]
+                level = 1
+            if level:
+                arc = arcs1[i]
+                if arc == arc:
+                    total += arc
+                    level = after[i]
+                    continue
+                total += fails1[i]
+            total += root[i]
+            level = after[i]
         return total
 
 
-def _count_named(named, base: int, ids: dict[bytes, int]):
-    """For mapInArrow: (place, n) of the named codes of each order, summed over a task."""
+# ---- messages between blocks and buckets
 
-    def run(batches):
-        codes = named.value
-        sums = {order: np.zeros(len(c), np.int64) for order, c in codes.items()}
-        vocabulary = ids.value
-        get = vocabulary.get
-        for text in _texts(batches):
-            seq = np.array([0, *(get(w, -1) for w in words_of(text)), 1], np.int64)
-            for order, c in codes.items():
-                if len(c):
-                    grams = _grams_of(seq, order, base)
-                    at = np.minimum(np.searchsorted(c, grams), len(c) - 1)
-                    hit = at[c[at] == grams]
-                    if len(hit):
-                        np.add.at(sums[order], hit, 1)
-        for order, n in sums.items():
-            place = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(place), order, np.int32)), pa.array(place.astype(np.int32)), pa.array(n[place])], names=["order", "place", "n"])
+_ASK = "bucket int, place int, block long, n int, codes binary, numbers binary"
+_ANSWER = "trip int, place int, bucket int, block long, n int, numbers binary, distinct long"
 
-    return run
 
+def _asked(block: int, codes: list[np.ndarray], numbers: list[np.ndarray], buckets: int) -> pa.RecordBatch:
+    """A message for each bucket and place (0 words, 1 pairs, 2 triples) with sorted codes, as differences, and a number for each."""
+    rows = []
+    for place, (c, v) in enumerate(zip(codes, numbers, strict=True)):
+        into = ((c >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+        edges = np.searchsorted(into, np.arange(buckets + 1, dtype=np.uint64))
+        for b in np.flatnonzero(np.diff(edges)).tolist():
+            lo, hi = edges[b], edges[b + 1]
+            rows.append((b, place, block, hi - lo, pack(np.diff(c[lo:hi], prepend=np.uint64(0))), pack(v[lo:hi].astype(np.float64))))
+    cols = zip(*rows, strict=True) if rows else [[]] * 6
+    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(cols, kinds, strict=True)], names=["bucket", "place", "block", "n", "codes", "numbers"])
 
-def train(train_text: DataFrame) -> tuple[DataFrame, dict, int, int]:
-    """(counts of every training token, the broadcastable model, N, V). train_text has the one column text."""
-    spark = train_text.sparkSession
-    size = train_text.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    found = train_text.coalesce(max(1, size // BLOCK_BYTES)).mapInArrow(_block_counts, "order int, gram binary, n long, slack long")
-    found = stored(found.groupBy("order", "gram").agg(F.sum("n").alias("n"), F.sum("slack").alias("slack")), "lm-counts")
-    words = found.where("order = 1")
-    starts = words.where(F.col("gram") == F.lit(START)).agg(F.sum("n")).first()[0] or 0
-    counts = words.where(F.col("gram") != F.lit(START)).select(F.col("gram").alias("word"), F.col("n").alias("c")).where("c > 0")
-    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    least = SHARE * total
-    # at most 1 / SHARE words and, of each order, n-grams reach that share
-    frequent = [(bytes(r[0]), r[1]) for r in counts.where(F.col("c") >= least).collect()]
-    frequent = sorted((x for x in frequent if x[0] != END), key=lambda x: (-x[1], x[0]))
-    ends = starts
-    names = [START, END, *(w for w, _ in frequent)]
-    ids = {w: i for i, w in enumerate(names)}
-    sent_ids = spark.sparkContext.broadcast(ids)
-    base = len(names)
-    grams: dict[tuple[int, ...], int] = {}
-    slack = found.where("order = 0").agg(F.coalesce(F.sum("slack"), F.lit(0))).first()[0]
-    named = found.where("order > 1").where(F.col("n") + slack - F.col("slack") >= max(2, least)).select("order", "gram")
-    scans = -(-named.count() // PER_SCAN)
-    for scan in range(scans):
-        codes: dict[int, list[int]] = {2: [], 3: []}
-        got = named.where(F.pmod(F.xxhash64("order", "gram"), F.lit(scans)) == scan).toArrow()
-        for order, gram in zip(got["order"], got["gram"], strict=True):
-            code, order = 0, order.as_py()
-            for w in gram.as_py().split(b" "):
-                i = ids.get(w)
-                if i is None:
-                    break
-                code = code * base + i
-            else:
-                codes[order].append(code)
-        arrays = {order: np.array(sorted(c), np.int64) for order, c in codes.items()}
-        run = _count_named(spark.sparkContext.broadcast(arrays), base, sent_ids)
-        exact = train_text.mapInArrow(run, "order int, place int, n long").groupBy("order", "place").agg(F.sum("n").alias("n")).where(F.col("n") >= max(2, least))
-        for order, place, n in exact.collect():
-            code, key = int(arrays[order][place]), []
-            for _ in range(order):
-                code, i = divmod(code, base)
-                key.append(i)
-            grams[tuple(reversed(key))] = n
-    model = {"ids": ids, "automaton": Automaton([0, ends, *(c for _, c in frequent)], starts, total, distinct, grams)}
-    return counts, model, total, distinct
-
-
-def _traverse_all(sent):
-    def run(batches):
-        model = sent.value
-        automaton = model["automaton"]
-        get, weights = model["ids"].get, np.array(automaton.root)
-        counted = np.array([p > 0 for p in model["known"]])
-        at = TaskContext.get().partitionId() << 40
-        for batch in (b.slice(i, TEXTS) for b in batches for i in range(0, b.num_rows, TEXTS)):
-            keys, heads, words, tfs = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                split = words_of(text)
-                ids = [get(w, -1) for w in split]
-                rare = Counter(w for w, i in zip(split, ids, strict=True) if i < 0)
-                ids.append(1)
-                hot = np.array(ids)
-                hot = hot[hot >= 0]
-                heads.append({"n_tokens": len(ids), "n_known": int(counted[hot].sum()), "base": float(weights[hot].sum()), "score": automaton.traverse(ids)})
-                keys += [at] * (1 + len(rare))
-                words.append(b" %d" % at)  # no word has a space: the row finds no partner, and lands anywhere
-                words += rare
-                tfs.append(0)
-                tfs += rare.values()
-                at += 1
-            n = np.array([t == 0 for t in tfs])
-            place = np.cumsum(n) - 1
-            head = pa.array(heads, pa.struct([("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())]))
-            source = pa.array(np.where(n, place, -1), mask=~n)
-            cols = [pa.array(keys, pa.int64()), batch.column(0).take(source), batch.column(2).take(source), head.take(source), pa.array(words, pa.binary()), pa.array(tfs, pa.int32())]
-            for a in range(0, len(keys), 50_000):
-                yield pa.RecordBatch.from_arrays([c.slice(a, 50_000) for c in cols], names=["row", "id", "held_out", "head", "word", "tf"])
 
-    return run
+def _summed(asked: DataFrame, trip: int) -> DataFrame:
+    """To each message the sums, over all messages, of the numbers of its codes; distinct: once a bucket, the codes with a sum."""
+
+    def run(table: pa.Table) -> pa.Table:
+        blocks, sizes = table.column("block"), table.column("n").to_pylist()
+        codes = np.concatenate([np.cumsum(unpack(x.as_py(), n, np.uint64), dtype=np.uint64) for x, n in zip(table.column("codes"), sizes, strict=True)])
+        numbers = np.concatenate([unpack(x.as_py(), n, np.float64) for x, n in zip(table.column("numbers"), sizes, strict=True)])
+        found, at = np.unique(codes, return_inverse=True)
+        sums = np.bincount(at, numbers, len(found))
+        stops = np.cumsum(sizes)
+        made = [pack(sums[at[b - n : b]]) for n, b in zip(sizes, stops.tolist(), strict=True)]
+        distinct = [int((sums > 0).sum())] + [0] * (len(sizes) - 1)
+        cols = [pa.array([trip] * len(sizes), pa.int32()), table.column("place"), table.column("bucket"), blocks, table.column("n"), pa.array(made, pa.binary()), pa.array(distinct, pa.int64())]
+        return pa.Table.from_arrays(cols, names=["trip", "place", "bucket", "block", "n", "numbers", "distinct"])
+
+    return asked.groupBy("bucket", "place").applyInArrow(run, _ANSWER)
+
+
+def _answers(table: pa.Table, trip: int, places: int) -> list[np.ndarray]:
+    """The numbers for all codes of each place; a place without codes has none."""
+    got: list[list[tuple]] = [[] for _ in range(places)]
+    for r in table.select(["trip", "place", "bucket", "n", "numbers"]).to_pylist():
+        if r["trip"] == trip:
+            got[r["place"]].append((r["bucket"], unpack(r["numbers"], r["n"], np.float64)))
+    return [np.concatenate([np.zeros(0), *(x for _, x in sorted(rows, key=lambda y: y[0]))]) for rows in got]
+
+
+def _with_histories(block: Block, totals: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The words and pairs frequent enough to have kept followers."""
+    masks = [totals[k] >= LEAST for k in (0, 1)]
+    return masks, [block.codes[k][masks[k]] for k in (0, 1)]
 
 
 def with_lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10) -> DataFrame:
     """For each row id_col, held_out, n_tokens, n_known, train_tokens, base_score and score; fold 0 is held out."""
     spark = df.sparkSession
-    src = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), (fold(id_col, folds) == 0).alias("held_out"))
-    counts, model, total, distinct = train(src.where("not held_out").select("text"))
-    known = [0.0] * len(model["ids"])
-    scale = total + ADD * (distinct + 1)
-    for i, p in enumerate(model["automaton"].root):
-        known[i] = float(i > 0 and 10**p * scale > ADD * 1.5)
-    sent = spark.sparkContext.broadcast(model | {"known": known})
-    head = "struct<n_tokens: long, n_known: long, base: double, score: double>"
-    kind = src.schema["id"].dataType.simpleString()
-    parts = src.select("id", "text", "held_out").mapInArrow(_traverse_all(sent), f"row long, id {kind}, held_out boolean, head {head}, word binary, tf int")
-    c = F.coalesce(F.col("c"), F.lit(0))
-    joined = parts.join(counts, "word", "left").withColumn("rare", F.when(F.col("tf") > 0, F.col("tf") * F.log10((c + ADD) / F.lit(scale))).otherwise(0.0))
-    rows = joined.groupBy("row").agg(
-        F.first("id", ignorenulls=True).alias("id"),
-        F.first("held_out", ignorenulls=True).alias("held_out"),
-        F.first("head", ignorenulls=True).alias("head"),
-        F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("known"),
-        F.sum("rare").alias("rare"),
-    )
-    return rows.select(
-        F.col("id").alias(id_col),
-        "held_out",
-        "head.n_tokens",
-        (F.col("head.n_known") + F.col("known")).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("head.base") + F.col("rare")).alias("base_score"),
-        (F.col("head.score") + F.col("rare")).alias("score"),
-    )
+    src = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), (fold(id_col, folds) == 0).alias("held_out"))
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    field = src.schema["id"].dataType
+    blocks = stored(src.mapInArrow(_blocks(to_arrow_type(field)), _BLOCK.format(kind=field.simpleString())), "lm-blocks")
+    size = src.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    buckets = spark.sparkContext.defaultParallelism + size // BUCKET_BYTES
+
+    def count(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                block = Block(row)
+                yield _asked(block.number, block.codes, block.counts(), buckets)
+
+    totals = stored(_summed(blocks.mapInArrow(count, _ASK), 1), "lm-counts")
+    # START is one of the distinct words where there is a training text
+    n, texts = blocks.select(F.explode(F.arrays_zip("held", "context", "lengths")).alias("p")).where("not p.held").agg(F.coalesce(F.sum(F.col("p.lengths") - F.col("p.context")), F.lit(0)), F.count(F.lit(1))).first()
+    distinct = (totals.where("place = 0").agg(F.sum("distinct")).first()[0] or 0) - (texts > 0)
+    scale = n + ADD * (distinct + 1)
+
+    def share(left: pa.Table, right: pa.Table) -> pa.Table:
+        made = []
+        for row in left.to_pylist():
+            block = Block(row)
+            got = _answers(right, 1, 3)
+            masks, codes = _with_histories(block, got)
+            made.append(_asked(block.number, codes, [s[m] for s, m in zip(block.shares(got), masks, strict=True)], buckets))
+        return pa.Table.from_batches(made, made[0].schema if made else _asked(0, [], [], buckets).schema)
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        names = ["row", id_type.name, "held_out", "n_tokens", "n_known", "base", "score"]
+        cols: list[list] = [[] for _ in names]
+        for row in left.to_pylist():
+            block = Block(row)
+            got, sums = _answers(right, 1, 3), _answers(right, 2, 2)
+            masks, _ = _with_histories(block, got)
+            kept = [np.zeros(len(m)) for m in masks]
+            for whole, mask, part in zip(kept, masks, sums, strict=True):
+                whole[mask] = part
+            automaton = block.automaton(got, kept, scale)
+            base = np.concatenate(([0.0], np.cumsum(np.where(block.counted, automaton.arcs[0], 0.0))))
+            known = np.concatenate(([0], np.cumsum(block.counted & automaton.known)))
+            starts = block.stops - block.lengths
+            cols[0] += block.rows
+            cols[1] += block.ids
+            cols[2] += block.held
+            cols[3] += (block.lengths - block.context).tolist()
+            cols[4] += (known[block.stops] - known[starts]).tolist()
+            cols[5] += (base[block.stops] - base[starts]).tolist()
+            cols[6] += [automaton.traverse(c, a, b) for c, a, b in zip(block.context.tolist(), starts.tolist(), block.stops.tolist(), strict=True)]
+        kinds = (pa.int64(), id_type.type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
+
+    id_type = pa.field("id", to_arrow_type(field))
+    by_block = blocks.groupBy("block")
+    sums = _summed(by_block.cogroup(totals.groupBy("block")).applyInArrow(share, _ASK), 2)
+    pieces = by_block.cogroup(totals.unionByName(sums).groupBy("block")).applyInArrow(score, f"row long, id {field.simpleString()}, held_out boolean, n_tokens long, n_known long, base double, score double")
+    rows = pieces.groupBy("row").agg(F.first("id").alias("id"), F.first("held_out").alias("held_out"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")])
+    return rows.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
 
 
 def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

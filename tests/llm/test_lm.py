@@ -2,118 +2,107 @@ import math
 import zlib
 from collections import Counter
 
-import pyarrow as pa
+import numpy as np
 import pytest
 
 from quillbase.llm import lm_scores
 
 
-def test_probabilities_of_each_history_add_up():
-    texts = [[2, 3, 4, 2, 3], [2, 3, 4], [3, 3, 2], [2, 3, 4, 4]]
-    one, two = Counter(), Counter()
-    for t in texts:
-        seq = [0, *t, 1]
-        one.update(seq[1:])
-        two.update(zip(seq, seq[1:], strict=False))
-        two.update(zip(seq, seq[1:], seq[2:], strict=False))
-    total, grams = sum(one.values()), {g: n for g, n in two.items() if n >= 2}
-    a = lm_scores.Automaton([0, one[1], *(one[i] for i in (2, 3, 4))], len(texts), total, 4, grams)
-    unknown = math.log10(0.1 / (total + 0.1 * 5))
-    for s in range(len(a.fail)):
-        mass = sum(10 ** a.weight(s, w) for w in (1, 2, 3, 4)) + 10 ** (a.down[s] + unknown)
-        assert mass == pytest.approx(1, abs=1e-9)
-
-
-def test_traversal_is_the_sum_of_weights():
-    grams = {(0, 2): 3, (2, 3): 3, (0, 2, 3): 2, (3, 1): 2}
-    a = lm_scores.Automaton([0, 4, 5, 6], 4, 15, 3, grams)
-    history, total = (0,), 0.0
-    for w in (2, 3, 2, 3, 1):
-        h = history[-2:]
-        back = 0.0
-        while (*h, w) not in grams and h:
-            kept = {g[-1]: g for g in grams if g[:-1] == h}
-            if kept:
-                c = 4 if h == (0,) else grams.get(h, [0, 4, 5, 6][h[-1]]) if len(h) > 1 else [4, 4, 5, 6][h[-1]]
-                left = 1 - sum((grams[g] - 0.5) / c for g in kept.values())
-                shorter = h[1:]
-                low = 0.0
-                for v in kept:
-                    if (*shorter, v) in grams and shorter:
-                        low += (grams[*shorter, v] - 0.5) / [4, 4, 5, 6][shorter[-1]]
-                    else:
-                        low += 10 ** a.weight(0, v)
-                back += math.log10(left / (1 - low))
-            h = h[1:]
-        if h:
-            c = 4 if h == (0,) else grams[h] if len(h) > 1 else [4, 4, 5, 6][h[-1]]
-            total += back + math.log10((grams[*h, w] - 0.5) / c)
-        else:
-            total += back + a.root[w]
-        history = (*history, w)
-    assert a.traverse([2, 3, 2, 3, 1]) == pytest.approx(total)
-
-
-def brute(rows):
-    counts = Counter()
-    words = lambda t: [*(t or "").encode().lower().split(), b""]
-    held = lambda i: zlib.crc32(str(i).encode() if i is not None else b"") % 10 == 0
-    for i, t in rows:
-        if not held(i):
-            counts.update(words(t))
-    n, v = sum(counts.values()), len(counts)
-    return [(i, held(i), len(w := words(t)), sum(counts[x] > 0 for x in w), n, sum(math.log10((counts[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w)) for i, t in rows]
-
-
-def check(got, want):
+def held(i):
+    return zlib.crc32(str(i).encode() if i is not None else b"") % 10 == 0
+
+
+class Brute:
+    """The same model over words, in dictionaries."""
+
+    def __init__(self, rows):
+        self.grams, follow = Counter(), {}
+        texts = [[b"\n", *(t or "").encode().lower().split(), b""] for i, t in rows if not held(i)]
+        for seq in texts:
+            for n in (1, 2, 3):
+                self.grams.update(tuple(seq[k : k + n]) for k in range(len(seq) - n + 1))
+        self.n = sum(len(s) - 1 for s in texts)
+        self.v = len({w for s in texts for w in s[1:]})
+        for g, c in self.grams.items():
+            if len(g) > 1 and c >= 2:
+                follow.setdefault(g[:-1], []).append(c - 0.5)
+        self.kept = {h: sum(x) for h, x in follow.items()}
+
+    def base(self, w):
+        return (self.grams[w,] + 0.1) / (self.n + 0.1 * (self.v + 1))
+
+    def p(self, history, w):
+        if not history:
+            return self.base(w)
+        lower = self.p(history[1:], w)
+        if history not in self.kept:
+            return lower
+        c, whole = self.grams[(*history, w)], self.grams[history]
+        return (c - 0.5 if c >= 2 else 0) / whole + (1 - self.kept[history] / whole) * lower
+
+    def row(self, i, t):
+        words = [*(t or "").encode().lower().split(), b""]
+        seq, score = [b"\n", *words], 0.0
+        for k in range(1, len(seq)):
+            score += math.log10(self.p(tuple(seq[max(0, k - 2) : k]), seq[k]))
+        return i, held(i), len(words), sum(self.grams[w,] > 0 for w in words), self.n, sum(math.log10(self.base(w)) for w in words), score
+
+
+def check(got, rows):
+    model = Brute(rows)
     key = lambda r: (str(r[0]), r[2], round(r[5], 5))
-    got = sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in got), key=key)
-    want = sorted(want, key=key)
+    got = sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in got), key=key)
+    want = sorted((model.row(i, t) for i, t in rows), key=key)
     assert [r[:5] for r in got] == [r[:5] for r in want]
-    assert [r[5] for r in got] == pytest.approx([r[5] for r in want], rel=1e-9)
+    for k in (5, 6):
+        assert [r[k] for r in got] == pytest.approx([r[k] for r in want], rel=1e-9)
+    return model
 
 
-def test_base_against_brute_force(spark, sf):
-    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
-    got = lm_scores.op3_lm_scores(spark, sf).collect()
-    check(got, brute(rows))
-    held = [r for r in got if r.held_out]
-    assert sum(r.score for r in held) > sum(r.base_score for r in held)
-    assert all(r.score <= 0 for r in got)
+def test_probabilities_of_each_history_add_up():
+    model = Brute([(k, t) for k, t in enumerate(["a b c a b", "a b c", "b b a", "a b c c", "a b a b"] * 2)])
+    unknown = b"never seen"
+    for history in [(), *model.kept]:
+        words = {g[0] for g in model.grams if len(g) == 1} - {b"\n"}
+        assert sum(model.p(history, w) for w in words) + model.p(history, unknown) == pytest.approx(1)
+
+
+@pytest.mark.parametrize("name", ["sf0.001", "sf0.01"])
+def test_query_against_brute_force(spark, name):
+    folder = f"/root/testdata/{name}"
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
+    got = lm_scores.op3_lm_scores(spark, folder).collect()
+    check(got, rows)
+    out = [r for r in got if r.held_out]
+    assert sum(r.score for r in out) > sum(r.base_score for r in out)
+
+
+def test_many_blocks_pieces_and_buckets(spark, sf, monkeypatch):
+    """Small blocks, pieces and buckets change nothing."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").limit(60).collect()]
+    for name, value in (("BLOCK_TOKENS", 700), ("PIECE_TOKENS", 50), ("BUCKET_BYTES", 4000)):
+        monkeypatch.setattr(lm_scores, name, value)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    check(lm_scores.with_lm_scores(df).collect(), rows)
 
 
-def test_rare_words_come_by_the_join(spark, sf, monkeypatch):
-    """With a large share, most words are outside the broadcast, and the counts stay exact."""
-    monkeypatch.setattr(lm_scores, "SHARE", 1e-3)
+def test_every_repeated_ngram_is_kept(spark, sf):
+    """The counts that blocks are told are those of the whole table."""
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
-    check(lm_scores.op3_lm_scores(spark, sf).collect(), brute(rows))
+    model = Brute(rows)
+    assert sum(len(g) == 2 and c >= 2 for g, c in model.grams.items()) > 1000
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in lm_scores.with_lm_scores(df).collect()}
+    twice = [i for i, t in rows if t and not held(i) and sum(u == t for _, u in rows) > 1]
+    once = [i for i, t in rows if t and not held(i) and i not in twice]
+    assert twice and np.median([got[i].score / got[i].n_tokens for i in twice]) > max(0.5 * np.median([got[i].score / got[i].n_tokens for i in once]), -1.5)
 
 
 def test_odd_rows(odd, none):
-    check(lm_scores.with_lm_scores(odd).collect(), brute([(r.doc_id, r.text) for r in odd.collect()]))
+    check(lm_scores.with_lm_scores(odd).collect(), [(r.doc_id, r.text) for r in odd.collect()])
     assert lm_scores.with_lm_scores(none).count() == 0
 
 
-@pytest.mark.parametrize("share", [1e-3, 0.2, 0.5])
-def test_blocks_bound_what_they_do_not_name(monkeypatch, share):
-    """Texts longer than a piece and a block: words stay exact, and no n-gram is more frequent than its bound."""
-    for name, value in (("PIECE_TOKENS", 3), ("BLOCK_TOKENS", 5), ("MAX_WORDS", 6), ("SHARE", share)):
-        monkeypatch.setattr(lm_scores, name, value)
-    texts = ["a b c a b c a b d a b e f g h", None, "a b", "a b c " * 9, "z y x w v u t s r q a b c"]
-    words, grams = Counter(), Counter()
-    for t in texts:
-        seq = [b"\n", *lm_scores.words_of(t), b""]
-        words.update(seq)
-        grams.update(b" ".join(seq[i : i + k]) for k in (2, 3) for i in range(len(seq) - k + 1))
-    one, named, own, slack = Counter(), Counter(), Counter(), 0
-    for batch in lm_scores._block_counts(iter([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])])):
-        for r in batch.to_pylist():
-            if r["order"] == 0:
-                slack += r["slack"]
-            elif r["order"] == 1:
-                one[r["gram"]] += r["n"]
-            else:
-                named[r["gram"]] += r["n"]
-                own[r["gram"]] += r["slack"]
-    assert one == words
-    assert all(named[g] <= n <= named[g] + slack - own[g] for g, n in grams.items())
+def test_packing():
+    for x in (np.array([], np.uint64), np.array([3, 9, 2**63], np.uint64), np.arange(1000, dtype=np.float64) / 7, np.array([-1, 5], np.int32)):
+        assert (lm_scores.unpack(lm_scores.pack(x), len(x), x.dtype) == x).all()
