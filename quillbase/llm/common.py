@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import types as T
 
 from ..shared import drop_stored, shared_dir, stored
 
-__all__ = ["drop_stored", "fold", "per_document", "sampled", "shared_dir", "stored", "table"]
+__all__ = ["bucketed", "drop_stored", "fold", "per_document", "sampled", "shared_dir", "stored", "table"]
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -67,3 +68,11 @@ def per_document(
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
     return src.mapInArrow(run, schema)
+
+
+def bucketed(df: DataFrame, key: str, buckets: int, label: str) -> DataFrame:
+    """df as a table in the shared folder, bucketed by a key, so that joins and groups by it don't shuffle it."""
+    spark = df.sparkSession
+    name = f"{label}_{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").bucketBy(buckets, key).saveAsTable(name)
+    return spark.table(name)
