@@ -3,72 +3,107 @@
 Fingerprints: 64 bits over the 3-word shingles of the whole text, as with_fingerprints() says.
 
 Links: two fingerprints link if at most 3 bits differ. Equal fingerprints are first merged, so copies never meet
-as pairs. With 64 bits in four blocks, two that link agree in at least one block, so each fingerprint is dealt to
-four groups (mask, value). A group over MAX_GROUP members is not joined: its members are dealt out again by four
-blocks of the bits still free, and so on. Each level fixes a quarter of the free bits; below the sixth level at
-most 12 bits are free, so that no group can be larger than MAX_GROUP: every group that one task holds is bounded,
-whatever the data, and no pair is lost.
-
-Within a group, members are sorted by Gray rank, so neighbours share long bit patterns. Upper nodes hold the bits
-on which all their members agree; two nodes whose agreed bits differ in more than 3 places are pruned with all
-the pairs below them. A group returns a spanning star of each of its clusters, not all pairs.
+as pairs. The index is one per group of a partitioning: with the bits in four blocks, two fingerprints that link agree
+in one block, so each is dealt to four groups by the leading bits of its blocks, as many bits as leave about
+MAX_GROUP / 8 members in a group. A group over MAX_GROUP is dealt out again by four blocks of the bits still free, and so
+on; every group that one task holds is bounded and no pair is lost.
+
+A group's index: members sorted by Gray rank, so that neighbours share long bit patterns. A node of an upper level
+holds the bits on which all its NODE children agree. The search starts at pairs of top nodes, adds up the differences
+of their agreed bits, prunes all pairs below two nodes with more than 3, and descends into the others. A group returns
+a spanning forest of its links, not all pairs.
+
+A wider reach, for a given Jaccard similarity of five-word shingles (similar_groups): the fingerprint's bits are cut into
+PARTS, each with its own groups and index, in which its bits lead and pairs differ in at most 3 of them. Pairs found so that
+a longer sketch takes for nearly similar make the forests, closest pairs first; the pairs of the forests are then held against
+the texts, exactly. Of pairs with a similarity of 0.8 (0.85), 94 (98) in 100 have such a part, if bits differ at random.
+Members of a large group whose part is used up go to groups of all pairs of chunks.
 
 Components: large-star and small-star steps over the links, each written to the shared folder.
 
-A null text has no words, hence fingerprint zero. A null id takes part in linking but is never a component id;
-a component of null ids alone has a null component id. Repeated rows are kept. Other columns are dropped.
+A null or empty text has no words, hence fingerprint zero. Very long texts are whole: their shingles are hashed and
+counted 4096 at a time. A null id takes part in linking but is never a component id; a component of null ids alone
+has a null component id. Repeated rows are kept. An empty table gives an empty result. Columns other than the id
+(and those asked for) are dropped, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import drop_stored, per_document, stored, table
 
 BITS = 64
 DISTANCE = 3
+BLOCKS = DISTANCE + 1
 SHINGLE = 3
 SEED = 42
-MAX_GROUP = 4096
+MAX_GROUP = 8192
 NODE = 16
+#: Of similar_groups: words of a shingle, 64-bit words of a sketch, parts of the indexed fingerprint.
+SIMILAR_SHINGLE, SKETCH, PARTS = 5, 8, 3
+#: Candidates differ in at most so many bits of the fingerprint (unlike ones in 32, about), and their sketches may look this much less similar.
+WIDEST, SLACK = 20, 0.1
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """A bit is 1 if it is set in over half the XXH64 hashes of the shingles."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return 0
-    data = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    n = max(1, len(words) - shingle + 1)
+# ---- fingerprints
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+def sketch(text: str | None, shingle: int = SHINGLE, words: int = 1) -> np.ndarray:
+    """Words of 64 bits; a bit is 1 if it is set in over half the hashes of the shingles: XXH64, after it hashes mixed from it."""
+    split = (text or "").encode().lower().split()
+    if not split:
+        return np.zeros(words, np.uint64)
+    data = b" ".join(split)
+    ends = np.cumsum(np.fromiter(map(len, split), np.int64, len(split)) + 1) - 1
+    n = max(1, len(split) - shingle + 1)
     starts = np.concatenate(([0], ends[: n - 1] + 1)).tolist()
-    stops = ends[len(words) - n :].tolist()
+    stops = ends[len(split) - n :].tolist()
     digest = xxhash.xxh64_intdigest
     hashes = np.array([digest(data[a:b], SEED) for a, b in zip(starts, stops, strict=True)], np.uint64)
-    counts = np.zeros(BITS, np.int64)
+    salts = np.arange(words, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    counts = np.zeros(BITS * words, np.int64)
     for at in range(0, n, 4096):
-        part = hashes[at : at + 4096]
-        bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        part = hashes[at : at + 4096, None]
+        if words > 1:
+            part = np.concatenate((part, _mixed(part + salts[1:])), axis=1)
+        bits = np.unpackbits(np.ascontiguousarray(part).view(np.uint8), axis=1, bitorder="little")
         counts += bits.sum(axis=0, dtype=np.uint16)
-    return int(np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)[0])
+    return np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """A bit is 1 if it is set in over half the XXH64 hashes of the shingles."""
+    return int(sketch(text, shingle)[0])
 
 
-def with_fingerprints(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), shingle: int = SHINGLE) -> DataFrame:
-    """The column fp, the fingerprint as a signed long. Text: A-Z lower-cased, words between ASCII white space."""
+def with_fingerprints(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), shingle: int = SHINGLE, words: int = 1) -> DataFrame:
+    """Columns fp, the fingerprint as a signed long, and bits, the sketch of so many words. Text: A-Z lower-cased, words between ASCII white space."""
 
     def make():
         def call(texts):
-            return [np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)]
+            made = np.array([sketch(t, shingle, words) for t in texts], np.uint64).reshape(-1, words)
+            return [np.ascontiguousarray(made[:, 0]).view(np.int64), [x.tobytes() for x in made]]
 
         return call
 
-    return per_document(df, make, "fp long", text_col, keep)
+    return per_document(df, make, "fp long, bits binary", text_col, keep)
+
+
+# ---- the index
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -88,107 +123,161 @@ def _nodes(same: np.ndarray, pattern: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return agreed, ones & agreed
 
 
-def near_pairs(codes: np.ndarray, distance: int = DISTANCE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs i < j of codes (in Gray order) that differ in at most `distance` bits, some at a time."""
-    levels = [(np.full(len(codes), ~np.uint64(0)), codes)]
-    while len(levels[-1][0]) > NODE:
-        levels.append(_nodes(*levels[-1]))
-    inner_a, inner_b = (x.ravel() for x in np.meshgrid(np.arange(NODE), np.arange(NODE), indexing="ij"))
-
-    def below(level, a, b):
-        same, pattern = levels[level]
-        near = np.bitwise_count((pattern[a] ^ pattern[b]) & same[a] & same[b]) <= distance
-        a, b = a[near], b[near]
-        if not level:
-            yield a[a < b], b[a < b]
-            return
-        n = len(levels[level - 1][0])
-        for at in range(0, len(a), 2048):
-            x = (a[at : at + 2048, None] * NODE + inner_a).ravel()
-            y = (b[at : at + 2048, None] * NODE + inner_b).ravel()
-            fits = (x <= y) & (x < n) & (y < n)
-            yield from below(level - 1, x[fits], y[fits])
-
-    yield from below(len(levels) - 1, *np.triu_indices(len(levels[-1][0])))
-
-
-def stars(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(member, centre) for each member of a cluster of linked codes that isn't its centre."""
+class GrayIndex:
+    """Nodes over codes in Gray order; visited and pruned count pairs of nodes."""
+
+    def __init__(self, codes: np.ndarray):
+        self.levels = [(np.full(len(codes), ~np.uint64(0)), codes)]
+        while len(self.levels[-1][0]) > NODE:
+            self.levels.append(_nodes(*self.levels[-1]))
+        self.visited = self.pruned = 0
+
+    def near_pairs(self, distance: int = DISTANCE, head: int = BITS, within: int = DISTANCE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Index pairs i < j of codes that differ in at most `distance` bits, and `within` of their first `head` bits; some at a time."""
+        first = np.uint64((1 << BITS) - (1 << (BITS - head)))
+        inner_a, inner_b = (x.ravel() for x in np.meshgrid(np.arange(NODE), np.arange(NODE), indexing="ij"))
+
+        def below(level, a, b):
+            same, pattern = self.levels[level]
+            apart = (pattern[a] ^ pattern[b]) & same[a] & same[b]
+            near = np.bitwise_count(apart) <= distance
+            if head < BITS:
+                near &= np.bitwise_count(apart & first) <= within
+            self.visited += len(a)
+            a, b = a[near], b[near]
+            if not level:
+                yield a, b
+                return
+            self.pruned += len(near) - len(a)
+            n = len(self.levels[level - 1][0])
+            for at in range(0, len(a), 1024):
+                x = (a[at : at + 1024, None] * NODE + inner_a).ravel()
+                y = (b[at : at + 1024, None] * NODE + inner_b).ravel()
+                fits = (x <= y if level > 1 else x < y) & (x < n) & (y < n)
+                yield from below(level - 1, x[fits], y[fits])
+
+        top = len(self.levels) - 1
+        yield from below(top, *np.triu_indices(len(self.levels[top][0]), int(top == 0)))
+
+
+def _joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Joins the clusters of pairs (a, b) in label; the pairs that joined two."""
+    used: list[tuple[np.ndarray, np.ndarray]] = []
+    while True:
+        x, y = label[a], label[b]
+        apart = x != y
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        if not len(a):
+            break
+        high, first = np.unique(np.maximum(x, y), return_index=True)  # each cluster joins one with a smaller label
+        label[high] = np.minimum(x, y)[first]
+        used.append((a[first], b[first]))
+        while (deeper := label[label] != label).any():
+            label[deeper] = label[label[deeper]]
+    return tuple(np.concatenate(x) for x in zip(*used, strict=True)) if used else (a, b)
+
+
+def forest(codes: np.ndarray, bits: np.ndarray | None = None, most: int = 0, distance: int = DISTANCE, head: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places that link: a spanning forest of the links between codes.
+
+    bits: a sketch for each code, of which linked ones differ in at most `most` bits; closer pairs come first.
+    """
     order = np.argsort(gray_rank(codes), kind="stable")
-    codes = codes[order]
+    index = GrayIndex(codes[order])
     label = np.arange(len(codes))
-    for a, b in near_pairs(codes):
-        while True:
-            x, y = label[a], label[b]
-            apart = x != y
-            if not apart.any():
-                break
-            a, b, x, y = a[apart], b[apart], x[apart], y[apart]
-            np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
-            while (deeper := label[label] != label).any():
-                label[deeper] = label[label[deeper]]
-    off = np.flatnonzero(label != np.arange(len(codes)))
-    return codes[off], codes[label[off]]
-
-
-def _link_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        lists = batch.column(0)
-        offsets = lists.offsets.to_numpy()
-        values = lists.values.to_numpy(zero_copy_only=False).view(np.uint64)
-        sizes = np.diff(offsets)
-        found = [stars(values[a:b]) for a, b in zip(offsets[:-1][sizes > NODE], offsets[1:][sizes > NODE], strict=True)]
-        # small groups are one leaf each: all of them at once, by their distance within the group
-        ids = np.repeat(np.arange(len(sizes)), np.where(sizes <= NODE, sizes, 0))
-        small = np.repeat(sizes <= NODE, sizes)
-        codes = values[offsets[0] : offsets[-1]][small]
-        for d in range(1, NODE):
-            if d >= len(codes):
-                break
-            near = (ids[d:] == ids[:-d]) & (np.bitwise_count(codes[d:] ^ codes[:-d]) <= DISTANCE)
-            found.append((codes[d:][near], codes[:-d][near]))
-        if found:
-            u, v = (np.concatenate(x).view(np.int64) for x in zip(*found, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
-
-
-def _blocks(mask: int) -> list[int]:
-    """mask with each quarter of its free bits added."""
-    free = [i for i in range(BITS) if not mask >> i & 1]
-    cuts = [round(k * len(free) / 4) for k in range(5)]
-    return [mask | sum(1 << i for i in free[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for limit in [0] if bits is None else [most // 4, most // 2, 3 * most // 4, most]:
+        for a, b in index.near_pairs(distance, head):
+            a, b = order[a], order[b]
+            if bits is not None:
+                apart = label[a] != label[b]
+                a, b = a[apart], b[apart]
+                near = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int32) <= limit
+                a, b = a[near], b[near]
+            found.append(_joined(label, a, b))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (label[:0], label[:0])
+
+
+# ---- groups
+
+
+def _part_bits(parts: int) -> list[range]:
+    cuts = [round(k * BITS / parts) for k in range(parts + 1)]
+    return [range(a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def _blocks(free: list[int], bits: int = BITS) -> list[int]:
+    """Masks of up to `bits` leading bits of each of the BLOCKS blocks of some free bits."""
+    cuts = [round(k * len(free) / BLOCKS) for k in range(BLOCKS + 1)]
+    return [sum(1 << i for i in free[max(a, b - bits) : b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 def _signed(x: int) -> int:
     return x - (1 << BITS) if x >> (BITS - 1) else x
 
 
-def links(codes: DataFrame) -> DataFrame:
-    """Edges (u, v) of spanning stars, from distinct codes (column fp): their components are those of all links."""
-    masks = _blocks(0)
-    rows = codes.select("fp", F.explode(F.array(*[F.lit(_signed(m)) for m in masks])).alias("mask"))
+def links(codes: DataFrame, n: int, parts: int = 1, most: int | None = None) -> DataFrame:
+    """Edges (u, v) of spanning forests, from n distinct codes (columns node, fp, bits): their components are those of all links.
+
+    most: of the bits of linked codes, how many may differ; without it, fp alone decides.
+    """
+    spark = codes.sparkSession
+    free = _part_bits(parts)
+    lead = max(0, math.ceil(math.log2(max(1, 8 * n / MAX_GROUP))))
+    groups = sorted({(part, mask) for part in range(parts) for mask in _blocks(list(free[part]), lead)})
+    distance = DISTANCE if most is None else WIDEST
+
+    def link(key, table):
+        if table.num_rows > 1:
+            part = free[key[0].as_py()]
+            fps = table.column("fp").to_numpy().view(np.uint64)
+            turn = np.uint64(BITS - part.stop)
+            if turn:
+                fps = fps << turn | fps >> (np.uint64(BITS) - turn)
+            bits = None
+            if most is not None:
+                bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(fps), -1)
+            a, b = forest(fps, bits, most or 0, distance, len(part))
+            nodes = table.column("node").to_numpy()
+            u, v = nodes[a], nodes[b]
+        else:
+            u = v = np.zeros(0, np.int64)
+        return pa.Table.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    held = ["node", "fp"] + ["bits"] * (most is not None)
+    rows = codes.select(*held, F.explode(F.array(*[F.struct(F.lit(p).alias("part"), F.lit(_signed(m)).alias("mask")) for p, m in groups])).alias("g"))
+    rows = rows.select(*held, "g.part", "g.mask")
     found = None
     while True:
         rows = rows.withColumn("value", F.col("fp").bitwiseAND(F.col("mask")))
-        last = BITS - min(m.bit_count() for m in masks) <= MAX_GROUP.bit_length() - 1
-        hot = None
-        if not last:
-            sizes = rows.groupBy("mask", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MAX_GROUP)
-            hot = stored(sizes.select("mask", "value"), "simhash-groups")
-            if hot.isEmpty():
-                hot = None
-        cold = rows if hot is None else rows.join(hot, ["mask", "value"], "left_anti")
-        groups = cold.groupBy("mask", "value").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
-        part = groups.select("fps").mapInArrow(_link_groups, "u long, v long")
-        found = part if found is None else found.unionByName(part)
+        sizes = rows.groupBy("part", "mask", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MAX_GROUP)
+        hot = stored(sizes, "simhash-groups")
+        if hot.isEmpty():
+            hot = None
+        cold = rows if hot is None else rows.join(hot, ["part", "mask", "value"], "left_anti")
+        made = cold.groupBy("part", "mask", "value").applyInArrow(link, "u long, v long")
+        found = made if found is None else found.unionByName(made)
         if hot is None:
             return found
-        deeper = {m: _blocks(m) for m in masks}
-        spark = codes.sparkSession
-        dealt = spark.createDataFrame([(_signed(m), [_signed(x) for x in new]) for m, new in deeper.items()], "mask long, masks array<long>")
-        # at most 4 ** 5 masks exist
-        rows = rows.join(hot, ["mask", "value"], "left_semi").join(F.broadcast(dealt), "mask").select("fp", F.explode("masks").alias("mask"))
-        masks = sorted({x for new in deeper.values() for x in new})
+        deeper = {(p, m): [m | x for x in _blocks(f)] for p, m in groups if len(f := [i for i in free[p] if not m >> i & 1]) >= 3 * BLOCKS}
+        spent = [(p, _signed(m)) for p, m in groups if (p, m) not in deeper]
+        if spent:
+            # few bits of the part are left: all pairs of chunks of such a group
+            full = spark.createDataFrame(spent, "part int, mask long")
+            pieces = rows.join(hot, ["part", "mask", "value"]).join(F.broadcast(full), ["part", "mask"]).withColumn("k", F.ceil(F.col("n") * 2 / MAX_GROUP))
+            own = F.pmod(F.xxhash64("node"), F.col("k"))
+            pairs = pieces.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1))).where("other <> own")
+            pairs = pairs.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
+            found = found.unionByName(pairs.groupBy("part", "mask", "value", "low", "high").applyInArrow(link, "u long, v long"))
+        if not deeper:
+            return found
+        dealt = spark.createDataFrame([(p, _signed(m), [_signed(x) for x in new]) for (p, m), new in deeper.items()], "part int, mask long, masks array<long>")
+        # at most parts * BLOCKS ** levels masks exist
+        rows = rows.join(hot, ["part", "mask", "value"], "left_semi").join(F.broadcast(dealt), ["part", "mask"]).select(*held, "part", F.explode("masks").alias("mask"))
+        groups = sorted({(p, x) for (p, _), new in deeper.items() for x in new})
+
+
+# ---- components
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -216,15 +305,63 @@ def components(edges: DataFrame) -> DataFrame:
         edges = after
 
 
+def _grouped(docs: DataFrame, node: Column, id_col: str, keep: tuple[str, ...], parts: int, most: int | None, true_edges=lambda edges, docs: edges) -> DataFrame:
+    """One row for each row of docs (which has fp and bits): id_col, keep, fp, root (never null) and component_id."""
+    docs = stored(docs.withColumn("__node__", node), "simhash")
+    held = [F.first("bits").alias("bits")] if most is not None else []
+    codes = stored(docs.groupBy(F.col("__node__").alias("node")).agg(F.min(F.col(f"`{id_col}`")).alias("first"), F.first("fp").alias("fp"), *held), "simhash-codes")
+    edges = true_edges(links(codes, codes.count(), parts, most), docs)
+    joined = components(edges).withColumnRenamed("node", "linked")
+    roots = codes.join(joined, codes["node"] == joined["linked"], "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    named = roots.groupBy("root").agg(F.min("first").alias("component_id"))
+    by_code = roots.join(named, "root").select(F.col("node").alias("__node__"), "root", "component_id")
+    return docs.join(by_code, "__node__").select(F.col(f"`{id_col}`"), *keep, "fp", "root", "component_id")
+
+
 def with_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """One row for each input row: id_col, the columns keep, fp, root (the component, never null) and component_id."""
-    docs = stored(with_fingerprints(df, text_col, (id_col, *keep)), "simhash")
-    codes = docs.groupBy("fp").agg(F.min(id_col).alias("first"))
-    joined = components(links(codes.select("fp")))
-    roots = codes.join(joined, codes["fp"] == joined["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    named = roots.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_code = roots.join(named, "root").select("fp", "root", "component_id")
-    return docs.join(by_code, "fp").select(id_col, *keep, "fp", "root", "component_id")
+    docs = with_fingerprints(df, text_col, (id_col, *keep)).drop("bits")
+    return _grouped(docs, F.col("fp"), id_col, keep, 1, None)
+
+
+def differing(similarity: float, bits: int = SKETCH * BITS) -> int:
+    """How many of a sketch's bits are expected to differ at a Jaccard similarity of equally large sets."""
+    return round(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+
+
+def shingles(text: str | None, shingle: int = SIMILAR_SHINGLE) -> set[bytes]:
+    words = (text or "").encode().lower().split()
+    return {b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))} if words else set()
+
+
+def _similar(edges: DataFrame, texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """The edges whose texts (node, text) have that Jaccard similarity."""
+
+    def run(batches):
+        for batch in batches:
+            fits = []
+            for k in range(batch.num_rows):
+                a, b = (shingles(batch.column(c)[k].as_py(), shingle) for c in (2, 3))
+                shared = len(a & b)
+                fits.append(not a and not b or shared >= similarity * (len(a) + len(b) - shared))
+            yield batch.select(["u", "v"]).filter(pa.array(fits, pa.bool_()))
+
+    left, right = (texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")) for c in "uv")
+    return edges.join(left, "u").join(right, "v").select("u", "v", "text_u", "text_v").mapInArrow(run, "u long, v long")
+
+
+def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), similarity: float = 0.8, shingle: int = SIMILAR_SHINGLE) -> DataFrame:
+    """As with_groups, by the Jaccard similarity of the texts' shingles of five words; texts with equal sketches count as equal."""
+
+    def true_edges(edges: DataFrame, docs: DataFrame) -> DataFrame:
+        edges = stored(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "simhash-edges")
+        ends = edges.select(F.explode(F.array("u", "v")).alias("__node__")).distinct()
+        texts = docs.join(ends, "__node__", "left_semi").groupBy(F.col("__node__").alias("node")).agg(F.first("__whole__").alias("text"))
+        return _similar(edges, texts, similarity, shingle)
+
+    coded = df.withColumn("__whole__", F.col(f"`{text_col}`").cast("string"))
+    docs = with_fingerprints(coded, "__whole__", (id_col, "__whole__", *keep), shingle, SKETCH)
+    return _grouped(docs, F.xxhash64("bits"), id_col, keep, PARTS, differing(similarity - SLACK), true_edges)
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -49,26 +49,69 @@ def test_fingerprints():
 def test_pairs_are_all_pairs(codes):
     array = np.array(codes, np.uint64)
     array = array[np.argsort(simhash.gray_rank(array))]
-    got = {(int(array[i]), int(array[j])) for a, b in simhash.near_pairs(array) for i, j in zip(a, b, strict=True)}
+    index = simhash.GrayIndex(array)
+    got = {(int(array[i]), int(array[j])) for a, b in index.near_pairs() for i, j in zip(a, b, strict=True)}
     got = {(min(p), max(p)) for p in got}
     assert got == {(a, b) for a in codes for b in codes if a < b and (a ^ b).bit_count() <= 3}
+    assert index.pruned > 0
 
 
-@pytest.mark.parametrize("most", [4096, 64])
+def test_the_index_prunes_on_the_tables(spark):
+    """On real fingerprints whole nodes are pruned, and what is left are all pairs."""
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    array = np.array(sorted({simhash.fingerprint(t) for t in texts}), np.uint64)
+    array = array[np.argsort(simhash.gray_rank(array))]
+    index = simhash.GrayIndex(array)
+    got = {(int(i), int(j)) for a, b in index.near_pairs() for i, j in zip(a, b, strict=True)}
+    near = np.bitwise_count(array[:, None] ^ array[None, :]) <= 3
+    assert got == {(int(i), int(j)) for i, j in np.argwhere(np.triu(near, 1))}
+    assert index.pruned > 0
+    within = {(int(i), int(j)) for a, b in simhash.GrayIndex(array).near_pairs(11, 21) for i, j in zip(a, b, strict=True)}
+    head = np.bitwise_count((array[:, None] ^ array[None, :]) >> np.uint64(43)) <= 3
+    assert within == {(int(i), int(j)) for i, j in np.argwhere(np.triu(head & (np.bitwise_count(array[:, None] ^ array[None, :]) <= 11), 1))}
+
+
+def grouped(codes, got):
+    mine = {}
+    for c in codes:
+        mine.setdefault(got.get(c, c), set()).add(c)
+    return sorted(map(sorted, mine.values()))
+
+
+@pytest.mark.parametrize("most", [8192, 64])
 def test_components(spark, codes, most, monkeypatch):
     """Also where groups are dealt out again and again."""
     monkeypatch.setattr(simhash, "MAX_GROUP", most)
     signed = [(c - (1 << 64) if c >> 63 else c,) for c in codes]
-    df = spark.createDataFrame(signed, "fp long")
-    got = {r.node % (1 << 64): r.root % (1 << 64) for r in simhash.components(simhash.links(df)).collect()}
-    want = brute_components(codes)
-    groups = {}
-    for c in codes:
-        groups.setdefault(want[c], set()).add(c)
-    mine = {}
-    for c in codes:
-        mine.setdefault(got.get(c, c), set()).add(c)
-    assert sorted(map(sorted, mine.values())) == sorted(map(sorted, groups.values()))
+    df = spark.createDataFrame(signed, "fp long").withColumn("node", F.col("fp"))
+    got = {r.node % (1 << 64): r.root % (1 << 64) for r in simhash.components(simhash.links(df, len(codes))).collect()}
+    assert grouped(codes, got) == grouped(codes, brute_components(codes))
+
+
+@pytest.mark.parametrize("most", [8192, 16])
+def test_parts(spark, codes, most, monkeypatch):
+    """Three parts find all pairs of up to 11 bits, also through chunks of groups whose part is used up."""
+    monkeypatch.setattr(simhash, "MAX_GROUP", most)
+    monkeypatch.setattr(simhash, "WIDEST", 11)
+    rng = np.random.default_rng(8)
+    wide = sorted({c ^ sum({1 << int(b) for b in rng.integers(0, 21, 4)}) for c in codes[:90] for _ in range(3)})
+    rows = [(k, c - (1 << 64) if c >> 63 else c, c.to_bytes(8, "little")) for k, c in enumerate(wide)]
+    df = spark.createDataFrame(rows, "node long, fp long, bits binary")
+    got = {r.node: r.root for r in simhash.components(simhash.links(df, len(rows), 3, 11)).collect()}
+    root = list(range(len(wide)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(wide):
+        for j in range(i):
+            if (a ^ wide[j]).bit_count() <= 11:
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    nodes = list(range(len(wide)))
+    assert grouped(nodes, got) == grouped(nodes, {k: find(k) for k in nodes})
 
 
 def test_long_chain(spark):
@@ -99,3 +142,44 @@ def test_query_against_brute_force(spark, sf):
         least[roots[c]] = min(i, least.get(roots[c], i))
     got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.op2_simhash(spark, sf).collect()}
     assert got == {i: (f"{c:016x}", least[roots[c]]) for i, c in docs.items()}
+
+
+def test_similar_groups_against_jaccard(spark):
+    """Groups hold together by pairs of a similarity of 0.8, and at least nine in ten such pairs are in one group."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sets = {r.doc_id: simhash.shingles(r.text) for r in docs.collect()}
+    got = {r.doc_id: r.root for r in simhash.similar_groups(docs).collect()}
+    assert got.keys() == sets.keys()
+    near = lambda a, b: a == b or bool(a and b) and 10 * len(a & b) >= 8 * len(a | b)
+    ids = sorted(sets, key=lambda i: len(sets[i]))
+    pairs = []
+    for k, i in enumerate(ids):
+        for j in ids[k + 1 :]:
+            if len(sets[j]) * 0.8 > len(sets[i]):
+                break
+            if near(sets[i], sets[j]):
+                pairs.append((i, j))
+    unequal = [(i, j) for i, j in pairs if sets[i] != sets[j]]
+    assert all(got[i] == got[j] for i, j in pairs if sets[i] == sets[j])
+    assert sum(got[i] == got[j] for i, j in unequal) >= 0.9 * len(unequal) > 0
+    root = {i: i for i in ids}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, j in pairs:
+        root[find(i)] = find(j)
+    named = {}
+    assert all(named.setdefault(got[i], find(i)) == find(i) for i in ids)
+
+
+def test_similar_odd_rows(odd, none):
+    rows = simhash.similar_groups(odd, keep=("n",)).collect()
+    assert len(rows) == odd.count()
+    roots = {}
+    for r in rows:
+        roots.setdefault(r.root, []).append(r.doc_id)
+    assert sorted(sorted(map(str, x)) for x in roots.values() if len(x) > 1) == [["1", "6", "None"], ["2", "2", "3", "5", "None"]]
+    assert simhash.similar_groups(none).count() == 0
