@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..shared import drop_stored, shared_dir, stored
+from ..shared import drop_stored, remove, shared_dir, stored
 
-__all__ = ["bucketed", "drop_stored", "fold", "per_document", "sampled", "shared_dir", "stored", "table"]
+__all__ = ["bucketed", "drop_stored", "fold", "per_document", "remove", "sampled", "shared_dir", "stored", "table"]
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
