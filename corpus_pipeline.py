@@ -1,9 +1,9 @@
 """Documents to token ids, in stages; each is written as Parquet and read again as the next one's documents.
 
 1. toxicity: documents predicted toxic go.
-2. near-duplicates by SimHash (the operator's own contract: 3-word shingles, links at 3 differing bits): of each
-   group one row stays, that of the smallest id (of rows with that id, the one with the smallest hash). Rows of one id
-   in different groups are different documents. Of a group's rows without an id one stays too.
+2. near-duplicates by SimHash and exact comparison: texts link at a similarity of 0.8 of their five-word shingles; of each
+   group one row stays, that of the smallest id (of rows with that id, the one with the smallest hash; rows without an
+   id come last). Rows of one id in different groups are different documents.
 3. benchmark decontamination: documents that hold a window of a benchmark item go.
 4. personal data: spans give way to the name of their kind; n_chars follows.
 5. byte-level BPE: ids of each text, with the digests of ids and of the decoded bytes.
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillbase.llm import byte_bpe, decontaminate, pii, simhash, toxicity
-from quillbase.llm.common import shared_dir, table
+from quillbase.llm.common import remove, shared_dir, table
 
 
 def _apply(docs: DataFrame, operator, then) -> DataFrame:
@@ -48,12 +48,11 @@ def _row_code(docs: DataFrame) -> Column:
 
 def duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     def first(d: DataFrame, coded: dict[str, str]) -> DataFrame:
-        # ids can repeat or be null, so a row is known by its id and its code
+        # ids can repeat or be null, so a row is known by its code
         key = coded["doc_id"]
-        groups = simhash.with_groups(d, key, coded["text"], ("code",))
-        least = groups.groupBy("root", F.isnull(key).alias("no_id")).agg(F.min(F.struct(F.col(key).alias("id"), F.col("code").alias("row"))).alias("of"))
-        kept = least.select("of.*")
-        return d.join(kept, F.col(key).eqNullSafe(F.col("id")) & (F.col("code") == F.col("row")), "left_semi").dropDuplicates([key, "code"])
+        groups = simhash.similar_groups(d, key, coded["text"], ("code",))
+        kept = groups.groupBy("root").agg(F.min(F.struct(F.isnull(key).alias("last"), F.col(key).alias("id"), F.col("code").alias("row"))).alias("of")).select("of.row")
+        return d.join(kept, F.col("code") == F.col("row"), "left_semi").dropDuplicates(["code"])
 
     return _apply(docs, lambda d, text, keep: d.withColumn("code", _row_code(d)), first)
 
@@ -101,4 +100,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = f"{folder}/{place}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if place:  # what the stage read isn't needed any more
+            remove(spark, before)
+        before = path
     return docs
