@@ -3,20 +3,27 @@
 The patterns (e-mail, IP address, payment card, phone) give the base spans, each kind leftmost and without overlaps.
 They are found in time linear in the text: e-mails from their "@", addresses from runs of digits and dots.
 
-The model finds what the patterns miss, data written so as to be read by people only ("name [at] host [dot] com",
-cards with dots, phones without "+"). It is trained in numpy from labelled spans: windows of a bounded sample (of
+The model finds what the patterns miss, data written so as to be read by people only ("name at host dot com", cards with
+other signs between digits, phones without "+"). It is trained in numpy from labelled spans: windows of a bounded sample (of
 MAX_SCREENED documents of up to MAX_CHARS characters, by a hash of the id, MAX_SAMPLE with digits or "@") whose labels
-are the base spans, and copies of them in which a span is rewritten in such a way. It reads the surroundings of digits, "@" and bracketed "at" outside base spans, in overlapping
-windows; the windows' scores are added up for each character, weighted by the distance to the window's ends, and one
-Viterbi pass with the CRF's transitions decides each region as a whole. A span it adds must stand apart from
-letters and digits, hold what its kind requires (digits, Luhn's sum, parts at most 255) and not touch a base span.
-
-Null texts are empty and have no spans. Rows are kept as they are, whatever their ids, and columns not asked for
-are dropped. Without documents the model learns from generated spans alone.
+are the base spans; up to PER_TEXT copies of spans of each text rewritten in many ways; INVENTED examples of each kind; and windows
+without data, of the sample and with invented dates, versions, sums and hexadecimal numbers. Those are all bounds of the fit.
+
+It reads, in overlapping windows, all text within AROUND characters of anything that such data can't do without: a digit, "@",
+"at" in any brackets, "dot" as a word, a dot within a word, or two numerals as words; case doesn't matter. The windows' scores are
+added up for each character, weighted by the distance to the window's ends, and one Viterbi pass with the CRF's transitions
+decides each region as a whole. Which characters are a span, the CRF alone says; it is kept if it stands apart from letters
+and digits, can be of its kind (numbers of an address at most 255, Luhn's sum, a count of digits, words of an e-mail)
+and touches no base span.
+
+Null texts are empty and have no spans. Very long texts are whole; their regions are read some at a time. Rows are kept as
+they are, whatever their ids; columns not asked for are dropped, and one asked for with the name of a result gives way
+to it. Without documents the model learns from generated spans alone. Equal samples are fitted once a session.
 """
 
 from __future__ import annotations
 
+import hashlib
 import random
 import re
 
@@ -30,15 +37,17 @@ KINDS = ("email", "ip", "card", "phone")
 MAX_SAMPLE = 300
 MAX_SCREENED = 6000
 MAX_CHARS = 20_000
-WINDOW, STRIDE, AROUND = 64, 32, 24
-HIDDEN = 16
+PER_TEXT, INVENTED, NOISE = 4, 1000, 1200
+WINDOW, STRIDE, AROUND = 64, 32, 28
+HIDDEN = 24
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DIGIT = re.compile(r"[0-9]")
 _DOTTED = re.compile(r"[0-9][0-9.]*")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_TRIGGER = re.compile(r"[0-9@]|[\[({<] ?(?:at|AT|dot|DOT) ?[\])}>]")
+_NUMERAL = r"(?:zero|one|two|three|four|five|six|seven|eight|nine|oh)"
+_TRIGGER = re.compile(rf"(?i)[0-9@]|[\[({{<*_-] ?at ?[\])}}>*_-]|\bdot\b|[a-z]\.[a-z]|\b{_NUMERAL}[ -]{_NUMERAL}\b")
 
 
 def luhn(digits: str) -> bool:
@@ -110,15 +119,16 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 # ---- the model
 
 _SYMBOLS = {c: i for i, c in enumerate("\0abcdefghijklmnopqrstuvwxyz0@.-+() _%[]<>{}/:,;\n'\"#*=", 0)}
-_UPPER, _WIDE, _REST = len(_SYMBOLS), len(_SYMBOLS) + 1, len(_SYMBOLS) + 2
-N_SYMBOLS = len(_SYMBOLS) + 3
+_SYMBOLS |= {c.upper(): i for c, i in _SYMBOLS.items() if c.islower()}
+_WIDE, _REST = max(_SYMBOLS.values()) + 1, max(_SYMBOLS.values()) + 2
+N_SYMBOLS = _REST + 1
 #: Outside, then the beginning and inside of each kind.
 N_LABELS = 1 + 2 * len(KINDS)
 
 
 def symbols(text: str) -> np.ndarray:
     get = _SYMBOLS.get
-    return np.array([get(c) or (_SYMBOLS["0"] if "0" <= c <= "9" else _UPPER if "A" <= c <= "Z" else _WIDE if c.isalpha() else _REST) for c in text], np.int32)
+    return np.array([get(c) or (_SYMBOLS["0"] if "0" <= c <= "9" else _WIDE if c.isalpha() else _REST) for c in text], np.int32)
 
 
 def label_array(n: int, spans, offset: int = 0) -> np.ndarray:
@@ -152,8 +162,8 @@ class Tagger:
         h = HIDDEN
         pre, wh = self.p[f"Wx{d}"][x.T], self.p[f"Wh{d}"]  # time, batch, gates
         steps, n = pre.shape[:2]
-        out = np.zeros((steps + 1, n, h))
-        c = np.zeros((n, h))
+        out = np.zeros((steps + 1, n, h), pre.dtype)
+        c = np.zeros((n, h), pre.dtype)
         kept = []
         for t in range(steps):
             z = pre[t] + out[t - 1 if t else steps] @ wh
@@ -185,7 +195,7 @@ class Tagger:
             grad = dh[:, :, :h] if d == "f" else dh[::-1, :, h:]
             xs = x.T if d == "f" else x[:, ::-1].T
             wh = self.p[f"Wh{d}"]
-            gx, gh = np.zeros_like(self.p[f"Wx{d}"]), np.zeros_like(wh)
+            gh, into = np.zeros_like(wh), np.zeros((*xs.shape, 4 * h), wh.dtype)
             back, dc = np.zeros_like(out[0]), np.zeros_like(out[0])
             for t in range(len(kept) - 1, -1, -1):
                 gate, new, before, tc = kept[t]
@@ -194,11 +204,13 @@ class Tagger:
                 dc = dc + total * o * (1 - tc**2)
                 dz = np.concatenate((dc * new * i * (1 - i), dc * before * f * (1 - f), total * tc * o * (1 - o), dc * i * (1 - new**2)), axis=1)
                 dc = dc * f
-                np.add.at(gx, xs[t], dz)
+                into[t] = dz
                 if t:
                     gh += out[t - 1].T @ dz
                 back = dz @ wh.T
-            g |= {f"Wx{d}": gx, f"Wh{d}": gh}
+            hot = np.zeros((xs.size, N_SYMBOLS), wh.dtype)
+            hot[np.arange(xs.size), xs.ravel()] = 1
+            g |= {f"Wx{d}": hot.T @ into.reshape(xs.size, -1), f"Wh{d}": gh}
         return loss, g
 
     def _crf(self, e: np.ndarray, y: np.ndarray):
@@ -224,7 +236,8 @@ class Tagger:
             de[t, rows, y[t]] -= 1
         return float(z.sum() - score) / n, de / n, da / n
 
-    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 9, batch: int = 32, rate: float = 0.02, seed: int = 3) -> "Tagger":
+    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 16, batch: int = 80, rate: float = 0.02, seed: int = 3) -> "Tagger":
+        self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
         rng = np.random.default_rng(seed)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         s = {k: np.zeros_like(v) for k, v in self.p.items()}
@@ -235,10 +248,11 @@ class Tagger:
                 part = order[at : at + batch]
                 _, g = self.gradients(x[part], y[part])
                 step += 1
+                fade = rate * (1 - step / (1 + epochs * -(-len(x) // batch)))
                 for k, v in g.items():
                     m[k] = 0.9 * m[k] + 0.1 * v
                     s[k] = 0.99 * s[k] + 0.01 * v * v
-                    self.p[k] -= rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.99**step)) + 1e-6)
+                    self.p[k] -= fade * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.99**step)) + 1e-6)
         return self
 
     def viterbi(self, scores: np.ndarray) -> np.ndarray:
@@ -302,61 +316,104 @@ def spans_of(labels: np.ndarray) -> list[tuple[str, int, int]]:
 # ---- training data
 
 
+_LETTERS, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+_NUMERALS = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine")
+
+
+def _sign(word: str, sign: str, rng: random.Random) -> str:
+    """A sign as a word, in brackets or between spaces; or with spaces around it."""
+    case = rng.choice([str.lower, str.lower, str.upper, str.title])
+    left, right = rng.choice(["[]", "()", "{}", "<>", "--", "__", "**"])
+    inner, outer = " " * (rng.random() < 0.2), " " * (rng.random() < 0.6)
+    kind = rng.random()
+    if kind < 0.45:
+        return outer + left + inner + case(word) + inner + right + outer
+    if kind < 0.55:
+        return outer + left + sign + right + outer
+    return f" {case(word)} " if kind < 0.85 else f" {sign} "
+
+
+def _numbers(digits: str, sizes: list[int], rng: random.Random) -> str:
+    between = rng.choice([" ", " ", ".", "-", "/", "_", "  ", " - ", " . ", ":", "|", " / ", ","])
+    parts, at = [], 0
+    for n in sizes:
+        parts.append(digits[at : at + n])
+        at += n
+    return between.join([*parts, *([digits[at:]] if at < len(digits) else [])])
+
+
 def disguise(kind: str, span: str, rng: random.Random) -> str:
-    """The span as people write it to hide it from machines."""
+    """The span as people write it to hide it from machines, or carelessly."""
     if kind == "email":
         name, _, host = span.partition("@")
-        at, dot = rng.choice([(" [at] ", " [dot] "), (" (at) ", " (dot) "), ("(at)", "(dot)"), ("[at]", "."), (" @ ", " . "), (" <at> ", " <dot> ")])
-        return name + at + host.replace(".", dot)
+        dot = _sign("dot", ".", rng) if rng.random() < 0.8 else "."
+        return name.replace(".", rng.choice([".", dot])) + (_sign("at", "@", rng) if rng.random() < 0.95 or dot == "." else "@") + host.replace(".", dot)
     if kind == "ip":
-        return span.replace(".", rng.choice(["[.]", "(.)", " . ", "[dot]"]))
-    if kind == "card":
-        digits = re.sub(r"\D", "", span)
-        return rng.choice([".", "/", "  ", "_", " - "]).join(digits[i : i + 4] for i in range(0, len(digits), 4))
+        return span.replace(".", rng.choice([_sign("dot", ".", rng), _sign("dot", ".", rng), "[.]", "(.)", " . ", ",", "-", ":"]))
     digits = re.sub(r"\D", "", span)
-    return rng.choice([span[1:].lstrip(), f"({digits[:3]}) {digits[3:6]}-{digits[6:]}", f"{digits[:3]}-{digits[3:6]}-{digits[6:]}", f"{digits[:3]}.{digits[3:6]}.{digits[6:]}"])
+    if kind == "card":
+        return _numbers(digits, [4] * 4 if rng.random() < 0.85 else [4, 6], rng)
+    if rng.random() < 0.12:
+        return rng.choice([" ", "-", ", "]).join(_NUMERALS[int(d)] for d in digits[:10])
+    own = rng.choice([digits[:10], digits[-10:], "0" + digits[-9:], "00" + digits])
+    own = own[: rng.choice([7, 10, 10, 10, 11, 13])] if not own.startswith("00") else own[:13]
+    if rng.random() < 0.25:
+        return f"({own[:3]}){rng.choice(['', ' ', '-'])}{_numbers(own[3:], [3], rng)}"
+    return _numbers(own, rng.choice([[3, 3], [3, 3], [3, 4], [2, 2, 2, 2], [3], [4, 3], [2, 4]]), rng)
 
 
 def invent(kind: str, rng: random.Random) -> str:
-    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
-    number = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    pick = lambda of, n: "".join(rng.choice(of) for _ in range(n))
+    word = lambda: pick(_LETTERS, rng.randint(2, 8)) if rng.random() < 0.3 else "".join(pick("bcdfghjklmnprstvwz", 1) + pick("aeiou", 1) + pick("lnrst", rng.randint(0, 1)) for _ in range(rng.randint(1, 3)))
     if kind == "email":
-        return f"{word(rng.randint(3, 8))}.{number(2)}@{word(rng.randint(3, 7))}{rng.choice(['', number(1)])}.{rng.choice(['example.com', 'example.org', 'com', 'net'])}"
+        name = rng.choice([word(), f"{word()}.{word()}", f"{word()}.{pick(_DIGITS, 2)}", f"{word()}_{word()}", word() + pick(_DIGITS, rng.randint(1, 3))])
+        host = rng.choice([word(), word() + pick(_DIGITS, 1), f"{word()}.{word()}", f"{word()}-{word()}", "example", "mail"])
+        return f"{name}@{host}.{rng.choice(['com', 'com', 'org', 'net', 'de', 'fr', 'es', 'io', 'co.uk', 'info'])}"
     if kind == "ip":
-        return ".".join(str(rng.randint(0, 255)) for _ in range(4))
+        return ".".join(str(rng.choice([rng.randint(0, 255), rng.randint(0, 9), 10, 192])) for _ in range(4))
     if kind == "card":
-        digits = number(15)
-        return next(digits + d for d in "0123456789" if luhn(digits + d))
-    return f"+{rng.randint(1, 99)} ({number(3)}) {number(3)}-{number(4)}"
+        digits = pick("3456", 1) + pick(_DIGITS, 14)
+        return next(digits + d for d in _DIGITS if luhn(digits + d))
+    return f"+{rng.randint(1, 99)} ({pick('123456789', 1)}{pick(_DIGITS, 2)}) {pick(_DIGITS, 3)}-{pick(_DIGITS, 4)}"
+
+
+def _noise(rng: random.Random) -> str:
+    """Text with digits, "at" or "dot" that is no personal data."""
+    n = rng.randint
+    return rng.choice([
+        "".join(rng.choice("0123456789abcdef") for _ in range(rng.choice([8, 16, 32, 40]))), str(n(1, 10 ** n(1, 7))), f"{n(1, 31)}.{n(1, 12)}.{n(1900, 2030)}", f"{n(1900, 2030)}-{n(1, 12):02}-{n(1, 28):02} {n(0, 23):02}:{n(0, 59):02}:{n(0, 59):02}",
+        f"{n(1, 999)},{n(0, 999):03}", f"{n(1, 999)},{n(0, 999):03},{n(0, 999):03}", f"{n(0, 99)}.{n(0, 99)}", f"version {n(0, 9)}.{n(0, 20)}.{n(0, 9)}", f"{n(1, 12)}:{n(0, 59):02} pm", f"pages {n(1, 99)}-{n(100, 400)}", f"{n(1, 90)} %", f"${n(1, 999)}.{n(0, 99):02}",
+        "at the dot on the map", "a dot com company", "look at this dot and that one", "he was at home at last", "one two three and go", "a polka dot dress", f"chapter {n(1, 30)}, section {n(1, 9)}.{n(1, 9)}", f"at {n(1, 12)} or {n(1, 12)}", "(at least) one", "e.g. this, i.e. that", "www.site.org", "end.The next", f"{n(1, 9)} x {n(1, 9)} = {n(1, 81)}", f"no. {n(1000, 99999)}",
+    ])
 
 
 def training_windows(texts: list[str], seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Windows around the base spans of texts and around digits without any, then rewritten and invented ones."""
+    """Windows around the base spans of texts and around triggers without any, then rewritten, invented and empty ones."""
     rng = random.Random(seed)
     made: list[tuple[str, list[tuple[str, int, int]]]] = []
     for text in texts:
         spans = base_spans(text)
-        for kind, start, end in spans[:8]:
+        for kind, start, end in rng.sample(spans, min(PER_TEXT, len(spans))):
             made.append((text[max(0, start - rng.randint(5, 30)) : end + 30], []))
-            left, right = text[max(0, start - rng.randint(5, 25)) : start], text[end : end + 25]
+            left, right = text[max(0, start - rng.randint(0, 25)) : start], text[end : end + 25]
             other = disguise(kind, text[start:end], rng)
             made.append((left + other + right, [(kind, len(left), len(left) + len(other))]))
-        for trigger in list(_TRIGGER.finditer(text))[:4]:
+        triggers = list(_TRIGGER.finditer(text))
+        for trigger in rng.sample(triggers, min(PER_TEXT, len(triggers))):
             made.append((text[max(0, trigger.start() - rng.randint(5, 40)) : trigger.start() + 40], []))
-    words = [w for t in texts[:50] for w in t[:2000].split()] or ["the", "and", "of", "to", "in"]
-    for i in range(400):
-        kind = KINDS[i % 4]
-        left, right = " ".join(rng.choices(words, k=rng.randint(0, 4))), " ".join(rng.choices(words, k=rng.randint(0, 4)))
-        span = invent(kind, rng)
-        if i % 8 >= 4:
-            span = disguise(kind, span, rng)
-        left += " " * bool(left)
-        made.append((f"{left}{span} {right}", [(kind, len(left), len(left) + len(span))]))
-    for _ in range(100):
-        noise = rng.choice(["".join(rng.choice("0123456789abcdef") for _ in range(40)), str(rng.randint(1, 99999)), f"{rng.randint(1, 31)}.{rng.randint(1, 12)}.{rng.randint(1900, 2030)}", f"{rng.randint(1, 999)},{rng.randint(100, 999)}", f"{rng.randint(0, 9)}.{rng.randint(0, 99)}"])
-        made.append((" ".join([*rng.choices(words, k=3), noise, *rng.choices(words, k=3)]), []))
-    rng.shuffle(made)
-    made = made[:1500]
+    words = [w for t in texts for w in t.split()] + ["the", "and", "of", "to", "in", "call", "me", "on", "write", "card", "mail", "from", "today", "please", "or", "is", "at"] * 40
+    some = lambda: " ".join(rng.choices(words, k=rng.randint(0, 4)))
+    for kind in KINDS:
+        for i in range(INVENTED):
+            span = invent(kind, rng)
+            if i % 5:
+                span = disguise(kind, span, rng)
+            cue = rng.choice(["", "", "", {"email": "mail", "ip": "host", "card": "card", "phone": "call"}[kind] + rng.choice([" ", ": "])])
+            left = some()
+            left += " " * bool(left) + cue
+            made.append((f"{left}{span}{rng.choice([' ', ' ', ', ', '. ', ''])}{some() if rng.random() < 0.9 else ''}", [(kind, len(left), len(left) + len(span))]))
+    for _ in range(NOISE):
+        made.append((f"{some()} {_noise(rng)} {some()} {_noise(rng) if rng.random() < 0.3 else ''}", []))
     x, y = np.zeros((len(made), WINDOW), np.int32), np.zeros((len(made), WINDOW), np.int32)
     for row, (text, spans) in enumerate(made):
         text = text[:WINDOW]
@@ -365,35 +422,45 @@ def training_windows(texts: list[str], seed: int = 5) -> tuple[np.ndarray, np.nd
     return x, y
 
 
+#: Taggers of this session by the digest of their sample.
+_FITTED: dict[str, Tagger] = {}
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Tagger:
     screened = sampled(docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).where(F.length("text") <= MAX_CHARS), "id", MAX_SCREENED)
     wanted = screened.where(F.regexp_like("text", F.lit("[0-9@]")))
     sample = wanted.orderBy(F.xxhash64("id"), "id", F.xxhash64("text")).limit(MAX_SAMPLE)
-    return Tagger().fit(*training_windows([r.text for r in sample.collect()]))
+    texts = [r.text for r in sample.collect()]
+    code = hashlib.sha256("\0".join(texts).encode()).hexdigest()
+    if code not in _FITTED:
+        _FITTED[code] = Tagger().fit(*training_windows(texts))
+    return _FITTED[code]
 
 
 # ---- finding
 
 
-_CORES = {
-    "email": re.compile(r"(?i)[a-z0-9._%+-]+\s?(?:@|[\[({<] ?at ?[\])}>])\s?[a-z0-9-]+(?:\s?(?:\.|[\[({<] ?dot ?[\])}>])\s?[a-z0-9-]+)+"),
-    "ip": re.compile(r"[0-9]+(?:\s?(?:\.|[\[({<] ?(?:\.|dot) ?[\])}>])\s?[0-9]+){3}"),
-    "card": re.compile(r"[0-9]{4}(?:(?:\s{1,2}|\s?[-./_]\s?)[0-9]{1,4}){3,4}"),
-    "phone": re.compile(r"(?:[0-9]{1,3}[ .-]?)?\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4,6}"),
-}
+def _fits(kind: str, text: str) -> bool:
+    """Whether a span can be of its kind at all, however it is written."""
+    numbers = re.findall(r"[0-9]+", text)
+    digits = "".join(numbers)
+    if kind == "ip":
+        return len(numbers) == 4 and all(map(_byte, numbers))
+    if kind == "card":
+        return 16 <= len(digits) <= 19 and luhn(digits)
+    if kind == "phone":
+        return 7 <= len(digits) + len(re.findall(rf"(?i)\b{_NUMERAL}\b", text)) <= 15
+    runs = re.findall(r"[A-Za-z0-9]+", text)
+    return len(runs) >= 3 and runs[-1].isalpha() and 2 <= len(runs[-1]) <= 6 and (len(runs) >= 5 or "@" in text or "." in text or bool(re.search(r"[\[({<*_]", text)))
 
 
-def _core(kind: str, text: str, a: int, b: int) -> tuple[int, int] | None:
-    """The part of a span that is data of its kind, without words around it; None if there is none."""
-    match = _CORES[kind].search(text, a, b)
-    if not match:
-        return None
-    digits = re.sub(r"[^0-9]", "", match[0])
-    if kind == "ip" and not all(map(_byte, re.findall(r"[0-9]+", match[0]))):
-        return None
-    if kind == "card" and not (16 <= len(digits) <= 19 and luhn(digits)) or kind == "phone" and len(digits) > 15:
-        return None
-    return match.span()
+def _trimmed(text: str, a: int, b: int) -> tuple[int, int]:
+    """Without signs and white space at the ends, but for an opening bracket or plus of a number."""
+    while b > a and not text[b - 1].isalnum():
+        b -= 1
+    while a < b and not (text[a].isalnum() or text[a] in "(+" and text[a + 1 : a + 2].isdigit()):
+        a += 1
+    return a, b
 
 
 def find(texts: list[str], tagger: Tagger) -> list[tuple[list, list]]:
@@ -423,10 +490,9 @@ def find(texts: list[str], tagger: Tagger) -> list[tuple[list, list]]:
     for (i, start, _), labels in zip(regions, tagger.labels([texts[i][a:b] for i, a, b in regions]), strict=True):
         text, (base, added) = texts[i], found[i]
         for kind, a, b in spans_of(labels):
-            core = _core(kind, text, a + start, b + start)
-            if core is None:
+            a, b = _trimmed(text, a + start, b + start)
+            if a >= b or not _fits(kind, text[a:b]):
                 continue
-            a, b = core
             apart = (a == 0 or not text[a - 1].isalnum()) and (b == len(text) or not text[b].isalnum())
             if apart and not any(a < y and x < b for _, x, y in base + added):
                 added.append((kind, a, b))
@@ -463,4 +529,5 @@ def with_spans(df: DataFrame, tagger: Tagger, text_col: str = "text", keep: tupl
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = with_spans(docs, train(docs))
-    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
+    n_spans = F.when(F.col("spans") == "", 0).otherwise(F.size(F.split("spans", ","))).cast("long").alias("n_spans")
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans", n_spans)

@@ -52,6 +52,34 @@ def test_gradients(tagger):
         assert g[name][at] == pytest.approx((up - down) / 2 / e, rel=1e-3, abs=1e-6)
 
 
+#: Written by hand, not by disguise().
+LINES = [
+    ("email", "anna [at] example [dot] com"), ("email", "jane dot doe at example dot com"), ("email", "please ask jane (At) example (Dot) com for it"),
+    ("email", "write to bob at mail dot org tomorrow"), ("email", "mail me: tom{at}site{dot}net"), ("email", "my address is lisa.m @ uni-bonn . de thanks"),
+    ("email", "support AT company DOT co DOT uk"), ("email", "contact maria<at>correo<dot>es por favor"), ("email", "peter_99 (at) web.de"),
+    ("email", "info [ at ] shop [ dot ] example [ dot ] fr"), ("email", "john.smith at gmail.com, he said"), ("email", "j.kim-at-corp-dot-com"),
+    ("email", "kontakt: eva (at) verein (punkt) de oder eva [at] verein [dot] de"), ("email", "ask Sam.Lee at acme DOT io now"),
+    ("card", "card 4111.1111.1111.1111"), ("card", "paid with 4111-1111/1111 1111"), ("card", "4012 / 8888 / 8888 / 1881 is the number"),
+    ("card", "visa 5555.5555.5555.4444 exp soon"), ("card", "use 4242_4242_4242_4242 please"), ("card", "the card (4000 - 0566 - 5566 - 5556) was lost"),
+    ("ip", "server 10 dot 0 dot 0 dot 1 is down"), ("ip", "ping 192[.]168[.]1[.]20 first"), ("ip", "the box at 172 . 16 . 254 . 3 hangs"),
+    ("ip", "host 8(dot)8(dot)4(dot)4 answers"), ("ip", "route via 10-20-30-40 only"),
+    ("phone", "call me on 555 123 4567 today"), ("phone", "reach her under 030 12345678 after six"), ("phone", "tel. 0171-2345678 evenings"),
+    ("phone", "phone (415) 555-2671 or visit"), ("phone", "ring 0044 20 7946 0958 and ask"), ("phone", "my number: 212.555.0147"),
+    ("phone", "five five five one two three four is mine"), ("phone", "06 12 34 56 78 le soir"), ("phone", "whatsapp 49 170 1234567 now"),
+]
+
+
+@pytest.mark.parametrize("n", [82, 300])
+def test_held_out_lines(spark, n):
+    """Data written in ways that no pattern has, after fits on few and on all texts of the bound."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("text rlike '[0-9@]' and length(text) <= 20000").orderBy("doc_id").limit(n).collect()
+    fitted = pii.Tagger().fit(*pii.training_windows([r.text for r in docs]))
+    hit = sum(any(k == kind for k, _, _ in base + added) for (kind, _), (base, added) in zip(LINES, pii.find([x for _, x in LINES], fitted), strict=True))
+    assert hit >= 0.9 * len(LINES)
+    rest = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    assert sum(len(added) for _, added in pii.find(rest, fitted)) <= 3
+
+
 def test_held_out_disguises(tagger):
     rng = random.Random(77)
     for kind in pii.KINDS:
