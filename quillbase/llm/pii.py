@@ -402,6 +402,7 @@ def training_windows(texts: list[str], seed: int = 5) -> tuple[np.ndarray, np.nd
         for trigger in rng.sample(triggers, min(PER_TEXT, len(triggers))):
             made.append((text[max(0, trigger.start() - rng.randint(5, 40)) : trigger.start() + 40], []))
     words = [w for t in texts for w in t.split()] + ["the", "and", "of", "to", "in", "call", "me", "on", "write", "card", "mail", "from", "today", "please", "or", "is", "at"] * 40
+    words += [rng.choice(_LETTERS) * rng.randint(1, 30) if rng.random() < 0.1 else "".join(rng.choices(_LETTERS if rng.random() < 0.7 else _DIGITS, k=min(rng.randint(1, 9), rng.randint(1, 9)))) for _ in range(len(words) // 4)]
     some = lambda: " ".join(rng.choices(words, k=rng.randint(0, 4)))
     for kind in KINDS:
         for i in range(INVENTED):
