@@ -48,9 +48,9 @@ SEED = 42
 MAX_GROUP = 8192
 NODE = 16
 #: Of similar_groups: words of a shingle, 64-bit words of a sketch, parts of the indexed fingerprint.
-SIMILAR_SHINGLE, SKETCH, PARTS = 5, 8, 3
+SIMILAR_SHINGLE, SKETCH, PARTS = 5, 4, 3
 #: Candidates differ in at most so many bits of the fingerprint (unlike ones in 32, about), and their sketches may look this much less similar.
-WIDEST, SLACK = 20, 0.1
+WIDEST, SLACK = 20, 0.12
 
 
 # ---- fingerprints
@@ -186,7 +186,7 @@ def forest(codes: np.ndarray, bits: np.ndarray | None = None, most: int = 0, dis
     index = GrayIndex(codes[order])
     label = np.arange(len(codes))
     found: list[tuple[np.ndarray, np.ndarray]] = []
-    for limit in [0] if bits is None else [most // 4, most // 2, 3 * most // 4, most]:
+    for limit in [0] if bits is None else [most // 3, 2 * most // 3, most]:
         for a, b in index.near_pairs(distance, head):
             a, b = order[a], order[b]
             if bits is not None:
