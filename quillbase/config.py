@@ -34,6 +34,11 @@ class KBConfig:
     lenient: bool = True
 
 
+def unsafe_settings(config: KBConfig, allow_loopback: bool = False) -> list[str]:
+    """Names of the alerts that settings meant for tests raise elsewhere."""
+    return [name for name, on in (("ignore-robots", config.ignore_robots), ("allow-loopback", allow_loopback)) if on]
+
+
 def truthy(value: str | None) -> bool:
     return (value or "").strip().lower() in ("1", "true", "yes", "on")
 

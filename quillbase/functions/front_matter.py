@@ -99,12 +99,12 @@ def _merged(a: Column, b: Column) -> Column:
 
 
 def list_item(x: Column) -> Column:
-    return F.when(F.regexp_like(x, F.lit(r"""[,\[\]"'#:]|^\s|\s$|^$""")), json_quoted(x)).otherwise(x)
+    return F.when(F.regexp_like(x, F.lit(rf"""[,\[\]"'#:]|^[{SPACES}]|[{SPACES}]$|^$""")), json_quoted(x)).otherwise(x)
 
 
 def scalar(x: Column) -> Column:
     """A string as a value that reads back as the same string."""
-    risky = F.regexp_like(x, F.lit(r"""^$|^[\s\[\]{}"'#&*!|>%@`-]|: |\s#|\s$|:$|[\n\r]""")) | (kind(x) != "string")
+    risky = F.regexp_like(x, F.lit(rf"""^$|^[{SPACES}\[\]{{}}"'#&*!|>%@`-]|: |\s#|[{SPACES}]$|:$|[\n\r]""")) | (kind(x) != "string")
     return F.when(risky, json_quoted(x)).otherwise(x)
 
 

@@ -80,18 +80,28 @@ def content_route(content_type: Column, final_url: Column) -> Column:
     return F.when(pdf, "pdf").when(has("text/html") | has("application/xhtml+xml"), "html").otherwise("reject")
 
 
+def _no_dots(path: Column) -> Column:
+    """A path without . and .. segments."""
+    parts = F.split(path, "/")
+    last = F.element_at(parts, -1)
+    kept = F.aggregate(
+        F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))),
+        F.array().cast("array<string>"),
+        lambda done, x: F.when(x == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).when(x == ".", done).otherwise(F.concat(done, F.array(x))),
+    )
+    return F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(last.isin(".", "..") & (F.size(kept) > 0), "/").otherwise(""))
+
+
 def absolute(src: Column, base: Column) -> Column:
-    """An image or link address resolved against a page's URL."""
+    """An image or link address resolved against a page's URL, its port and . and .. segments included."""
     p = parts(base)
-    origin = F.concat(p["scheme"], F.lit("://"), p["host"])
+    origin = F.regexp_extract(base, r"(?i)^([a-z][a-z0-9+.-]*://[^/?#]*)", 1)
     folder = F.regexp_replace(p["path"], "[^/]*$", "")
     folder = F.when(folder == "", "/").otherwise(folder)
-    return (
-        F.when(F.regexp_like(src, F.lit("(?i)^[a-z][a-z0-9+.-]*:")), src)
-        .when(F.startswith(src, F.lit("//")), F.concat(p["scheme"], F.lit(":"), src))
-        .when(F.startswith(src, F.lit("/")), F.concat(origin, src))
-        .otherwise(F.concat(origin, folder, src))
-    )
+    own, tail = F.regexp_extract(src, "^([^?#]*)", 1), F.regexp_extract(src, "^[^?#]*(.*)$", 1)
+    inside = F.when(src == "", F.concat(p["path"], p["query"])).when(own == "", F.concat(p["path"], F.when(F.startswith(tail, F.lit("#")), p["query"]).otherwise(""), tail))
+    inside = inside.otherwise(F.concat(_no_dots(F.when(F.startswith(own, F.lit("/")), own).otherwise(F.concat(folder, own))), tail))
+    return F.when(F.regexp_like(src, F.lit("(?i)^[a-z][a-z0-9+.-]*:")), src).when(F.startswith(src, F.lit("//")), F.concat(p["scheme"], F.lit(":"), src)).otherwise(F.concat(origin, inside))
 
 
 #: Image types kept, and their suffixes.
@@ -147,6 +157,16 @@ def robots_rules(files: DataFrame, key: str = "host", text: str = "txt") -> Data
     return agents.join(rules, [key, "group"], "left").select(key, "agent", "type", "path")
 
 
+def usable_robots(fetched: DataFrame, key: str = "host", text: str = "txt") -> DataFrame:
+    """Robots files that count, of what was fetched (key, text, status, error): those read with 200; all else allows everything.
+
+    An error other than not_found, server_error and fetch_failed is no answer: such hosts come with the text that forbids all.
+    """
+    fine = F.col("error").isNull() & (F.col("status") == 200)
+    allows = F.col("error").isNull() | F.col("error").isin("not_found", "server_error", "fetch_failed")
+    return fetched.where(fine | ~allows).select(key, F.when(fine, F.col(text)).otherwise("User-agent: *\nDisallow: /\n").alias(text))
+
+
 def rule_pattern(path: Column) -> Column:
     """A robots path as a regular expression: * is anything, $ at the end is the end."""
     body = F.regexp_replace(F.regexp_replace(path, r"\$$", ""), r"([.+?^${}()|\[\]\\])", r"\\$1")

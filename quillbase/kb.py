@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .config import KBConfig, check_search
 from .operators import graph, pages, search, store
 from .plans import ingest, views
-from .sources import archives, files
+from .sources import files
 
 
 class KBError(ValueError):
@@ -57,16 +57,23 @@ class KnowledgeBase:
         base = "wiki" + (f"/{checked_path(subdir)}" if subdir else "")
         return pages.listing(self.pages.select("path", "size", "mtime"), base, min(depth, self.config.list_max_depth), self.config.list_max_entries)
 
-    def search(self, query: str, limit: int = 10, mode: str = "lex", near: DataFrame | None = None) -> DataFrame:
-        """near: (path, score), the top of the pages' vectors by operators.search.nearest. Without it, hybrid fuses BM25 with a scan of whole pages."""
+    def search(self, query: str, limit: int = 10, mode: str = "lex", near: DataFrame | None = None, include_logs: bool | None = None) -> DataFrame:
+        """Hits (path, score, note). near: (path, score), the top of the pages' vectors by operators.search.nearest.
+
+        Without near, vec and hybrid fall back to BM25, and note says so. include_logs: search the collections (wiki
+        and sources, logs if true) instead of the wiki alone.
+        """
         query, limit, mode = check_search(query, limit, mode)
-        if mode == "lex":
-            return search.bm25(self.pages, query, limit)
-        if mode == "hybrid":
-            return search.fuse([search.bm25(self.pages, query, 50), search.lexical(self.pages, query, 50) if near is None else near], limit)
-        if near is None:
-            raise KBError("no_vectors", "vectors are a table: give near, made by operators.search.nearest")
-        return near.select("path", "score").orderBy(F.desc("score"), "path").limit(limit)
+        p = self.pages if include_logs is None else search.in_collections(files.pages(self.spark, self.root), include_logs)
+        note = None
+        if mode == "lex" or near is None:
+            hits = search.bm25(p, query, limit)
+            note = None if mode == "lex" else "no vectors were given: BM25 alone"
+        elif mode == "vec":
+            hits = near.select("path", "score").orderBy(F.desc("score"), "path").limit(limit)
+        else:
+            hits = search.fuse([search.bm25(p, query, 50), near], limit)
+        return hits.withColumn("note", F.lit(note).cast("string"))
 
     def write_notes(self, notes: DataFrame) -> DataFrame:
         return store.notes(notes, self.now())
@@ -83,9 +90,9 @@ class KnowledgeBase:
         broken = None if force else graph.broken_links(p.where(F.col("path") != target), names).select(F.lit(target).alias("path"))
         return store.archive(p, one.select("path"), self.now(), broken)
 
-    def ingest_documents(self, glob: str) -> DataFrame:
+    def ingest_documents(self, glob: str, page_texts: DataFrame | None = None) -> DataFrame:
         found = self.spark.read.format("binaryFile").load(f"{self.root}/raw-sources/{glob}")
-        return archives.chapters(found.select("path", "content"), self.config)
+        return ingest.documents(found.select("path", "content"), page_texts, self.config)
 
     def ingest_pages(self, web: DataFrame, stored: DataFrame, rules: DataFrame | None = None) -> DataFrame:
         return ingest.fetched(web, stored, self.now(), self.config, rules)

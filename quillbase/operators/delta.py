@@ -75,3 +75,24 @@ def numbered(rows: DataFrame, base: str, order: str) -> DataFrame:
     placed = dealt.withColumn("_local", local).join(offsets, [base, "_part"])
     n = F.col("_local") + F.col("_before")
     return placed.withColumn("name", F.concat(base, F.when(n > 1, F.concat(F.lit("-"), n)).otherwise(""), F.lit(".md"))).drop("_part", "_local", "_before")
+
+
+def of_document(names: DataFrame, docs: DataFrame, summaries: bool = False) -> DataFrame:
+    """The chunk files (column name) of documents (subdir, stem), by the names of now (subdir--stem-pp) and before (subdir-stem-pp).
+
+    summaries: also their indexes (-index). Matched by equality on what stands before the last -pp or -index.
+    """
+    def heads(mark: str) -> Column:
+        # a stem can hold the mark itself: what stands before each place of it is a candidate
+        parts = F.split("name", mark)
+        return F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda _, k: F.array_join(F.slice(parts, F.lit(1), k + 1), mark))
+
+    found = F.concat(heads("-pp"), heads("-index")) if summaries else heads("-pp")
+    rows = names.where(F.endswith("name", F.lit(".md"))).select("name", F.explode(F.array_distinct(found)).alias("head"))
+    wanted = docs.select("subdir", "stem", F.explode(F.array(F.concat_ws("--", "subdir", "stem"), F.concat_ws("-", "subdir", "stem"))).alias("head"))
+    return rows.join(wanted, "head").select("subdir", "stem", "name").distinct()
+
+
+def expected_summary(subdir: Column, name: Column) -> Column:
+    """The summary that a source's chunk is to have."""
+    return F.concat(F.lit("wiki/summaries/"), F.when(F.startswith(name, F.concat(subdir, F.lit("-"))), name).otherwise(F.concat(subdir, F.lit("--"), name)))

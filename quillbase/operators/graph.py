@@ -55,6 +55,20 @@ def broken_links(pages: DataFrame, targets: DataFrame) -> DataFrame:
     return found.join(targets.select("target").distinct(), "target", "left_semi").groupBy("path").agg(F.count(F.lit(1)).alias("occurrences"))
 
 
+def reference_scan(files: DataFrame, targets: DataFrame, max_bytes: int | None = None, wiki: str = "wiki/") -> DataFrame:
+    """Every file (path, body, error) as far as it matters to pages about to go: status, occurrences, in_wiki and error.
+
+    status: links; too_large (over max_bytes, so not looked at; without it all are) or unreadable (an error, 200 characters of it).
+    """
+    status = F.when(F.col("error").isNotNull(), "unreadable")
+    if max_bytes is not None:
+        status = status.when(F.octet_length("body") > max_bytes, "too_large")
+    rows = files.withColumn("status", status.otherwise("links"))
+    found = broken_links(rows.where("status = 'links'"), targets).select("path", F.lit("links").alias("status"), "occurrences", F.lit(None).cast("string").alias("error"))
+    skipped = rows.where("status <> 'links'").select("path", "status", F.lit(0).cast("long").alias("occurrences"), F.left("error", F.lit(200)).alias("error"))
+    return found.unionByName(skipped).withColumn("in_wiki", F.startswith("path", F.lit(wiki)))
+
+
 def title_index(pages: DataFrame) -> DataFrame:
     """(key, path): titles and names of pages; a title beats a name, of equal titles the last path counts."""
     keys = pages.select("path", F.explode(F.array(F.struct(F.lit(1).alias("rank"), F.col("title").alias("key")), F.struct(F.lit(0).alias("rank"), F.col("name").alias("key")))).alias("k"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import front_matter as fm
 from ..functions.text import archive_stamp, dated_append, mask, note_slug, strip
+from ..shared import stored
 from .delta import numbered
 
 
@@ -76,3 +77,8 @@ def expired(files: DataFrame, now: Column, days: int = 90) -> DataFrame:
 def write(df: DataFrame, path: str, by: tuple[str, ...] = ()) -> None:
     """Replaces a table; Spark's committer stages the files, so readers see the old or the new ones."""
     (df.write.mode("overwrite").partitionBy(*by) if by else df.write.mode("overwrite")).parquet(path)
+
+
+def stored_by(df: DataFrame, key: str, label: str) -> DataFrame:
+    """df in the shared folder, sorted by a key in ranges of it, so that filters on the key read few row groups."""
+    return stored(df.repartitionByRange(key).sortWithinPartitions(key), label)

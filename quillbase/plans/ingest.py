@@ -9,6 +9,7 @@ from ..config import KBConfig
 from ..functions import front_matter as fm
 from ..functions import html, text, urls
 from ..operators import delta, graph, pages
+from ..sources import archives
 
 
 def fetched(web: DataFrame, stored: DataFrame, now: Column, config: KBConfig | None = None, rules: DataFrame | None = None, agent: str = "kb") -> DataFrame:
@@ -49,6 +50,32 @@ def fetched_file(rows: DataFrame, now: Column) -> Column:
     return fm.render(fields, F.concat(F.lit("\n"), "markdown", F.lit("\n")))
 
 
+def html_cache(web: DataFrame) -> DataFrame:
+    """Fetched pages (url, html) as they came, by the name of their Markdown: (path, html), to be read again later."""
+    return web.where("html is not null").select(F.concat(F.lit(".cache/html/"), F.regexp_replace(urls.file_name(F.col("url")), r"\.md$", ".html")).alias("path"), "html")
+
+
+def documents(files: DataFrame, page_texts: DataFrame | None = None, config: KBConfig | None = None) -> DataFrame:
+    """files (path, content) by what reads them: (path, reader, name, title, text, status).
+
+    Markdown is its own chunk, masked; EPUB and DOCX give their chapters; PDF and files without a suffix need page_texts
+    (doc, page_no, text) and give page chunks. A file with another suffix has the status unsupported_extension.
+    """
+    dealt = files.withColumn("reader", archives.reader_of(F.col("path")))
+    word = lambda c: c.cast("string")
+    body = text.mask(F.make_valid_utf8(word(F.col("content"))))
+    none = F.lit(None).cast("string")
+    markdown = dealt.where("reader = 'md'").select("path", "reader", text.flat_name(F.col("path")).alias("name"), F.coalesce(F.nullif(text.first_heading(body), F.lit("")), text.base_name(F.col("path"))).alias("title"), body.alias("text"), F.lit("extracted").alias("status"))
+    chapters = archives.chapters(dealt.where("reader in ('epub', 'docx')"), config)
+    read = chapters.select("path", archives.reader_of(F.col("path")).alias("reader"), F.concat(text.flat_name(F.col("path")), F.lit("-"), F.col("chapter_index")).alias("name"), "title", text.mask(F.col("text")).alias("text"), "status")
+    rest = dealt.where("reader is null").select("path", none.alias("reader"), none.alias("name"), none.alias("title"), none.alias("text"), F.lit("unsupported_extension").alias("status"))
+    out = markdown.unionByName(read).unionByName(rest)
+    if page_texts is not None:
+        meta = dealt.where("reader = 'pdf'").select(F.col("path").alias("doc"), F.sha2("content", 256).alias("sha"), none.alias("title"), F.lit(False).alias("encrypted"))
+        out = out.unionByName(page_chunks(page_texts, meta, config).select(F.col("doc").alias("path"), F.lit("pdf").alias("reader"), "name", "title", "text", F.lit("extracted").alias("status")))
+    return out
+
+
 #: Titles that say nothing.
 JUNK_TITLE = r"^$|^Microsoft\sWord(?:\s-.*)?$|^Untitled$|^\.$|^Document[0-9]*$"
 

@@ -42,9 +42,6 @@ def vault(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("*", F.concat_ws("/", F.lit("wiki"), "source", F.concat("doc_id", F.lit(".md"))).alias("path"), F.col("doc_id").cast("string").alias("name"), F.col("text").alias("body"), F.octet_length("text").cast("long").alias("size"))
 
 
-#: The SQL of the searches looks at so many characters of a page, as the reference's fallback scan does.
-FALLBACK_HEAD = 8192
-
 _VAULT = "v AS (SELECT *, 'wiki/' || source || '/' || doc_id || '.md' AS path, CAST(doc_id AS VARCHAR) AS name, text AS body, CAST(strlen(text) AS BIGINT) AS size FROM documents)"
 
 
@@ -75,16 +72,16 @@ def x01_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.sha2(F.col("m").cast("binary"), 256).alias("masked_sha256"), (F.col("m") != F.col("text")).alias("changed"))
 
 
-@query(f"""WITH {_VAULT}, h AS (SELECT path, left(body, 8192) AS t FROM v), s AS (SELECT path, t, CAST(contains(lower(t), 'idiot') AS INT) + CAST(contains(lower(t), 'token') AS INT) + CAST(contains(lower(t), 'the') AS INT) AS score FROM h)
+@query(f"""WITH {_VAULT}, h AS (SELECT path, body AS t FROM v), s AS (SELECT path, t, CAST(contains(lower(t), 'idiot') AS INT) + CAST(contains(lower(t), 'token') AS INT) + CAST(contains(lower(t), 'the') AS INT) AS score FROM h)
 SELECT path, {_strip("coalesce(regexp_extract(t, '(?m)^#[" + _WS + "]+(.+)$', 1), '')")} AS title, score, {_strip("regexp_replace(substring(t, greatest(1, instr(lower(t), 'idiot') - 60), 200), '[" + _WS + "]+', ' ', 'g')")} AS snippet
 FROM s WHERE score > 0 ORDER BY score DESC, path LIMIT 10""")
 def q01_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.lexical(vault(spark, sf_dir), "idiot token the", head=FALLBACK_HEAD)
+    return search.lexical(vault(spark, sf_dir), "idiot token the")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     masked = vault(spark, sf_dir).withColumn("body", text.mask(F.col("body")))
-    return search.lexical(masked, "token the", head=FALLBACK_HEAD)
+    return search.lexical(masked, "token the")
 
 
 @query(r"""WITH b AS (SELECT doc_id, string_split(replace(text, '%%%', chr(8203)), chr(10)) AS l FROM documents),
@@ -98,6 +95,10 @@ def a07_invisible_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LINKED = "p AS (SELECT page_id, CAST(page_id AS VARCHAR) AS name, regexp_replace(html, '<a href=\"/([^\"]*)\">', '[[\\1]]', 'g') AS body FROM pages), l AS (SELECT page_id, name, list_filter(list_transform(regexp_extract_all(body, '\\[\\[([^\\]\\n]+)\\]\\]', 1), lambda x: " + _strip("regexp_extract(x, '^([^|#]*)', 1)") + "), lambda x: x <> '') AS links FROM p)"
 
 
+def _linked_sql() -> str:
+    return _LINKED
+
+
 def linked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pages with their root-relative anchors as wikilinks: path, name, title, type, tags, body."""
     body = F.regexp_replace("html", '<a href="/([^"]*)">', "[[$1]]")
@@ -329,12 +330,16 @@ def q03_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(_BM + """, a AS (SELECT path, row_number() OVER (ORDER BY score DESC, path) AS n FROM (SELECT * FROM r WHERE score > 0 ORDER BY score DESC, path LIMIT 50)),
-x AS (SELECT path, CAST(contains(lower(left(body, 8192)), 'idiot') AS INT) + CAST(contains(lower(left(body, 8192)), 'clown') AS INT) + CAST(contains(lower(left(body, 8192)), 'pathetic') AS INT) AS score FROM v),
-b AS (SELECT path, row_number() OVER (ORDER BY score DESC, path) AS n FROM (SELECT * FROM x WHERE score > 0 ORDER BY score DESC, path LIMIT 50))
+x AS (SELECT path, round(list_cosine_similarity(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), list_transform(range(1, len(embedding) + 1), lambda i: CAST(1.0 / i AS DOUBLE))), 6) AS score FROM embeddings JOIN v ON doc_id = vec_id),
+b AS (SELECT path, row_number() OVER (ORDER BY score DESC, path) AS n FROM (SELECT * FROM x ORDER BY score DESC, path LIMIT 50))
 SELECT path, round(sum(1.0 / (60 + n)), 8) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY path ORDER BY score DESC, path LIMIT 10""")
 def q04_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v, words = vault(spark, sf_dir), "idiot clown pathetic"
-    return search.fuse([search.bm25(v, words, 50), search.lexical(v, words, 50, head=FALLBACK_HEAD)])
+    """BM25 fused with vectors; a vector belongs to the document of its number."""
+    v, e = vault(spark, sf_dir), read(spark, sf_dir, "embeddings")
+    size = e.select(F.max(F.size("embedding"))).first()[0] or 0
+    vectors = e.join(v.select("path", "doc_id"), F.col("vec_id") == F.col("doc_id"))
+    near = search.nearest(vectors, [1.0 / i for i in range(1, size + 1)], 50, "path")
+    return search.fuse([search.bm25(v, "idiot clown pathetic", 50), near])
 
 
 @query(f"WITH {_VAULT}, t AS (SELECT doc_id, unnest(regexp_extract_all(lower(body), '[\\p{{L}}\\p{{N}}]+')) AS term FROM v) SELECT term, count(DISTINCT doc_id) AS docs, count(*) AS n FROM t GROUP BY term")

@@ -122,3 +122,9 @@ def assistant_text(lines: DataFrame, text: str = "line") -> DataFrame:
     rows = lines.withColumn("m", F.from_json(text, _TRANSCRIPT))
     parts = F.transform(F.filter("m.message.content", lambda p: (p["type"] == "text") & p["text"].isNotNull()), lambda p: p["text"])
     return rows.where("m.type = 'assistant'").withColumn("text", F.array_join(parts, "")).where("text <> ''").drop("m")
+
+
+def assistant_messages(lines: DataFrame, key: str = "path", order: str = "offset", text: str = "line") -> DataFrame:
+    """For each transcript the assistant's messages of these lines in order, a blank line between them."""
+    said = assistant_text(lines, text)
+    return said.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "text"))), lambda m: m["text"]), "\n\n").alias("text"))

@@ -85,8 +85,14 @@ _STATE = "first_seq long, title string, ts timestamp, ended timestamp, prompts l
 _OUT = "session_id string, title string, started timestamp, ended timestamp, prompts long, turns long, commands long, edits long"
 
 
-def _advance(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Events arrive in order of seq within a session; those before its first prompt are forgotten."""
+def _advance(key, frames: Iterator[pd.DataFrame], state: GroupState, idle_ms: int | None = None) -> Iterator[pd.DataFrame]:
+    """Events before a session's first prompt are forgotten, as far as they came before it; a timeout removes the state.
+
+    A session that ended keeps its state until then, since late events of it still count.
+    """
+    if state.hasTimedOut:
+        state.remove()
+        return
     first, title, ts, ended, *sums = state.get if state.exists else (None, None, None, None, 0, 0, 0, 0)
     for frame in frames:
         frame = frame.sort_values("seq")
@@ -103,15 +109,26 @@ def _advance(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator
     if first is None:
         return
     state.update((first, title, ts, ended, *sums))
+    if idle_ms is not None:
+        state.setTimeoutDuration(idle_ms)
     yield pd.DataFrame([(key[0], title, ts, ended, *sums)], columns=["session_id", "title", "started", "ended", "prompts", "turns", "commands", "edits"])
 
 
-def stream(events: DataFrame) -> DataFrame:
-    """The rollup of a stream of events, in update mode: a session's row after each batch that has events of it."""
+def stream(events: DataFrame, idle_ms: int | None = None) -> DataFrame:
+    """The rollup of a stream of events, in update mode: a session's row after each batch that has events of it.
+
+    idle_ms: after so long without events a session's state goes; for streams that don't end, since Spark then goes on
+    making batches to look for idle sessions.
+    """
+
+    def advance(key, frames, state):
+        yield from _advance(key, frames, state, idle_ms)
+
+    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
     # titles are made before the state: Spark can't run a Python function right on what this operator returns
     title = session_title(mask(F.coalesce("prompt", F.lit(""))))
     e = recorded(events).select("session_id", "seq", "ts", "hook_event_name", title.alias("title"), "prompts", "turns", "commands", "edits")
-    out = e.groupBy("session_id").applyInPandasWithState(_advance, _OUT, _STATE, "update", GroupStateTimeout.NoTimeout)
+    out = e.groupBy("session_id").applyInPandasWithState(advance, _OUT, _STATE, "update", timeout)
     return out.select("session_id", session_file(F.col("started"), F.col("session_id"), F.col("title")).alias("file"), "title", "started", "ended", "prompts", "turns", "commands", "edits")
 
 
