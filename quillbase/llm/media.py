@@ -5,9 +5,11 @@ with 8, 24 or 32 bits. Tiles are area-resized: each target cell is the mean of t
 fractions of pixels included, taken from an integral image. The difference hash has one bit for each pair of
 neighbouring cells of a 9 x 8 grey tile: 1 if the left one is brighter.
 
-A null or undecodable image has null results and the reason in `error`; an image without pixels is undecodable.
+A null or undecodable image has null results and the reason in `error`; so has one without pixels or with samples
+outside its range. Samples of a smaller range are scaled to 8 (or 16) bits. Very long images are summed some rows at a time.
 For op5, texts become 64-wide grey images; an empty text (or null) is one row of 64 zero bytes. Each row depends on
-its own bytes alone: equal texts have equal values, repeated rows and clashing or null ids don't matter.
+its own bytes alone: equal texts have equal values, repeated rows and clashing or null ids don't matter. An empty table
+gives an empty result; a column to keep with the name of a result gives way to it.
 """
 
 from __future__ import annotations
@@ -27,6 +29,10 @@ from .common import stored, table
 
 WIDTH = 64
 TILE = (32, 32)
+#: Of the texts' images.
+TEXT_TILE = (16, 16)
+#: Samples that an integral image has in memory at once.
+MAX_SUMMED = 1 << 20
 
 
 def _pnm(data: bytes) -> np.ndarray:
@@ -47,15 +53,30 @@ def _pnm(data: bytes) -> np.ndarray:
     n = height * width * planes
     if kind == b"P1":
         bits = np.frombuffer(b"".join(data[at:].split()), np.uint8)[:n] - 48
+        if (bits > 1).any():
+            raise ValueError("a bit that is neither 0 nor 1")
         return ((1 - bits) * 255).astype(np.uint8).reshape(shape)
     if kind in (b"P2", b"P3"):
-        return np.array(data[at:].split()[:n], np.int64).astype(np.uint8 if top < 256 else np.uint16).reshape(shape)
+        words = data[at:].split()[:n]
+        if any(len(w) > 5 for w in words):
+            raise ValueError("a sample over the maximum")
+        return _scaled(np.array(words, np.int64).reshape(shape), top)
     body = data[at + 1 :]
     if kind == b"P4":
         row = -(-width // 8)
         bits = np.unpackbits(np.frombuffer(body, np.uint8, row * height).reshape(height, row), axis=1)[:, :width]
         return (1 - bits) * np.uint8(255)
-    return np.frombuffer(body, np.uint8 if top < 256 else np.dtype(">u2"), n).reshape(shape)
+    return _scaled(np.frombuffer(body, np.uint8 if top < 256 else np.dtype(">u2"), n).reshape(shape), top)
+
+
+def _scaled(samples: np.ndarray, top: int) -> np.ndarray:
+    """Samples of 0 to top as 8 bits, or as 16 where top needs them."""
+    kind, full = (np.uint8, 255) if top < 256 else (np.uint16, 65535)
+    if top == full and samples.dtype == np.uint8:
+        return samples
+    if samples.size and (samples.min() < 0 or samples.max() > top):
+        raise ValueError("a sample outside its range")
+    return samples.astype(kind) if top == full else ((samples.astype(np.int64) * full * 2 + top) // (2 * top)).astype(kind)
 
 
 def _bmp(data: bytes) -> np.ndarray:
@@ -89,17 +110,23 @@ def encode_pgm(samples: np.ndarray) -> bytes:
 
 def resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
     """Means of areas, rounded half up, from an integral image read between its grid points."""
-    image = image.astype(np.int64)
 
     def along(x: np.ndarray, n: int) -> np.ndarray:
-        # sums over [i * size / n, (i + 1) * size / n) in units of 1 / n
+        # sums over [i * size / n, (i + 1) * size / n) in units of 1 / n, from running sums at the edges
         size = x.shape[0]
-        total = np.concatenate((np.zeros((1, *x.shape[1:]), np.int64), np.cumsum(x, axis=0)))
         edge = np.arange(n + 1) * size
         whole, part = edge // n, edge % n
+        wanted = np.unique(np.concatenate((whole, np.minimum(whole + 1, size))))
+        total = np.zeros((len(wanted), *x.shape[1:]), np.int64)
+        before, step = np.zeros(x.shape[1:], np.int64), max(1, MAX_SUMMED // max(1, x[0].size))
+        for at in range(0, size, step):
+            running = before + np.cumsum(x[at : at + step], axis=0, dtype=np.int64)
+            here = (wanted > at) & (wanted <= at + step)
+            total[here] = running[wanted[here] - at - 1]
+            before = running[-1]
         part = part.reshape(-1, *[1] * (x.ndim - 1))
-        at = total[whole] * n + part * (total[np.minimum(whole + 1, size)] - total[whole])
-        return np.diff(at, axis=0)
+        low, high = total[np.searchsorted(wanted, whole)], total[np.searchsorted(wanted, np.minimum(whole + 1, size))]
+        return np.diff(low * n + part * (high - low), axis=0)
 
     sums = along(np.swapaxes(along(image, height), 0, 1), width)
     area = image.shape[0] * image.shape[1]
@@ -136,7 +163,7 @@ def with_tiles(df: DataFrame, image_col: str, keep: tuple[str, ...] = ("doc_id",
                     image = decode(data.as_py() or b"")
                     small = resize(image, *tile).astype(image.dtype)
                     rows.append((image.shape[0], image.shape[1], npy(small), difference_hash(image), None))
-                except (ValueError, IndexError, struct.error) as e:
+                except (ValueError, IndexError, OverflowError, struct.error) as e:
                     rows.append((None, None, None, None, str(e)[:200]))
             made = zip(*rows, strict=True) if rows else [[]] * 5
             arrays = [pa.array(x, t) for x, t in zip(made, (pa.int32(), pa.int32(), pa.binary(), pa.string(), pa.string()), strict=True)]
@@ -153,41 +180,46 @@ def text_to_pgm(text: str | None) -> tuple[int, bytes]:
     return len(data), encode_pgm(samples.reshape(-1, WIDTH))
 
 
-def text_images(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """For each row n_bytes and image, a PGM file."""
-    src = df.select(*keep, F.col(text_col).alias("__text__"))
-    schema = T.StructType([src.schema[c] for c in keep]).add("n_bytes", "long").add("image", "binary")
+def _mapped(df: DataFrame, columns: tuple[str, ...], keep: tuple[str, ...], schema: T.StructType, make) -> DataFrame:
+    """keep (but for names of results) and what make() gives for the values of some columns in each row, as a tuple."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kept = [c for c in keep if c not in schema.names]
+    src = df.select(*[F.col(f"`{c}`") for c in kept], *[F.col(f"`{c}`").alias(f"__value{i}__") for i, c in enumerate(columns)])
+    types = [to_arrow_type(f.dataType) for f in schema.fields]
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                made = [text_to_pgm(t) for t in part.column(len(keep)).to_pylist()]
-                arrays = [pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.binary())]
-                yield pa.RecordBatch.from_arrays([part.column(i) for i in range(len(keep))] + arrays, names=schema.names)
+                rows = [make(*(x.as_py() for x in values)) for values in zip(*part.columns[len(kept) :], strict=True)]
+                made = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(i) for i in range(len(kept))] + made, names=[*kept, *schema.names])
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(run, T.StructType([src.schema[c] for c in kept] + schema.fields))
 
 
-def payload_features(df: DataFrame, image_col: str = "image", keep: tuple[str, ...] = ("doc_id", "n_bytes")) -> DataFrame:
-    """What is read back from stored images: their samples' digests, the image's own, its tile and its hash."""
-    src = df.select(*keep, F.col(image_col).alias("__image__"))
-    schema = T.StructType([src.schema[c] for c in keep]).add("payload_bytes", "long").add("payload_sha256", "string").add("tail_crc32", "long").add("media_bytes", "long").add("media_sha256", "string").add("feature", "string")
+def text_images(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """For each row n_bytes, image (a PGM file), tile (an NPY file of its area-resized samples) and dhash."""
 
-    def features(data: bytes):
+    def make(text):
+        size, data = text_to_pgm(text)
         image = decode(data)
-        payload = image.tobytes()
-        tile = hashlib.sha256(npy(resize(image, *TILE).astype(np.uint8))).hexdigest()
-        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), f"{difference_hash(image)}:{tile[:16]}"
+        return size, data, npy(resize(image, *TEXT_TILE).astype(np.uint8)), difference_hash(image)
 
-    def run(batches):
-        for batch in batches:
-            rows = [features(data.as_py()) for data in batch.column(len(keep))]
-            made = zip(*rows, strict=True) if rows else [[]] * 6
-            arrays = [pa.array(x, t) for x, t in zip(made, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(keep))] + arrays, names=schema.names)
+    return _mapped(df, (text_col,), keep, T.StructType().add("n_bytes", "long").add("image", "binary").add("tile", "binary").add("dhash", "string"), make)
 
-    return src.mapInArrow(run, schema)
+
+def payload_features(df: DataFrame, keep: tuple[str, ...] = ("doc_id", "n_bytes")) -> DataFrame:
+    """What is read back from stored images: their samples' digests, the image's own; and feature, of the stored tile and hash."""
+    schema = T.StructType().add("payload_bytes", "long").add("payload_sha256", "string").add("tail_crc32", "long").add("media_bytes", "long").add("media_sha256", "string").add("feature", "string")
+
+    def make(data, tile, dhash):
+        payload = decode(data).tobytes()
+        cells = np.load(io.BytesIO(tile)).tobytes()
+        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), f"{dhash}:{hashlib.sha256(cells).hexdigest()[:16]}"
+
+    return _mapped(df, ("image", "tile", "dhash"), keep, schema, make)
 
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:

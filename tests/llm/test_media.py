@@ -25,7 +25,8 @@ def test_formats():
     bits = RNG.integers(0, 2, (3, 11), dtype=np.uint8)
     assert (media.decode(b"P5 #x\n7 5\n255\n" + grey.tobytes()) == grey).all()
     assert (media.decode(b"P6\n5 4 255\n" + rgb.tobytes()) == rgb).all()
-    assert (media.decode(b"P5 2 3 999\n" + wide.tobytes()) == wide).all()
+    assert (media.decode(b"P5 2 3 999\n" + wide.tobytes()) == (wide.astype(np.int64) * 65535 * 2 + 999) // 1998).all()  # scaled to 16 bits
+    assert (media.decode(b"P5 2 3 65535\n" + wide.tobytes()) == wide).all()
     assert (media.decode(b"P2 7 5 255\n" + " ".join(map(str, grey.ravel())).encode()) == grey).all()
     assert (media.decode(b"P3 5 4 255\n" + " ".join(map(str, rgb.ravel())).encode()) == rgb).all()
     assert (media.decode(b"P4 11 3\n" + np.packbits(bits, axis=1).tobytes()) == (1 - bits) * 255).all()
@@ -83,5 +84,41 @@ def test_texts_survive(spark, odd, none):
 
 
 def test_query(spark, sf):
+    """The registered query, row by row, with a plain area mean and difference hash."""
+    def mean(rows, n, m):
+        def cover(size, parts):
+            return [[(k, min(Fraction(size * (i + 1), parts), k + 1) - max(Fraction(size * i, parts), k)) for k in range(size * i // parts, -(-size * (i + 1) // parts))] for i in range(parts)]
+
+        ys, xs = cover(len(rows), n), cover(64, m)
+        area = Fraction(len(rows) * 64, n * m)
+        return [[int(sum(rows[y][x] * v * w for y, v in a for x, w in b) / area + Fraction(1, 2)) for b in xs] for a in ys]
+
+    docs = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     rows = media.op5_media(spark, sf).collect()
-    assert len(rows) == spark.read.parquet(f"{sf}/documents.parquet").count() and all(r.payload_bytes % 64 == 0 for r in rows)
+    assert {r.doc_id for r in rows} == set(docs) and len(rows) == len(docs)
+    for r in rows:
+        data = docs[r.doc_id]
+        full = data.ljust(max(1, -(-len(data) // 64)) * 64, b"\0")
+        image = b"P5\n64 %d\n255\n" % (len(full) // 64) + full
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256) == (len(data), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-64:]), len(image), hashlib.sha256(image).hexdigest())
+    for r in sorted(rows, key=lambda r: r.payload_bytes)[:25]:
+        full = docs[r.doc_id].ljust(r.payload_bytes, b"\0")
+        lines = [full[k : k + 64] for k in range(0, len(full), 64)]
+        cells = mean(lines, 8, 9)
+        bits = "".join(str(int(a > b)) for row in cells for a, b in zip(row, row[1:], strict=False))
+        tile = bytes(x for row in mean(lines, 16, 16) for x in row)
+        assert r.feature == f"{int(bits, 2):016x}:{hashlib.sha256(tile).hexdigest()[:16]}"
+
+
+def test_samples_outside_their_range():
+    for bad in (b"P2\n1 1\n255\n99999999999999999999", b"P2\n1 1\n255\n300", b"P2\n1 1\n255\n-5", b"P1\n1 1\n7", b"P5\n1 1\n15\n\xff"):
+        with pytest.raises(ValueError):
+            media.decode(bad)
+    assert media.decode(b"P2\n3 1\n15\n0 15 5").tolist() == [[0, 255, 85]]
+
+
+def test_long_images_are_summed_in_steps(monkeypatch):
+    image = RNG.integers(0, 256, (5000, 64), dtype=np.uint8)
+    whole = media.resize(image, 16, 16)
+    monkeypatch.setattr(media, "MAX_SUMMED", 64 * 7)
+    assert (media.resize(image, 16, 16) == whole).all()
