@@ -9,9 +9,10 @@ responses.
 Reading: index rows, filtered as one likes, are dealt by file and sorted by offset; neighbouring byte ranges are
 coalesced to one read of at most MAX_READ bytes (or one record) and parsed.
 
-Null payloads are empty, null URLs have no target header. A null id is smaller than any other; where all ids of
+Null payloads are empty, null URLs have no target header. Ids are percent-encoded in headers, so any text can be one.
+A very long payload is one record, written and read whole. An empty table gives an empty index. A null id is smaller than any other; where all ids of
 equal payloads are null, each is a response. Repeated rows with the largest id are all responses. Columns other
-than id, URL and payload are dropped.
+than id, URL and payload are dropped, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ import hashlib
 import re
 import uuid
 import zlib
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -45,7 +47,7 @@ def digest(payload: bytes) -> str:
 
 def record(page_id, url: str | None, payload: bytes, refers_to) -> bytes:
     """One record as a gzip member; refers_to: the response's id, or None for a response."""
-    name = lambda i: f"<urn:page:{'' if i is None else i}>"
+    name = lambda i: "<urn:page>" if i is None else f"<urn:page:{quote(str(i), safe='')}>"
     head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {name(page_id)}", f"WARC-Date: {DATE}"]
     if url is not None:
         head.append("WARC-Target-URI: " + re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url))
@@ -151,7 +153,8 @@ def read_records(index: DataFrame) -> DataFrame:
                             size = int(headers["WARC-Payload-Length"])
                             if headers["WARC-Type"] == "response" and (said != digest(body) or size != len(body)):
                                 raise ValueError(f"{files[i]} at {offsets[i]}: the payload isn't what was written")
-                            refers = headers.get("WARC-Refers-To", "")[len("<urn:page:") : -1] or None
+                            refers = headers.get("WARC-Refers-To")
+                            refers = None if refers is None else unquote(refers[len("<urn:page:") : -1])
                             rows.append((size, said, headers["WARC-Type"], refers, body))
                         cols = zip(*rows, strict=True)
                         arrays = [pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary()), strict=True)]

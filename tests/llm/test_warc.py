@@ -72,3 +72,14 @@ def test_min_revisit_and_empty(spark):
 def test_query_against_brute_force(spark, sf):
     rows = [(r.page_id, r.url, r.html) for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
     assert sorted((tuple(r) for r in warc.op6_warc(spark, sf).collect()), key=str) == want(rows)
+
+
+def test_any_text_is_an_id(spark):
+    """Ids with line ends, spaces, brackets and none at all come back as they were."""
+    ids = ["a\r\nb", "", " x>", "ü%41", "z"]
+    df = spark.createDataFrame([(i, None, "same") for i in ids] + [("lone", "u", "other")], "page_id string, url string, html string")
+    got = {r.page_id: (r.record_type, r.refers_to) for r in warc.read_records(warc.write_archives(df)).collect()}
+    last = max(ids)
+    assert got == {i: ("response", None) if i == last else ("revisit", last) for i in ids} | {"lone": ("response", None)}
+    df = spark.createDataFrame([("", None, "same"), (None, None, "same")], "page_id string, url string, html string")
+    assert {r.page_id: r.refers_to for r in warc.read_records(warc.write_archives(df)).collect()} == {"": None, None: ""}
