@@ -355,7 +355,8 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def true_edges(edges: DataFrame, docs: DataFrame) -> DataFrame:
         edges = stored(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "simhash-edges")
-        ends = edges.select(F.explode(F.array("u", "v")).alias("__node__")).distinct()
+        # stored, so that Spark knows before it shuffles texts whether they are few
+        ends = stored(edges.select(F.explode(F.array("u", "v")).alias("__node__")).distinct(), "simhash-ends")
         texts = docs.join(ends, "__node__", "left_semi").groupBy(F.col("__node__").alias("node")).agg(F.first("__whole__").alias("text"))
         return _similar(edges, texts, similarity, shingle)
 
