@@ -111,28 +111,40 @@ def write(root: Node) -> str:
 
 
 def article_node(root: Node) -> Node:
-    """The element most likely to hold the article: paragraphs' text counts, links' text counts against."""
+    """The element most likely to hold the article: paragraphs' text counts, links' text counts against.
+
+    Lengths are added up from the leaves, once for each element.
+    """
+    nodes = list(root.all())
+    size: dict[int, int] = {}
+    links: dict[int, int] = {}
+    for node in reversed(nodes):  # what is within comes first
+        inner = [x for x in node.parts if isinstance(x, Node)]
+        size[id(node)] = 0 if node.tag in _LEAVE_OUT else sum(len(x) for x in node.parts if isinstance(x, str)) + sum(size[id(x)] for x in inner)
+        links[id(node)] = size[id(node)] * (node.tag == "a") + sum(links[id(x)] for x in inner)
     best, top = root, -1.0
-    for node in root.all():
+    for node in nodes:
         if node.tag in ("article", "main", "body", "div", "section", "td", ""):
-            own = sum(len(p.text()) for p in node.parts if isinstance(p, Node) and p.tag in ("p", "pre", "blockquote", "ul", "ol", "table", "h2", "h3"))
-            links = sum(len(a.text()) for a in node.all() if a.tag == "a")
-            score = (own - 0.5 * links) * (1.5 if node.tag in ("article", "main") else 1.0)
+            own = sum(size[id(p)] for p in node.parts if isinstance(p, Node) and p.tag in ("p", "pre", "blockquote", "ul", "ol", "table", "h2", "h3"))
+            score = (own - 0.5 * links[id(node)]) * (1.5 if node.tag in ("article", "main") else 1.0)
             if score > top:
                 best, top = node, score
     return best
 
 
-def _inline(node) -> str:
+def _inline(node, depth: int = 0) -> str:
+    """Text with marks; below a depth that no honest page has, text alone."""
     if isinstance(node, str):
         return re.sub(r"\s+", " ", node)
     if node.tag in _LEAVE_OUT:
         return ""
+    if depth > 150:
+        return re.sub(r"\s+", " ", node.text())
     if node.tag == "br":
         return "  \n"
     if node.tag == "img":
         return f"![{node.attrs.get('alt', '')}]({node.attrs.get('src', '')})" if node.attrs.get("src") else ""
-    inner = "".join(_inline(x) for x in node.parts)
+    inner = "".join([_inline(x, depth + 1) for x in node.parts])
     if node.tag in ("em", "i") and inner.strip():
         return f"*{inner.strip()}*"
     if node.tag in ("strong", "b") and inner.strip():
@@ -185,7 +197,7 @@ def markdown(node: Node, depth: int = 0) -> str:
         elif x.tag in ("ul", "ol"):
             items = [y for y in x.parts if isinstance(y, Node) and y.tag == "li"]
             marks = [f"{i}. " if x.tag == "ol" else "- " for i in range(1, len(items) + 1)]
-            blocks.append("\n".join(m + markdown(y, depth + 1).replace("\n\n", "\n").replace("\n", "\n" + " " * len(m)) for m, y in zip(marks, items, strict=True) if depth < 100))
+            blocks.append("\n".join(m + markdown(y, depth + 1).replace("\n\n", "\n").replace("\n", "\n" + " " * len(m)) if depth < 100 else m + y.text().strip() for m, y in zip(marks, items, strict=True)))
         elif x.tag == "blockquote":
             blocks.append("\n".join("> " + y if y else ">" for y in markdown(x, depth + 1).split("\n")) if depth < 100 else x.text())
         elif x.tag == "table":
