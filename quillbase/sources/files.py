@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import subprocess
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,6 +72,8 @@ def parse_commits(logs: DataFrame, text: str = "value") -> DataFrame:
 
 _SHA = re.compile(r"^[0-9a-f]{4,40}$")
 MAX_OUTPUT = 16 << 20
+#: Commits that one call of git reads.
+SLICE = 500
 
 
 def _git(repo: str, *args: str) -> str:
@@ -80,22 +83,45 @@ def _git(repo: str, *args: str) -> str:
     return out.decode("utf-8", "replace")
 
 
+def _git_rows(spark: SparkSession, repo: str, calls: DataFrame, schema: str, read) -> DataFrame:
+    """read(row of calls) -> rows, run by the executors, which must see the repository."""
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                rows = read(row)
+                if rows:
+                    yield pa.RecordBatch.from_pylist(rows)
+
+    return calls.mapInArrow(run, schema)
+
+
 def commits(spark: SparkSession, repo: str, sub_path: str | None = None, since: str | None = None, max_commits: int = 1000) -> DataFrame:
-    """A repository's commits without merges, newest first: sha, short_sha, ts, author, subject, files."""
+    """A repository's commits without merges, newest first: sha, short_sha, ts, author, subject, files.
+
+    The log is read in slices of SLICE commits, each by the executor that parses it.
+    """
     if not 1 <= max_commits <= 100_000:
         raise ValueError("max_commits: 1 to 100000")
-    args = ["log", "--no-merges", f"--max-count={max_commits}", "--name-only", "--pretty=format:COMMIT%x1f%H%x1f%h%x1f%ct%x1f%an%x1f%s"]
+    args = ["log", "--no-merges", "--name-only", "--pretty=format:COMMIT%x1f%H%x1f%h%x1f%ct%x1f%an%x1f%s"]
     args += [f"--since={since}"] if since else []
-    log = _git(repo, *args, "--", *([sub_path] if sub_path else []))
-    return parse_commits(spark.createDataFrame([(log,)], "value string")).orderBy(F.desc("ts"))
+    end = ["--", *([sub_path] if sub_path else [])]
+    slices = spark.range(0, -(-max_commits // SLICE), 1, -(-max_commits // SLICE))
+
+    def read(row):
+        skip = row["id"] * SLICE
+        return [{"value": _git(repo, *args, f"--skip={skip}", f"--max-count={min(SLICE, max_commits - skip)}", *end)}]
+
+    return parse_commits(_git_rows(spark, repo, slices, "value string", read)).orderBy(F.desc("ts"))
 
 
 def pages_at(spark: SparkSession, repo: str, sha: str, sub_path: str = "") -> DataFrame:
-    """The Markdown files of a commit: path, body."""
+    """The Markdown files of a commit: path, raw. Names are listed by one call, texts are read by the executors, some files a task."""
     if not _SHA.match(sha):
         raise ValueError("not a commit")
-    names = [n for n in _git(repo, "ls-tree", "-r", "--name-only", "-z", sha, *(["--", sub_path] if sub_path else [])).split("\0") if n.endswith(".md")]
-    return spark.createDataFrame([(n, _git(repo, "show", f"{sha}:{n}")) for n in names], "path string, raw string")
+    listed = _git_rows(spark, repo, spark.range(0, 1, 1, 1), "path string", lambda _: [{"path": n} for n in _git(repo, "ls-tree", "-r", "--name-only", "-z", sha, *(["--", sub_path] if sub_path else [])).split("\0") if n.endswith(".md")])
+    dealt = listed.repartition(spark.sparkContext.defaultParallelism, "path")
+    return _git_rows(spark, repo, dealt, "path string, raw string", lambda row: [{"path": row["path"], "raw": _git(repo, "show", f"{sha}:{row['path']}")}])
 
 
 HOOK = (
