@@ -8,10 +8,12 @@ scores are exact ties; of them the segmentation with fewer tokens counts.
 Forward scores depend on the prefix alone. Distinct pre-tokens are therefore inserted in a trie whose nodes hold
 the best score and token count of their prefix: each shared prefix is scored once, and the terminal node of a
 pre-token has its count. The trie and the table of terminal counts belong to one task and are emptied when they
-reach a fixed number of nodes, so memory is bounded while results stay the same.
+reach a fixed number of nodes, so memory is bounded while results stay the same. The probabilities are given, not
+learnt from the table: a fit would double the passes over all texts.
 
-Null texts and texts without words have no tokens; ids may be null or repeated, rows are never merged; columns
-other than those asked for are dropped.
+A very long pre-token takes time in proportion to its length. Null texts and texts without words have no tokens; ids may be null or repeated, rows are never merged; columns
+other than those asked for are dropped, and one asked for with the name of a result gives way to it. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -43,7 +45,8 @@ class PieceTrie:
 
     def __init__(self, scores: dict[bytes, int]):
         self.scores = scores
-        self.longest = max(map(len, scores))
+        # every end of a piece: where none fits, no longer piece does
+        self.tails = {piece[i:] for piece in scores for i in range(len(piece))}
         self.clear()
 
     def clear(self) -> None:
@@ -53,16 +56,20 @@ class PieceTrie:
 
     def insert(self, word: bytes) -> tuple[int, int]:
         """(tokens, score) of the best segmentation."""
-        child, best, count, scores, longest = self.child, self.best, self.count, self.scores, self.longest
+        child, best, count, scores, tails = self.child, self.best, self.count, self.scores, self.tails
         path, node = [0], 0
         for end, byte in enumerate(word, 1):
             key = node << 8 | byte
             after = child.get(key)
             if after is None:
                 top, least = None, 0
-                for start in range(max(0, end - longest), end):
-                    score = scores.get(word[start:end])
-                    if score is not None:
+                for start in range(end - 1, -1, -1):
+                    piece = word[start:end]
+                    score = scores.get(piece)
+                    if score is None:
+                        if piece not in tails:
+                            break
+                    else:
                         score += best[path[start]]
                         n = count[path[start]] + 1
                         if top is None or score > top or score == top and n < least:
