@@ -8,11 +8,12 @@ in a byte, composition is a table of 256 x 256, and an associative scan over blo
 all states, hence all boundaries, of a batch of texts come from a few array operations.
 
 A slice is looked up in a table of ids, and merged pair by pair (lowest rank first) when new; the table belongs to
-a task and is emptied at a fixed size. Slice offsets stay available for decoding: token_offsets() has the bytes at
-which each token begins.
+a task and is emptied at a fixed size. The slices' offsets, in tokens and in bytes, are kept with the ids, and decoding goes by
+them: slice by slice, or only those of a range of bytes.
 
-A null text is empty: no ids, the digest of no bytes. Rows are kept as they are, whatever their ids; columns not
-asked for are dropped. The file of ranks is a parameter, read in each task.
+A null text is empty: no ids, the digest of no bytes. A very long text is one batch of its own, a very long slice is merged with
+a heap. Rows are kept as they are, whatever their ids; columns not asked for are dropped, and one asked for with the name
+of a result gives way to it. An empty table gives an empty result. The file of ranks is a parameter, read in each task.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import sys
 import unicodedata
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -209,6 +211,28 @@ class _Slices(dict):
         return found
 
 
+class _Bytes(dict):
+    """The bytes of the packed ids of a slice."""
+
+    def __init__(self, tokens: list[bytes]):
+        super().__init__()
+        self.tokens = tokens
+
+    def __missing__(self, ids: bytes) -> bytes:
+        found = b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        if len(ids) <= 64:
+            self[ids] = found
+        return found
+
+
+class Encoded(NamedTuple):
+    """Ids as little-endian 32-bit integers, and where each slice begins in tokens and in bytes (and where the last one ends)."""
+
+    ids: bytes
+    tokens: np.ndarray
+    starts: np.ndarray
+
+
 class Codec:
     def __init__(self, ranks: dict[bytes, int]):
         self.slices = _Slices(ranks)
@@ -216,10 +240,10 @@ class Codec:
         self.bytes = [b""] * (max(ranks.values()) + 1)
         for piece, i in ranks.items():
             self.bytes[i] = piece
+        self.slice_bytes = _Bytes(self.bytes)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit integers."""
-        out: list[bytes] = []
+    def encode(self, texts: list[str]) -> list[Encoded]:
+        out: list[Encoded] = []
         at = 0
         while at < len(texts):
             end, size = at, 0
@@ -230,12 +254,13 @@ class Codec:
             at = end
         return out
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.slices) > MAX_SLICES:
-            self.slices.clear()
+    def _encode(self, texts: list[str]) -> list[Encoded]:
+        for cache in (self.slices, self.slice_bytes):
+            if len(cache) > MAX_SLICES:
+                cache.clear()
         joined = "".join(texts)
         if not joined:
-            return [b""] * len(texts)
+            return [Encoded(b"", np.zeros(1, np.int64), np.zeros(1, np.int64))] * len(texts)
         lengths = np.array([len(t) for t in texts])
         begin = np.concatenate(([0], np.cumsum(lengths)))
         codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
@@ -245,15 +270,31 @@ class Codec:
         ends.append(len(joined))
         pieces = [joined[a:b] for a, b in zip(ends, ends[1:])]  # noqa: B905
         ids = list(map(self.slices.__getitem__, pieces))
-        return [b"".join(ids[a:b]) for a, b in zip(per_text, per_text[1:])]  # noqa: B905
-
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-
-    def token_offsets(self, ids: bytes) -> np.ndarray:
-        """The byte at which each token begins in the decoded text."""
-        lengths = np.array([len(self.bytes[i]) for i in np.frombuffer(ids, "<u4").tolist()], np.int64)
-        return np.cumsum(lengths) - lengths
+        width = np.uint8(1) + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF)
+        bytes_before = np.concatenate(([0], np.cumsum(width, dtype=np.int64)))[ends]
+        tokens_before = np.concatenate(([0], np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)) // 4)))
+        return [Encoded(b"".join(ids[a:b]), tokens_before[a : b + 1] - tokens_before[a], bytes_before[a : b + 1] - bytes_before[a]) for a, b in zip(per_text, per_text[1:])]  # noqa: B905
+
+    def decode(self, encoded: Encoded, first: int = 0, stop: int | None = None) -> bytes:
+        """The bytes from first to stop, of the slices that hold them; a slice that isn't as long as its offsets say is an error."""
+        starts = encoded.starts
+        stop = int(starts[-1]) if stop is None else min(stop, int(starts[-1]))
+        if first >= stop:
+            return b""
+        a, b = int(np.searchsorted(starts, first, "right")) - 1, int(np.searchsorted(starts, stop))
+        at = (4 * encoded.tokens[a : b + 1]).tolist()
+        ids, get = encoded.ids, self.slice_bytes.__getitem__
+        data = b"".join([get(ids[x:y]) for x, y in zip(at, at[1:])])  # noqa: B905
+        if len(data) != starts[b] - starts[a]:
+            raise ValueError("the ids don't fit the offsets of their slices")
+        return data[first - int(starts[a]) : stop - int(starts[a])]
+
+    def token_offsets(self, encoded: Encoded) -> np.ndarray:
+        """The byte at which each token begins: within its slice by the tokens' lengths, the slice by its offset."""
+        lengths = np.array([len(self.bytes[i]) for i in np.frombuffer(encoded.ids, "<u4").tolist()], np.int64)
+        running = np.cumsum(lengths) - lengths
+        of = np.repeat(np.arange(len(encoded.tokens) - 1), np.diff(encoded.tokens))
+        return encoded.starts[of] + running - running[encoded.tokens[of]] if len(of) else running
 
 
 def with_token_ids(df: DataFrame, ranks_path: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -261,22 +302,22 @@ def with_token_ids(df: DataFrame, ranks_path: str, text_col: str = "text", keep:
 
     def make():
         codec = Codec(load_ranks(ranks_path))
-        return lambda texts: [[np.frombuffer(x, "<i4") for x in codec.encode([t or "" for t in texts])]]
+        return lambda texts: [[np.frombuffer(x.ids, "<i4") for x in codec.encode([t or "" for t in texts])]]
 
     return per_document(df, make, "token_ids array<int>", text_col, keep)
 
 
 def with_token_digests(df: DataFrame, ranks_path: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), ids: bool = False) -> DataFrame:
-    """For each row n_tokens, ids_sha256, decoded_sha256, and token_ids if asked for; decoding goes by the ids."""
+    """For each row n_tokens, ids_sha256, decoded_sha256, and token_ids if asked for; decoding goes by the ids and the slices' offsets."""
 
     def make():
         codec = Codec(load_ranks(ranks_path))
 
         def call(texts):
             coded = codec.encode([t or "" for t in texts])
-            digests = [hashlib.sha256(x).hexdigest() for x in coded]
+            digests = [hashlib.sha256(x.ids).hexdigest() for x in coded]
             decoded = [hashlib.sha256(codec.decode(x)).hexdigest() for x in coded]
-            return [[len(x) // 4 for x in coded], digests, decoded] + ([[np.frombuffer(x, "<i4") for x in coded]] if ids else [])
+            return [[len(x.ids) // 4 for x in coded], digests, decoded] + ([[np.frombuffer(x.ids, "<i4") for x in coded]] if ids else [])
 
         return call
 

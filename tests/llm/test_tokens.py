@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import public_tokenizers as P
+import pytest
 import tiktoken
 
 from quillbase.llm import byte_bpe, token_counts
@@ -40,7 +41,7 @@ def test_counts_of_odd_rows(spark, odd, none):
 
 
 def ids(codec, texts):
-    return [np.frombuffer(x, "<u4").tolist() for x in codec.encode(texts)]
+    return [np.frombuffer(x.ids, "<u4").tolist() for x in codec.encode(texts)]
 
 
 def test_encoding_is_the_librarys():
@@ -59,7 +60,13 @@ def test_decoding_and_offsets():
     (coded,) = codec.encode([text])
     assert codec.decode(coded) == text.encode()
     offsets = codec.token_offsets(coded)
-    pieces = [ENC.decode_single_token_bytes(i) for i in np.frombuffer(coded, "<u4").tolist()]
+    pieces = [ENC.decode_single_token_bytes(i) for i in np.frombuffer(coded.ids, "<u4").tolist()]
+    for a in range(len(text.encode()) + 1):
+        for b in (a, a + 1, a + 5, 999):
+            assert codec.decode(coded, a, b) == text.encode()[a:b]
+    with pytest.raises(ValueError):
+        codec.decode(coded._replace(starts=coded.starts + np.arange(len(coded.starts))))
+    assert [codec.decode(x) for x in codec.encode(["", "é", "", "a b"])] == [b"", "é".encode(), b"", b"a b"]
     assert all(text.encode()[o : o + len(p)] == p for o, p in zip(offsets.tolist(), pieces, strict=True))
 
 
