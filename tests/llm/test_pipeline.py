@@ -110,3 +110,12 @@ def test_one_row_of_each_group_whatever_its_id(spark, sf):
     assert got.columns == ["doc_id", "text", "more"]
     want = [(0, t) for t in texts] + [(None, "a copy without any id"), (None, "another text that has no id")]
     assert sorted((r.text, r.doc_id) for r in got.collect()) == sorted((t, i) for i, t in want)
+
+
+def test_empty_tables(spark, sf, none):
+    docs = none
+    for name, f in P.STAGES:
+        docs = f(spark, docs, sf)
+        assert docs.count() == 0, name
+        if name != "byte_bpe":
+            assert docs.columns == none.columns, name
