@@ -9,7 +9,7 @@ all states, hence all boundaries, of a batch of texts come from a few array oper
 
 A slice is looked up in a table of ids, and merged pair by pair (lowest rank first) when new; the table belongs to
 a task and is emptied at a fixed size. The slices' offsets, in tokens and in bytes, are kept with the ids, and decoding goes by
-them: slice by slice, or only those of a range of bytes.
+them: all slices, or only those of a range of bytes.
 
 A null text is empty: no ids, the digest of no bytes. A very long text is one batch of its own, a very long slice is merged with
 a heap. Rows are kept as they are, whatever their ids; columns not asked for are dropped, and one asked for with the name
@@ -211,20 +211,6 @@ class _Slices(dict):
         return found
 
 
-class _Bytes(dict):
-    """The bytes of the packed ids of a slice."""
-
-    def __init__(self, tokens: list[bytes]):
-        super().__init__()
-        self.tokens = tokens
-
-    def __missing__(self, ids: bytes) -> bytes:
-        found = b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-        if len(ids) <= 64:
-            self[ids] = found
-        return found
-
-
 class Encoded(NamedTuple):
     """Ids as little-endian 32-bit integers, and where each slice begins in tokens and in bytes (and where the last one ends)."""
 
@@ -240,7 +226,6 @@ class Codec:
         self.bytes = [b""] * (max(ranks.values()) + 1)
         for piece, i in ranks.items():
             self.bytes[i] = piece
-        self.slice_bytes = _Bytes(self.bytes)
 
     def encode(self, texts: list[str]) -> list[Encoded]:
         out: list[Encoded] = []
@@ -255,9 +240,8 @@ class Codec:
         return out
 
     def _encode(self, texts: list[str]) -> list[Encoded]:
-        for cache in (self.slices, self.slice_bytes):
-            if len(cache) > MAX_SLICES:
-                cache.clear()
+        if len(self.slices) > MAX_SLICES:
+            self.slices.clear()
         joined = "".join(texts)
         if not joined:
             return [Encoded(b"", np.zeros(1, np.int64), np.zeros(1, np.int64))] * len(texts)
@@ -276,15 +260,14 @@ class Codec:
         return [Encoded(b"".join(ids[a:b]), tokens_before[a : b + 1] - tokens_before[a], bytes_before[a : b + 1] - bytes_before[a]) for a, b in zip(per_text, per_text[1:])]  # noqa: B905
 
     def decode(self, encoded: Encoded, first: int = 0, stop: int | None = None) -> bytes:
-        """The bytes from first to stop, of the slices that hold them; a slice that isn't as long as its offsets say is an error."""
+        """The bytes from first to stop, of the slices that hold them; slices that aren't as long as their offsets say are an error."""
         starts = encoded.starts
         stop = int(starts[-1]) if stop is None else min(stop, int(starts[-1]))
         if first >= stop:
             return b""
         a, b = int(np.searchsorted(starts, first, "right")) - 1, int(np.searchsorted(starts, stop))
-        at = (4 * encoded.tokens[a : b + 1]).tolist()
-        ids, get = encoded.ids, self.slice_bytes.__getitem__
-        data = b"".join([get(ids[x:y]) for x, y in zip(at, at[1:])])  # noqa: B905
+        ids = np.frombuffer(encoded.ids, "<u4")[encoded.tokens[a] : encoded.tokens[b]]
+        data = b"".join(map(self.bytes.__getitem__, ids.tolist()))
         if len(data) != starts[b] - starts[a]:
             raise ValueError("the ids don't fit the offsets of their slices")
         return data[first - int(starts[a]) : stop - int(starts[a])]
