@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .alignment import op11_token_alignment
 from .byte_bpe import op8_byte_bpe
 from .decontaminate import OP4_SQL, op4_decontaminate
 from .lm_scores import op3_lm_scores
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_url_filter": op9_url_filter,
     "op10_toxicity": op10_toxicity,
+    "op11_token_alignment": op11_token_alignment,
 }
 
 ORACLE_SQL: dict[str, str] = {
