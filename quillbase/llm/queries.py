@@ -7,6 +7,7 @@ from .byte_bpe import op8_byte_bpe
 from .decontaminate import OP4_SQL, op4_decontaminate
 from .lm_scores import op3_lm_scores
 from .media import op5_media
+from .mixing import OP12_SQL, op12_mixture
 from .pii import op7_pii
 from .simhash import op2_simhash
 from .token_counts import op1_token_counts
@@ -26,9 +27,11 @@ QUERIES = {
     "op9_url_filter": op9_url_filter,
     "op10_toxicity": op10_toxicity,
     "op11_token_alignment": op11_token_alignment,
+    "op12_mixture": op12_mixture,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_decontaminate": OP4_SQL,
     "op9_url_filter": OP9_SQL,
+    "op12_mixture": OP12_SQL,
 }
