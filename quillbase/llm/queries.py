@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .alignment import op11_token_alignment
 from .byte_bpe import op8_byte_bpe
+from .collocations import OP13_SQL, op13_collocations
 from .decontaminate import OP4_SQL, op4_decontaminate
 from .lm_scores import op3_lm_scores
 from .media import op5_media
@@ -28,10 +29,12 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
     "op11_token_alignment": op11_token_alignment,
     "op12_mixture": op12_mixture,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_decontaminate": OP4_SQL,
     "op9_url_filter": OP9_SQL,
     "op12_mixture": OP12_SQL,
+    "op13_collocations": OP13_SQL,
 }
