@@ -4,20 +4,24 @@ Fingerprints: 64 bits over the 3-word shingles of the whole text, as with_finger
 
 Links: two fingerprints link if at most 3 bits differ. Equal fingerprints are first merged, so copies never meet
 as pairs. The index is one per group of a partitioning: with the bits in four blocks, two fingerprints that link agree
-in one block, so each is dealt to four groups by the leading bits of its blocks, as many bits as leave about
-MAX_GROUP / 8 members in a group. A group over MAX_GROUP is dealt out again by four blocks of the bits still free, and so
+in one block, so each is dealt to four groups by the leading bits of its blocks, as many bits as leave about a
+quarter of MAX_GROUP members in a group. A group over MAX_GROUP is dealt out again by four blocks of the bits still free, and so
 on; every group that one task holds is bounded and no pair is lost.
 
-A group's index: members sorted by Gray rank, so that neighbours share long bit patterns. A node of an upper level
-holds the bits on which all its NODE children agree. The search starts at pairs of top nodes, adds up the differences
-of their agreed bits, prunes all pairs below two nodes with more than 3, and descends into the others. A group returns
-a spanning forest of its links, not all pairs.
-
-A wider reach, for a given Jaccard similarity of five-word shingles (similar_groups): the fingerprint's bits are cut into
-PARTS, each with its own groups and index, in which its bits lead and pairs differ in at most 3 of them. Pairs found so that
-a longer sketch takes for nearly similar make the forests, closest pairs first; the pairs of the forests are then held against
-the texts, exactly. Of pairs with a similarity of 0.8 (0.85), 94 (98) in 100 have such a part, if bits differ at random.
-Members of a large group whose part is used up go to groups of all pairs of chunks.
+A group's index: members sorted by Gray rank, with the bits that all members of the group share last, so that neighbours
+share long bit patterns. A node of an upper level holds the bits on which its NODE children agree. The search starts at pairs
+of top nodes, adds up the differences of their agreed bits, prunes all pairs below two nodes with more than 3, and descends
+into the others. A group returns a spanning forest of its links, not all pairs.
+
+A wider reach, for a given Jaccard similarity of five-word shingles (similar_groups): sketches are of distinct shingles, the
+fingerprint's bits are cut into PARTS, each with its own groups and index, in which its bits lead and pairs differ in at most 3
+of them. Of pairs with a similarity of 0.8 (0.85), 94 (98) in 100 have such a part, if bits differ at random. Pairs found so
+that the longer sketch takes for nearly similar make the forests, closest pairs first, and only pairs whose texts have the
+similarity exactly become links. Groups with a refuted pair are searched again, without the pairs refuted so far and with twice
+as many forests as before, between the clusters that verified links have left; this ends when a round refutes nothing, so
+every candidate is verified, or its texts are linked otherwise. Texts of one sketch are held against the first of them; those
+that have the similarity stand in the index by it, the others by themselves. Members of a large group whose part is
+used up, or whose bits don't tell most of them apart, go to groups of all pairs of chunks.
 
 Components: large-star and small-star steps over the links, each written to the shared folder.
 
@@ -45,8 +49,14 @@ DISTANCE = 3
 BLOCKS = DISTANCE + 1
 SHINGLE = 3
 SEED = 42
-MAX_GROUP = 8192
-NODE = 16
+MAX_GROUP = 16384
+NODE = 2
+#: The top level has at most so many nodes, all pairs of which are looked at.
+TOP = 16
+#: Pairs of nodes that are descended into at once.
+STEP = 1 << 16
+#: A group's share of bits is such that groups have about this part of MAX_GROUP members.
+AIM = 0.25
 #: Of similar_groups: words of a shingle, 64-bit words of a sketch, parts of the indexed fingerprint.
 SIMILAR_SHINGLE, SKETCH, PARTS = 5, 4, 3
 #: Candidates differ in at most so many bits of the fingerprint (unlike ones in 32, about), and their sketches may look this much less similar.
@@ -62,8 +72,8 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(31)
 
 
-def sketch(text: str | None, shingle: int = SHINGLE, words: int = 1) -> np.ndarray:
-    """Words of 64 bits; a bit is 1 if it is set in over half the hashes of the shingles: XXH64, after it hashes mixed from it."""
+def sketch(text: str | None, shingle: int = SHINGLE, words: int = 1, distinct: bool = False) -> np.ndarray:
+    """Words of 64 bits; a bit is 1 if it is set in over half the hashes of the shingles (or of the distinct ones): XXH64, after it hashes mixed from it."""
     split = (text or "").encode().lower().split()
     if not split:
         return np.zeros(words, np.uint64)
@@ -74,6 +84,9 @@ def sketch(text: str | None, shingle: int = SHINGLE, words: int = 1) -> np.ndarr
     stops = ends[len(split) - n :].tolist()
     digest = xxhash.xxh64_intdigest
     hashes = np.array([digest(data[a:b], SEED) for a, b in zip(starts, stops, strict=True)], np.uint64)
+    if distinct:
+        hashes = np.unique(hashes)
+        n = len(hashes)
     salts = np.arange(words, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     counts = np.zeros(BITS * words, np.int64)
     for at in range(0, n, 4096):
@@ -90,17 +103,24 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(sketch(text, shingle)[0])
 
 
-def with_fingerprints(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), shingle: int = SHINGLE, words: int = 1) -> DataFrame:
-    """Columns fp, the fingerprint as a signed long, and bits, the sketch of so many words. Text: A-Z lower-cased, words between ASCII white space."""
+def with_fingerprints(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), shingle: int = SHINGLE) -> DataFrame:
+    """Column fp, the fingerprint as a signed long. Text: A-Z lower-cased, words between ASCII white space."""
+
+    def call(texts):
+        return [np.array([sketch(t, shingle)[0] for t in texts], np.uint64).view(np.int64)]
+
+    return per_document(df, lambda: call, "fp long", text_col, keep)
 
-    def make():
-        def call(texts):
-            made = np.array([sketch(t, shingle, words) for t in texts], np.uint64).reshape(-1, words)
-            return [np.ascontiguousarray(made[:, 0]).view(np.int64), [x.tobytes() for x in made]]
 
-        return call
+def with_sketches(df: DataFrame, text_col: str, keep: tuple[str, ...], shingle: int = SIMILAR_SHINGLE) -> DataFrame:
+    """Columns fp and bits, a sketch of the distinct shingles and its first word, and digest, 128 bits of the words of the text."""
 
-    return per_document(df, make, "fp long, bits binary", text_col, keep)
+    def call(texts):
+        made = np.array([sketch(t, shingle, SKETCH, True) for t in texts], np.uint64).reshape(-1, SKETCH)
+        digests = [xxhash.xxh3_128_digest(b" ".join((t or "").encode().lower().split())) for t in texts]
+        return [np.ascontiguousarray(made[:, 0]).view(np.int64), [x.tobytes() for x in made], digests]
+
+    return per_document(df, lambda: call, "fp long, bits binary, digest binary", text_col, keep)
 
 
 # ---- the index
@@ -128,7 +148,7 @@ class GrayIndex:
 
     def __init__(self, codes: np.ndarray):
         self.levels = [(np.full(len(codes), ~np.uint64(0)), codes)]
-        while len(self.levels[-1][0]) > NODE:
+        while len(self.levels[-1][0]) > TOP:
             self.levels.append(_nodes(*self.levels[-1]))
         self.visited = self.pruned = 0
 
@@ -150,9 +170,9 @@ class GrayIndex:
                 return
             self.pruned += len(near) - len(a)
             n = len(self.levels[level - 1][0])
-            for at in range(0, len(a), 1024):
-                x = (a[at : at + 1024, None] * NODE + inner_a).ravel()
-                y = (b[at : at + 1024, None] * NODE + inner_b).ravel()
+            for at in range(0, len(a), STEP):
+                x = (a[at : at + STEP, None] * NODE + inner_a).ravel()
+                y = (b[at : at + STEP, None] * NODE + inner_b).ravel()
                 fits = (x <= y if level > 1 else x < y) & (x < n) & (y < n)
                 yield from below(level - 1, x[fits], y[fits])
 
@@ -177,23 +197,30 @@ def _joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray
     return tuple(np.concatenate(x) for x in zip(*used, strict=True)) if used else (a, b)
 
 
-def forest(codes: np.ndarray, bits: np.ndarray | None = None, most: int = 0, distance: int = DISTANCE, head: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of places that link: a spanning forest of the links between codes.
+def forest(
+    codes: np.ndarray, bits: np.ndarray | None = None, most: int = 0, distance: int = DISTANCE, head: int = BITS, label: np.ndarray | None = None, without: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places that link: a spanning forest of the links between codes, or between clusters of them (label).
 
     bits: a sketch for each code, of which linked ones differ in at most `most` bits; closer pairs come first.
+    without: pairs not to use, each as smaller place times the number of codes plus larger place, sorted.
     """
     order = np.argsort(gray_rank(codes), kind="stable")
     index = GrayIndex(codes[order])
-    label = np.arange(len(codes))
+    label = np.arange(len(codes)) if label is None else label.copy()
     found: list[tuple[np.ndarray, np.ndarray]] = []
     for limit in [0] if bits is None else [most // 3, 2 * most // 3, most]:
         for a, b in index.near_pairs(distance, head):
             a, b = order[a], order[b]
+            apart = label[a] != label[b]
+            a, b = a[apart], b[apart]
             if bits is not None:
-                apart = label[a] != label[b]
-                a, b = a[apart], b[apart]
                 near = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int32) <= limit
                 a, b = a[near], b[near]
+            if without is not None and len(without):
+                code = np.minimum(a, b) * len(codes) + np.maximum(a, b)
+                new = without[np.minimum(np.searchsorted(without, code), len(without) - 1)] != code
+                a, b = a[new], b[new]
             found.append(_joined(label, a, b))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (label[:0], label[:0])
 
@@ -216,65 +243,140 @@ def _signed(x: int) -> int:
     return x - (1 << BITS) if x >> (BITS - 1) else x
 
 
-def links(codes: DataFrame, n: int, parts: int = 1, most: int | None = None) -> DataFrame:
-    """Edges (u, v) of spanning forests, from n distinct codes (columns node, fp, bits): their components are those of all links.
+_KEYS = ["part", "mask", "value", "low", "high"]
 
-    most: of the bits of linked codes, how many may differ; without it, fp alone decides.
-    """
+
+def dealt(codes: DataFrame, n: int, parts: int = 1) -> DataFrame:
+    """n codes (node, fp and other columns) in groups by _KEYS, none of over MAX_GROUP members; stored."""
     spark = codes.sparkSession
     free = _part_bits(parts)
-    lead = max(0, math.ceil(math.log2(max(1, 8 * n / MAX_GROUP))))
+    lead = max(0, math.ceil(math.log2(max(1, n / (AIM * MAX_GROUP)))))
     groups = sorted({(part, mask) for part in range(parts) for mask in _blocks(list(free[part]), lead)})
-    distance = DISTANCE if most is None else WIDEST
-
-    def link(key, table):
-        if table.num_rows > 1:
-            part = free[key[0].as_py()]
-            fps = table.column("fp").to_numpy().view(np.uint64)
-            turn = np.uint64(BITS - part.stop)
-            if turn:
-                fps = fps << turn | fps >> (np.uint64(BITS) - turn)
-            bits = None
-            if most is not None:
-                bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(fps), -1)
-            a, b = forest(fps, bits, most or 0, distance, len(part))
-            nodes = table.column("node").to_numpy()
-            u, v = nodes[a], nodes[b]
-        else:
-            u = v = np.zeros(0, np.int64)
-        return pa.Table.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
-
-    held = ["node", "fp"] + ["bits"] * (most is not None)
+    held = codes.columns
+    whole = [F.lit(-1).cast("long").alias("low"), F.lit(-1).cast("long").alias("high")]
     rows = codes.select(*held, F.explode(F.array(*[F.struct(F.lit(p).alias("part"), F.lit(_signed(m)).alias("mask")) for p, m in groups])).alias("g"))
-    rows = rows.select(*held, "g.part", "g.mask")
+    rows = rows.select(*held, "g.part", "g.mask", F.lit(n).cast("long").alias("above"))
     found = None
     while True:
         rows = rows.withColumn("value", F.col("fp").bitwiseAND(F.col("mask")))
-        sizes = rows.groupBy("part", "mask", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MAX_GROUP)
+        # tight: of the group that was dealt out, most members are still together
+        tight = F.count(F.lit(1)) > F.max("above") * 0.6
+        sizes = rows.groupBy("part", "mask", "value").agg(F.count(F.lit(1)).alias("n"), tight.alias("tight")).where(F.col("n") > MAX_GROUP)
         hot = stored(sizes, "simhash-groups")
         if hot.isEmpty():
             hot = None
-        cold = rows if hot is None else rows.join(hot, ["part", "mask", "value"], "left_anti")
-        made = cold.groupBy("part", "mask", "value").applyInArrow(link, "u long, v long")
-        found = made if found is None else found.unionByName(made)
+        cold = (rows if hot is None else rows.join(hot, ["part", "mask", "value"], "left_anti")).select(*held, "part", "mask", "value", *whole)
+        found = cold if found is None else found.unionByName(cold)
         if hot is None:
-            return found
+            return stored(found, "simhash-dealt")
         deeper = {(p, m): [m | x for x in _blocks(f)] for p, m in groups if len(f := [i for i in free[p] if not m >> i & 1]) >= 3 * BLOCKS}
         spent = [(p, _signed(m)) for p, m in groups if (p, m) not in deeper]
-        if spent:
-            # few bits of the part are left: all pairs of chunks of such a group
-            full = spark.createDataFrame(spent, "part int, mask long")
-            pieces = rows.join(hot, ["part", "mask", "value"]).join(F.broadcast(full), ["part", "mask"]).withColumn("k", F.ceil(F.col("n") * 2 / MAX_GROUP))
+        full = spark.createDataFrame(spent, "part int, mask long").withColumn("spent", F.lit(True))
+        hot = hot.join(F.broadcast(full), ["part", "mask"], "left").withColumn("spent", F.coalesce("spent", F.lit(False)) | F.col("tight"))
+        if not hot.where("spent").isEmpty():
+            # few bits of the part are left, or they don't tell members apart: all pairs of chunks of such a group
+            pieces = rows.join(hot.where("spent"), ["part", "mask", "value"]).withColumn("k", F.ceil(F.col("n") * 2 / MAX_GROUP))
             own = F.pmod(F.xxhash64("node"), F.col("k"))
             pairs = pieces.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1))).where("other <> own")
-            pairs = pairs.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
-            found = found.unionByName(pairs.groupBy("part", "mask", "value", "low", "high").applyInArrow(link, "u long, v long"))
-        if not deeper:
-            return found
-        dealt = spark.createDataFrame([(p, _signed(m), [_signed(x) for x in new]) for (p, m), new in deeper.items()], "part int, mask long, masks array<long>")
+            found = found.unionByName(pairs.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other")).select(*held, *_KEYS))
+        if not deeper or hot.where("not spent").isEmpty():
+            return stored(found, "simhash-dealt")
+        new = spark.createDataFrame([(p, _signed(m), [_signed(x) for x in masks]) for (p, m), masks in deeper.items()], "part int, mask long, masks array<long>")
         # at most parts * BLOCKS ** levels masks exist
-        rows = rows.join(hot, ["part", "mask", "value"], "left_semi").join(F.broadcast(dealt), ["part", "mask"]).select(*held, "part", F.explode("masks").alias("mask"))
-        groups = sorted({(p, x) for (p, _), new in deeper.items() for x in new})
+        rows = rows.join(hot.where("not spent").select("part", "mask", "value", "n"), ["part", "mask", "value"]).join(F.broadcast(new), ["part", "mask"])
+        rows = rows.select(*held, "part", F.explode("masks").alias("mask"), F.col("n").alias("above"))
+        groups = sorted({(p, x) for (p, _), masks in deeper.items() for x in masks})
+
+
+def _codes_of(key, table: pa.Table, free: list[range]) -> tuple[np.ndarray, int]:
+    """The fingerprints of a group, turned so that the bits that tell them apart lead, and how many of those are of its part."""
+    fps = table.column("fp").to_numpy().view(np.uint64)
+    part = free[key[0].as_py()]
+    stop = part.stop
+    if len(part) == BITS and (mask := key[1].as_py() % (1 << BITS)):
+        stop = (mask & -mask).bit_length() - 1  # the bits below those that the group shares
+    turn = np.uint64((BITS - stop) % BITS)
+    return (fps << turn | fps >> (np.uint64(BITS) - turn) if turn else fps), len(part)
+
+
+_LINKS = "u long, v long"
+
+
+def _pairs(*columns: np.ndarray, names: list[str] = ["u", "v"]) -> pa.Table:  # noqa: B006
+    return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
+
+
+def links(codes: DataFrame, n: int, parts: int = 1) -> DataFrame:
+    """Edges (u, v) of spanning forests, from n distinct codes (node, fp): their components are those of all links."""
+    free = _part_bits(parts)
+
+    def link(key, table):
+        fps, head = _codes_of(key, table, free)
+        nodes = table.column("node").to_numpy()
+        a, b = forest(fps, distance=DISTANCE, head=head)
+        return _pairs(nodes[a], nodes[b])
+
+    return dealt(codes.select("node", "fp"), n, parts).groupBy(*_KEYS).applyInArrow(link, _LINKS)
+
+
+def verified_links(codes: DataFrame, n: int, parts: int, most: int, verify) -> DataFrame:
+    """Edges (u, v) from n codes (node, fp, bits) whose sketches differ in at most `most` bits and that verify(edges) leaves.
+
+    Their components are those of all such edges between members of one group.
+    """
+    free = _part_bits(parts)
+
+    def linkers(times: int):
+        def link(key, table, wrong):
+            names = [*_KEYS, "u", "v"]
+            fps, head = _codes_of(key, table, free)
+            nodes = table.column("node").to_numpy()
+            bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(fps), -1)
+            label, without = None, np.zeros(0, np.int64)
+            if wrong is not None:
+                # a cluster's label is the place of its first member
+                _, first, which = np.unique(table.column("root").to_numpy(), return_index=True, return_inverse=True)
+                label = first[which]
+                order = np.argsort(nodes)
+                u, v = (order[np.searchsorted(nodes[order], wrong.column(c).to_numpy())] for c in "uv")
+                without = np.sort(np.minimum(u, v) * len(nodes) + np.maximum(u, v))
+            us, vs = [], []
+            for _ in range(times):
+                a, b = forest(fps, bits, most, WIDEST, head, label, without)
+                if not len(a):
+                    break
+                us.append(nodes[a])
+                vs.append(nodes[b])
+                without = np.union1d(without, np.minimum(a, b) * len(nodes) + np.maximum(a, b))
+            u, v = (np.concatenate(x) if x else nodes[:0] for x in (us, vs))
+            return _pairs(*[np.full(len(u), k.as_py(), np.int64) for k in key], u, v, names=names)
+
+        return (lambda key, table: link(key, table, None)), link
+
+    rows = dealt(codes.select("node", "fp", "bits"), n, parts)
+    found = refuted = roots = None
+    forests = 1
+    while True:
+        first, again = linkers(forests)
+        schema = ", ".join(f"{c} long" for c in [*_KEYS, "u", "v"])
+        if refuted is None:
+            tried = rows.groupBy(*_KEYS).applyInArrow(first, schema)
+        else:
+            left = rows.join(refuted.select(*_KEYS).distinct(), _KEYS, "left_semi").join(roots.withColumnRenamed("node", "_of"), F.col("node") == F.col("_of"), "left")
+            left = left.withColumn("root", F.coalesce("root", "node")).drop("_of")
+            keyed = [F.col(c).cast(rows.schema[c].dataType).alias(c) for c in _KEYS]
+            tried = left.groupBy(*_KEYS).cogroup(refuted.select(*keyed, "u", "v").groupBy(*_KEYS)).applyInArrow(again, schema)
+        tried = stored(tried, "simhash-tried")
+        pairs = tried.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        true = stored(verify(pairs), "simhash-edges")
+        found = true if found is None else found.unionByName(true)
+        wrong = tried.join(true.select(F.col("u").alias("x"), F.col("v").alias("y")), (F.least("u", "v") == F.col("x")) & (F.greatest("u", "v") == F.col("y")), "left_anti")
+        wrong = stored(wrong, "simhash-refuted")
+        if wrong.isEmpty():
+            return found
+        refuted = wrong if refuted is None else wrong.unionByName(refuted.join(wrong.select(*_KEYS).distinct(), _KEYS, "left_semi"))
+        roots = components(found)
+        forests *= 2
 
 
 # ---- components
@@ -305,23 +407,20 @@ def components(edges: DataFrame) -> DataFrame:
         edges = after
 
 
-def _grouped(docs: DataFrame, node: Column, id_col: str, keep: tuple[str, ...], parts: int, most: int | None, true_edges=lambda edges, docs: edges) -> DataFrame:
-    """One row for each row of docs (which has fp and bits): id_col, keep, fp, root (never null) and component_id."""
-    docs = stored(docs.withColumn("__node__", node), "simhash")
-    held = [F.first("bits").alias("bits")] if most is not None else []
-    codes = stored(docs.groupBy(F.col("__node__").alias("node")).agg(F.min(F.col(f"`{id_col}`")).alias("first"), F.first("fp").alias("fp"), *held), "simhash-codes")
-    edges = true_edges(links(codes, codes.count(), parts, most), docs)
+def _named(docs: DataFrame, codes: DataFrame, edges: DataFrame, on: str, id_col: str, keep: tuple[str, ...]) -> DataFrame:
+    """One row for each row of docs: id_col, keep, fp, root (never null) and component_id, from codes (on, node, first) and edges between nodes."""
     joined = components(edges).withColumnRenamed("node", "linked")
-    roots = codes.join(joined, codes["node"] == joined["linked"], "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    roots = codes.join(joined, codes["node"] == joined["linked"], "left").select(on, "first", F.coalesce("root", "node").alias("root"))
     named = roots.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_code = roots.join(named, "root").select(F.col("node").alias("__node__"), "root", "component_id")
-    return docs.join(by_code, "__node__").select(F.col(f"`{id_col}`"), *keep, "fp", "root", "component_id")
+    by_code = roots.join(named, "root").select(F.col(on).alias("__on__"), "root", "component_id")
+    return docs.join(by_code, F.col(on) == F.col("__on__")).select(F.col(f"`{id_col}`"), *keep, "fp", "root", "component_id")
 
 
 def with_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """One row for each input row: id_col, the columns keep, fp, root (the component, never null) and component_id."""
-    docs = with_fingerprints(df, text_col, (id_col, *keep)).drop("bits")
-    return _grouped(docs, F.col("fp"), id_col, keep, 1, None)
+    docs = stored(with_fingerprints(df, text_col, (id_col, *keep)), "simhash")
+    codes = stored(docs.groupBy("fp").agg(F.min(F.col(f"`{id_col}`")).alias("first")).withColumn("node", F.col("fp")), "simhash-codes")
+    return _named(docs, codes, links(codes, codes.count()), "fp", id_col, keep)
 
 
 def differing(similarity: float, bits: int = SKETCH * BITS) -> int:
@@ -351,18 +450,27 @@ def _similar(edges: DataFrame, texts: DataFrame, similarity: float, shingle: int
 
 
 def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), similarity: float = 0.8, shingle: int = SIMILAR_SHINGLE) -> DataFrame:
-    """As with_groups, by the Jaccard similarity of the texts' shingles of five words; texts with equal sketches count as equal."""
-
-    def true_edges(edges: DataFrame, docs: DataFrame) -> DataFrame:
-        edges = stored(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "simhash-edges")
+    """As with_groups, by the Jaccard similarity of the texts' sets of five-word shingles; texts of equal words are equal."""
+    whole = with_sketches(df.withColumn("__whole__", F.col(f"`{text_col}`").cast("string")), "__whole__", (id_col, "__whole__", *keep), shingle)
+    whole = stored(whole, "simhash-texts")
+    docs = stored(whole.drop("__whole__"), "simhash")
+    codes = docs.groupBy("digest").agg(F.min(F.col(f"`{id_col}`")).alias("first"), F.first("fp").alias("fp"), F.first("bits").alias("bits"))
+    codes = stored(codes.withColumn("node", F.monotonically_increasing_id()), "simhash-codes")
+
+    def verify(edges: DataFrame) -> DataFrame:
+        edges = stored(edges, "simhash-pairs")
         # stored, so that Spark knows before it shuffles texts whether they are few
-        ends = stored(edges.select(F.explode(F.array("u", "v")).alias("__node__")).distinct(), "simhash-ends")
-        texts = docs.join(ends, "__node__", "left_semi").groupBy(F.col("__node__").alias("node")).agg(F.first("__whole__").alias("text"))
-        return _similar(edges, texts, similarity, shingle)
-
-    coded = df.withColumn("__whole__", F.col(f"`{text_col}`").cast("string"))
-    docs = with_fingerprints(coded, "__whole__", (id_col, "__whole__", *keep), shingle, SKETCH)
-    return _grouped(docs, F.xxhash64("bits"), id_col, keep, PARTS, differing(similarity - SLACK), true_edges)
+        ends = stored(edges.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(codes.select("node", "digest"), "node"), "simhash-ends")
+        texts = whole.select("digest", "__whole__").join(ends.select("digest"), "digest", "left_semi").groupBy("digest").agg(F.first("__whole__").alias("text"))
+        return _similar(edges, texts.join(ends, "digest").select("node", "text"), similarity, shingle)
+
+    # the first text of each sketch stands for those that are similar to it
+    firsts = codes.groupBy("bits").agg(F.min("node").alias("v"))
+    near = stored(verify(codes.join(firsts, "bits").where("node <> v").select(F.col("node").alias("u"), "v")), "simhash-edges")
+    alone = stored(codes.join(near.select(F.col("u").alias("node")), "node", "left_anti"), "simhash-codes")
+    edges = stored(near.unionByName(verified_links(alone, alone.count(), PARTS, differing(similarity - SLACK), verify)), "simhash-edges")
+    drop_stored(whole)
+    return _named(docs, codes, edges, "digest", id_col, keep)
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

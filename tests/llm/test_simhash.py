@@ -65,7 +65,7 @@ def test_the_index_prunes_on_the_tables(spark):
     got = {(int(i), int(j)) for a, b in index.near_pairs() for i, j in zip(a, b, strict=True)}
     near = np.bitwise_count(array[:, None] ^ array[None, :]) <= 3
     assert got == {(int(i), int(j)) for i, j in np.argwhere(np.triu(near, 1))}
-    assert index.pruned > 0
+    assert index.pruned > 0 and index.visited < 0.2 * len(array) ** 2 / 2
     within = {(int(i), int(j)) for a, b in simhash.GrayIndex(array).near_pairs(11, 21) for i, j in zip(a, b, strict=True)}
     head = np.bitwise_count((array[:, None] ^ array[None, :]) >> np.uint64(43)) <= 3
     assert within == {(int(i), int(j)) for i, j in np.argwhere(np.triu(head & (np.bitwise_count(array[:, None] ^ array[None, :]) <= 11), 1))}
@@ -97,7 +97,7 @@ def test_parts(spark, codes, most, monkeypatch):
     wide = sorted({c ^ sum({1 << int(b) for b in rng.integers(0, 21, 4)}) for c in codes[:90] for _ in range(3)})
     rows = [(k, c - (1 << 64) if c >> 63 else c, c.to_bytes(8, "little")) for k, c in enumerate(wide)]
     df = spark.createDataFrame(rows, "node long, fp long, bits binary")
-    got = {r.node: r.root for r in simhash.components(simhash.links(df, len(rows), 3, 11)).collect()}
+    got = {r.node: r.root for r in simhash.components(simhash.verified_links(df, len(rows), 3, 11, lambda edges: edges)).collect()}
     root = list(range(len(wide)))
 
     def find(x):
@@ -175,6 +175,32 @@ def test_similar_groups_against_jaccard(spark):
     assert all(named.setdefault(got[i], find(i)) == find(i) for i in ids)
 
 
+def test_unlike_texts_of_one_sketch_stay_apart(spark):
+    """A phrase repeated so often that it outweighs all else, in texts that have nothing else in common."""
+    tail = lambda k: " ".join(f"w{k}x{i}" for i in range(500))
+    df = spark.createDataFrame([(k, "read more here " * 400 + tail(k)) for k in range(3)] + [(7, "READ  more here " * 400 + tail(1))], "doc_id long, text string")
+    assert len({simhash.sketch(r.text, 5, 4).tobytes() for r in df.collect()}) < 4
+    got = {r.doc_id: r.root for r in simhash.similar_groups(df).collect()}
+    assert len({got[0], got[1], got[2]}) == 3 and got[1] == got[7]
+
+
+@pytest.mark.parametrize("most", [16384, 16])
+def test_refuted_pairs_hide_no_link(spark, most, monkeypatch):
+    """Every pair is a candidate, few are true, and the components are those of the true ones."""
+    monkeypatch.setattr(simhash, "MAX_GROUP", most)
+    rng = np.random.default_rng(3)
+    n = 20
+    true = {(min(a, b), max(a, b)) for a, b in rng.integers(0, n, (12, 2)).tolist() if a != b}
+    listed = spark.createDataFrame(sorted(true), "u long, v long")
+    df = spark.createDataFrame([(k, 5, bytes(32)) for k in range(n)], "node long, fp long, bits binary")
+    got = {r.node: r.root for r in simhash.components(simhash.verified_links(df, n, 1, 0, lambda edges: edges.join(listed, ["u", "v"], "left_semi"))).collect()}
+    root = list(range(n))
+    for _ in range(n):
+        for a, b in true:
+            root[a] = root[b] = min(root[a], root[b])
+    assert grouped(range(n), got) == grouped(range(n), dict(enumerate(root)))
+
+
 def test_similar_odd_rows(odd, none):
     rows = simhash.similar_groups(odd, keep=("n",)).collect()
     assert len(rows) == odd.count()
