@@ -4,8 +4,8 @@ Fingerprints: 64 bits over the 3-word shingles of the whole text, as with_finger
 
 Links: two fingerprints link if at most 3 bits differ. Equal fingerprints are first merged, so copies never meet
 as pairs. The index is one per group of a partitioning: with the bits in four blocks, two fingerprints that link agree
-in one block, so each is dealt to four groups by the leading bits of its blocks, as many bits as leave about a
-quarter of MAX_GROUP members in a group. A group over MAX_GROUP is dealt out again by four blocks of the bits still free, and so
+in one block, so each is dealt to four groups by the leading bits of its blocks, as many bits as leave some
+thousands of members in a group. A group over MAX_GROUP is dealt out again by four blocks of the bits still free, and so
 on; every group that one task holds is bounded and no pair is lost.
 
 A group's index: members sorted by Gray rank, with the bits that all members of the group share last, so that neighbours
@@ -17,8 +17,8 @@ A wider reach, for a given Jaccard similarity of five-word shingles (similar_gro
 fingerprint's bits are cut into PARTS, each with its own groups and index, in which its bits lead and pairs differ in at most 3
 of them. Of pairs with a similarity of 0.8 (0.85), 94 (98) in 100 have such a part, if bits differ at random. Pairs found so
 that the longer sketch takes for nearly similar make the forests, closest pairs first, and only pairs whose texts have the
-similarity exactly become links. Groups with a refuted pair are searched again, without the pairs refuted so far and with twice
-as many forests as before, between the clusters that verified links have left; this ends when a round refutes nothing, so
+similarity exactly become links. Groups with a refuted pair are searched again, among
+the members that have candidates, without the pairs refuted so far and with four times as many forests as before, between the clusters that verified links have left; this ends when a round refutes nothing, so
 every candidate is verified, or its texts are linked otherwise. Texts of one sketch are held against the first of them; those
 that have the similarity stand in the index by it, the others by themselves. Members of a large group whose part is
 used up, or whose bits don't tell most of them apart, go to groups of all pairs of chunks.
@@ -55,8 +55,8 @@ NODE = 2
 TOP = 16
 #: Pairs of nodes that are descended into at once.
 STEP = 1 << 16
-#: A group's share of bits is such that groups have about this part of MAX_GROUP members.
-AIM = 0.25
+#: As many bits tell groups apart as leave at most this part of MAX_GROUP members in one, about; and with a wider reach.
+AIM, WIDE_AIM = 0.6, 0.25
 #: Of similar_groups: words of a shingle, 64-bit words of a sketch, parts of the indexed fingerprint.
 SIMILAR_SHINGLE, SKETCH, PARTS = 5, 4, 3
 #: Candidates differ in at most so many bits of the fingerprint (unlike ones in 32, about), and their sketches may look this much less similar.
@@ -246,11 +246,11 @@ def _signed(x: int) -> int:
 _KEYS = ["part", "mask", "value", "low", "high"]
 
 
-def dealt(codes: DataFrame, n: int, parts: int = 1) -> DataFrame:
+def dealt(codes: DataFrame, n: int, parts: int = 1, aim: float = AIM) -> DataFrame:
     """n codes (node, fp and other columns) in groups by _KEYS, none of over MAX_GROUP members; stored."""
     spark = codes.sparkSession
     free = _part_bits(parts)
-    lead = max(0, math.ceil(math.log2(max(1, n / (AIM * MAX_GROUP)))))
+    lead = max(0, math.ceil(math.log2(max(1, n / (aim * MAX_GROUP)))))
     groups = sorted({(part, mask) for part in range(parts) for mask in _blocks(list(free[part]), lead)})
     held = codes.columns
     whole = [F.lit(-1).cast("long").alias("low"), F.lit(-1).cast("long").alias("high")]
@@ -353,7 +353,7 @@ def verified_links(codes: DataFrame, n: int, parts: int, most: int, verify) -> D
 
         return (lambda key, table: link(key, table, None)), link
 
-    rows = dealt(codes.select("node", "fp", "bits"), n, parts)
+    rows = dealt(codes.select("node", "fp", "bits"), n, parts, WIDE_AIM)
     found = refuted = roots = None
     forests = 1
     while True:
@@ -374,9 +374,14 @@ def verified_links(codes: DataFrame, n: int, parts: int, most: int, verify) -> D
         wrong = stored(wrong, "simhash-refuted")
         if wrong.isEmpty():
             return found
+        if refuted is None:
+            # a forest reaches every member that has a candidate in its group; the others needn't be searched again
+            ends = tried.select(*[F.col(c).cast(rows.schema[c].dataType).alias(c) for c in _KEYS], F.explode(F.array("u", "v")).alias("node")).distinct()
+            rows = stored(rows.join(ends, [*_KEYS, "node"], "left_semi"), "simhash-dealt")
         refuted = wrong if refuted is None else wrong.unionByName(refuted.join(wrong.select(*_KEYS).distinct(), _KEYS, "left_semi"))
-        roots = components(found)
-        forests *= 2
+        if roots is None or not true.isEmpty():
+            roots = components(found)
+        forests *= 4
 
 
 # ---- components

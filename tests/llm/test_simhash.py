@@ -71,6 +71,16 @@ def test_the_index_prunes_on_the_tables(spark):
     assert within == {(int(i), int(j)) for i, j in np.argwhere(np.triu(head & (np.bitwise_count(array[:, None] ^ array[None, :]) <= 11), 1))}
 
 
+def test_the_index_visits_few_pairs(spark):
+    """On the larger table's fingerprints, which are one group, under a tenth of all pairs of nodes are looked at."""
+    rows = simhash.with_fingerprints(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).select("fp").distinct().collect()
+    array = np.array([r.fp for r in rows], np.int64).view(np.uint64)
+    assert len(array) <= simhash.AIM * simhash.MAX_GROUP
+    index = simhash.GrayIndex(array[np.argsort(simhash.gray_rank(array))])
+    found = sum(len(a) for a, _ in index.near_pairs())
+    assert found and index.visited < 0.1 * len(array) * (len(array) - 1) / 2
+
+
 def grouped(codes, got):
     mine = {}
     for c in codes:
