@@ -103,6 +103,15 @@ def parent(path: Column) -> Column:
     return F.when(F.contains(path, F.lit("/")), F.regexp_extract(path, r"^(?:.*/)?([^/]+)/[^/]*$", 1)).otherwise("")
 
 
+def path_code(path: Column, limit: int = 512) -> Column:
+    """Why a path isn't one below its root: invalid_path, absolute_path or path_traversal; null if it is."""
+    steps = F.transform(F.split(path, "/"), lambda x: F.when(x == "..", -1).when(x.isin(".", ""), 0).otherwise(1))
+    deep = F.aggregate(steps, F.struct(F.lit(0).alias("at"), F.lit(0).alias("low")), lambda s, x: F.struct((s["at"] + x).alias("at"), F.least(s["low"], s["at"] + x).alias("low")), lambda s: s["low"])
+    bad = path.isNull() | (path == "") | (F.length(path) > limit) | F.contains(path, F.lit("\0"))
+    unsafe = ~F.regexp_like(path, F.lit(r"^[\p{L}\p{N}/._ -]+\z"))
+    return F.when(bad, "invalid_path").when(F.startswith(path, F.lit("/")), "absolute_path").when(unsafe, "invalid_path").when(deep < 0, "path_traversal")
+
+
 def subdir(path: Column) -> Column:
     return F.when(F.contains(path, F.lit("/")), F.split(path, "/", 2)[0]).otherwise("root")
 

@@ -123,6 +123,11 @@ def normal_hits(hits: DataFrame) -> DataFrame:
 
 
 def term_statistics(pages: DataFrame, key: str = "path", text: str = "body") -> DataFrame:
-    """(term, docs, n) over all pages: counted within the rows first, so that one shuffle by term is left."""
-    terms = inverted_index(pages, key, text).where("term is not null")
-    return terms.groupBy("term").agg(F.count(F.lit(1)).alias("docs"), F.sum("tf").alias("n"))
+    """(term, docs, n) over all pages, in one shuffle by term: a page's words, and each of them once more, marked, for the page."""
+    words = words_of(F.col(text))
+    # no word holds the mark
+    once = F.transform(F.array_distinct("w"), lambda x: F.concat(F.lit("\0"), x))
+    rows = pages.select(words.alias("w")).select(F.explode(F.concat("w", once)).alias("x"))
+    marked = F.startswith("x", F.lit("\0"))
+    rows = rows.select(F.when(marked, F.expr("substring(x, 2)")).otherwise(F.col("x")).alias("term"), marked.cast("long").alias("docs"))
+    return rows.groupBy("term").agg(F.sum("docs").alias("docs"), (F.count(F.lit(1)) - F.sum("docs")).alias("n"))

@@ -7,13 +7,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import delta, mentions
+from .functions import text
+from .operators import delta, graph, logs, mentions, pages
 from .operators.index import SearchIndex
+from .operators.snapshots import Snapshots
 from .operators.vectors import VectorIndex
 from .operators.versions import Versions
+from .plans.ingest import from_template
 from .queries import _BM, _SESSIONS, _VAULT, ORACLE_SQL, _linked_sql, _masked, _strip, conversation_events, linked, query, read, vault
 from .shared import shared_dir
-from .streaming import ingest
+from .sources import files, jsonl
+from .streaming import ingest, timed
 
 
 def folder(spark: SparkSession, label: str) -> str:
@@ -175,3 +179,98 @@ def k01_session_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     ingest.write_blocks(conversation_events(source).select("*", none.alias("stdout"), none.alias("exit_reason")), root).awaitTermination()
     made = ingest.session_files(ingest.committed_blocks(spark, root))
     return made.select("session_id", "file", "n_blocks", F.sha2(F.col("content").cast("binary"), 256).alias("content_sha256"))
+
+
+# ---- snapshots, sources and sessions
+
+
+@query(ORACLE_SQL["j07_snapshot_diff"])
+def j07_stored_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same difference between two stored snapshots, of whose buckets only the unequal ones are read."""
+    d = vault(spark, sf_dir).select("name", "path", F.col("lang").alias("type"), F.array("source").alias("tags"), F.col("source").alias("title"), "body", "doc_id")
+    after = d.join(read(spark, sf_dir, "labels"), "doc_id").withColumn("type", F.when(F.col("toxic") == 1, "toxic").otherwise(F.col("type"))).select(d.columns).drop("doc_id")
+    items = read(spark, sf_dir, "benchmark").select(F.concat(F.lit("item-"), "item_id").alias("name"), F.lit("wiki/item.md").alias("path"), F.lit("item").alias("type"), F.array(F.lit("")).alias("tags"), F.lit("").alias("title"), F.col("text").alias("body"))
+    store = Snapshots(spark, folder(spark, "snapshots"))
+    return store.diff(store.save(d.drop("doc_id")), store.save(after.unionByName(items)))
+
+
+@query(ORACLE_SQL["j08_edge_diff"])
+def j08_stored_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of two stored snapshots, before and after every page was put in lower case."""
+    p, store = linked(spark, sf_dir), Snapshots(spark, folder(spark, "snapshots"))
+    return store.edge_diff(store.save(p), store.save(p.withColumn("body", F.lower("body"))))
+
+
+@query("""SELECT conv_id, turn, CASE role WHEN 'user' THEN 'UserPromptSubmit' ELSE 'Stop' END AS kind, sha256(text) AS prompt_sha256 FROM conversations WHERE role IN ('user', 'assistant')""")
+def s06_events_by_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as one file of JSON lines, read by ranges of bytes."""
+    root = folder(spark, "event-file")
+    e = conversation_events(read(spark, sf_dir, "conversations")).select("session_id", "hook_event_name", F.col("text").alias("prompt"), F.concat(F.lit("/t/"), "seq").alias("cwd"))
+    e.select(F.to_json(F.struct("*")).alias("value")).coalesce(1).write.text(root)
+    made = files.hook_events(jsonl.events(spark, root, ".txt", 256 << 10).select("line"), "line")
+    turn = F.regexp_extract("cwd", r"(\d+)$", 1)
+    return made.select(F.col("session_id").cast("long").alias("conv_id"), turn.cast("long").alias("turn"), F.col("hook_event_name").alias("kind"), F.sha2(F.col("prompt").cast("binary"), 256).alias("prompt_sha256"))
+
+
+@query(f"WITH {_SESSIONS}")
+def t02_timed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions from a stream whose later turns come first."""
+    root = folder(spark, "timed-sessions")
+    c = read(spark, sf_dir, "conversations")
+    for part in (c.where("turn % 2 = 1"), c.where("turn % 2 = 0")):
+        part.write.mode("append").parquet(f"{root}/in")
+    source = spark.readStream.schema(c.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    key, before = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        put = lambda df, n: df.write.mode("overwrite").parquet(f"{root}/rows/batch={n}")
+        out = timed.stream(conversation_events(source), late="3650 days")
+        out.writeStream.outputMode("update").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
+    finally:
+        spark.conf.set(key, before)
+    last = spark.read.parquet(f"{root}/rows").groupBy("session_id").agg(F.max_by(F.struct("file", "prompts", "turns"), "batch").alias("r"))
+    return last.select("session_id", "r.file", "r.prompts", "r.turns")
+
+
+# ---- what had no query
+
+
+@query(r"""WITH r AS (SELECT page_id, regexp_extract(url, '(?s)://[^/]*(.*)$', 1) AS p FROM pages), c AS (SELECT page_id, unnest([p, p[2:], '../' || p[2:], 'a/../../' || p[2:], 'a/./b/../..' || p, regexp_replace(p, '[^a-z/]', '', 'g')[2:], '']) AS path FROM r),
+s AS (SELECT *, list_transform(string_split(path, '/'), lambda x: CASE WHEN x = '..' THEN -1 WHEN x IN ('.', '') THEN 0 ELSE 1 END) AS s FROM c)
+SELECT page_id, path, CASE WHEN path = '' OR length(path) > 512 THEN 'invalid_path' WHEN starts_with(path, '/') THEN 'absolute_path' WHEN NOT regexp_full_match(path, '[\p{L}\p{N}/._ -]+') THEN 'invalid_path'
+WHEN list_min(list_transform(range(1, len(s) + 1), lambda i: list_sum(s[1:i]))) < 0 THEN 'path_traversal' END AS code FROM s""")
+def f01_path_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths of pages' addresses, as they are and with steps up, and why they are refused."""
+    p = F.regexp_extract("url", r"(?s)://[^/]*(.*)\z", 1)
+    rest = F.expr("substring(p, 2)")
+    shapes = F.array(F.col("p"), rest, F.concat(F.lit("../"), rest), F.concat(F.lit("a/../../"), rest), F.concat(F.lit("a/./b/../.."), "p"), F.expr("substring(regexp_replace(p, '[^a-z/]', ''), 2)"), F.lit(""))
+    rows = read(spark, sf_dir, "pages").select("page_id", p.alias("p")).select("page_id", F.explode(shapes).alias("path"))
+    return rows.select("page_id", "path", text.path_code(F.col("path")).alias("code"))
+
+
+@query("SELECT source AS name, arg_max('wiki/' || doc_id || '.md', 'wiki/' || doc_id || '.md') AS path, arg_max(lang, 'wiki/' || doc_id || '.md') AS type FROM documents GROUP BY source")
+def w03_equal_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as pages named by their source: of equal names the last path counts."""
+    d = read(spark, sf_dir, "documents").select(F.col("source").alias("name"), F.concat(F.lit("wiki/"), "doc_id", F.lit(".md")).alias("path"), F.col("lang").alias("type"), F.array(F.lit("")).alias("tags"), F.lit("").alias("title"), F.col("text").alias("body"))
+    return graph.snapshot(d).select("name", "path", "type")
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS name, CASE WHEN string_split(text, chr(10))[1] = '' THEN '?' ELSE string_split(text, chr(10))[1] END AS raised FROM documents WHERE lang <> 'en'")
+def k17_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of which those in other languages than English are flags."""
+    d = read(spark, sf_dir, "documents").select(F.concat(F.lit("wiki/.alerts/"), "doc_id", F.when(F.col("lang") == "en", ".md").otherwise(".flag")).alias("path"), F.col("text").alias("body"))
+    return logs.alerts(d)
+
+
+@query(f"SELECT doc_id, sha256('## Summary' || chr(10) || chr(10) || {_strip('text')} || chr(10) || chr(10) || '## Details' || chr(10)) AS page_sha256 FROM documents")
+def s23_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents put into the template of concepts."""
+    d = read(spark, sf_dir, "documents")
+    return d.select("doc_id", F.sha2(from_template("concept", F.col("text")).cast("binary"), 256).alias("page_sha256"))
+
+
+@query("SELECT doc_id, CAST(strlen(text) AS INT) AS byte_size, strlen(text) > 3000 AS truncated, CASE WHEN strlen(text) <= 3000 THEN sha256(text) END AS whole_sha256 FROM documents")
+def s02_page_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files read up to a number of bytes."""
+    d = read(spark, sf_dir, "documents").select("doc_id", *[c.alias(k) for k, c in pages.read(F.col("text").cast("binary"), 3000).items()])
+    return d.select("doc_id", "byte_size", "truncated", F.when(~F.col("truncated"), F.sha2(F.col("contents").cast("binary"), 256)).alias("whole_sha256"))
