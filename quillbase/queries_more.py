@@ -288,19 +288,19 @@ def k03_note_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select(at(1).alias("conv_id"), at(2).alias("turn"), "name", sha(F.col("content")).alias("content_sha256"))
 
 
-@query(r"""WITH n AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(left(text, 200), '[^\p{L}\p{N}_-]+', '-', 'g'), '-+', '-', 'g'), '^-+|-+$', '', 'g') AS s, left(text, 60) AS t, source FROM documents)
+@query(r"""WITH n AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '[^\p{L}\p{N}_-]+', '-', 'g'), '-+', '-', 'g'), '^-+|-+$', '', 'g') AS s, text AS t, source FROM documents)
 SELECT doc_id, coalesce(nullif(left(s, 50), ''), 'untitled') AS slug, CASE WHEN regexp_matches(t, '^[A-Za-z0-9_./][A-Za-z0-9_./ -]*$') AND NOT ends_with(t, ' ') THEN t ELSE '''' || regexp_replace(replace(t, '''', ''''''), '[\r\n]+', ' ', 'g') || '''' END AS yaml,
 '```metadata (untrusted)' || chr(10) || 'title: ' || source || chr(10) || '```' || chr(10) AS fence FROM n""")
 def x13_names_and_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Beginnings of texts as slugs of notes and as YAML scalars, and a fence of untrusted metadata."""
+    """Texts as slugs of notes and as YAML scalars, and a fence of untrusted metadata."""
     d = read(spark, sf_dir, "documents")
-    return d.select("doc_id", text.note_slug(F.left("text", F.lit(200))).alias("slug"), text.yaml_single(F.left("text", F.lit(60))).alias("yaml"), text.metadata_fence(title=F.col("source"), author=F.lit(None).cast("string")).alias("fence"))
+    return d.select("doc_id", text.note_slug(F.col("text")).alias("slug"), text.yaml_single(F.col("text")).alias("yaml"), text.metadata_fence(title=F.col("source"), author=F.lit(None).cast("string")).alias("fence"))
 
 
-@query(rf"""SELECT doc_id, {_strip(r"regexp_replace(regexp_replace(x, '[\x00-\x1f\x7f`$;&|]', '', 'g'), '[\x{00ad}\x{180e}\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}-\x{2064}\x{feff}]', '', 'g')")} AS clean FROM (SELECT doc_id, ' ' || source || '`$' || chr(10) || chr(8203) || lang || ';rm & ' || left(text, 20) AS x FROM documents)""".replace("left(text, 20)", "nfc_normalize(left(text, 20))"))
+@query(rf"""SELECT doc_id, {_strip(r"regexp_replace(regexp_replace(x, '[\x00-\x1f\x7f`$;&|]', '', 'g'), '[\x{00ad}\x{180e}\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}-\x{2064}\x{feff}]', '', 'g')")} AS clean FROM (SELECT doc_id, ' ' || source || '`$' || chr(10) || chr(8203) || lang || ';rm & ' || text AS x FROM documents)""".replace("text", "nfc_normalize(text)"))
 def x02_source_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Source types with control, shell and invisible characters."""
-    raw = F.concat(F.lit(" "), "source", F.lit("`$\n​"), "lang", F.lit(";rm & "), F.left("text", F.lit(20)))
+    raw = F.concat(F.lit(" "), "source", F.lit("`$\n​"), "lang", F.lit(";rm & "), F.col("text"))
     return read(spark, sf_dir, "documents").select("doc_id", text.sanitize_source_type(raw).alias("clean"))
 
 
