@@ -200,28 +200,28 @@ def _mapped(df: DataFrame, columns: tuple[str, ...], keep: tuple[str, ...], sche
 
 
 def text_images(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """For each row n_bytes, image (a PGM file), tile (an NPY file of its area-resized samples) and dhash."""
-
-    def make(text):
-        size, data = text_to_pgm(text)
-        image = decode(data)
-        return size, data, npy(resize(image, *TEXT_TILE).astype(np.uint8)), difference_hash(image)
-
-    return _mapped(df, (text_col,), keep, T.StructType().add("n_bytes", "long").add("image", "binary").add("tile", "binary").add("dhash", "string"), make)
+    """For each row n_bytes and image (a PGM file)."""
+    return _mapped(df, (text_col,), keep, T.StructType().add("n_bytes", "long").add("image", "binary"), text_to_pgm)
 
 
 def payload_features(df: DataFrame, keep: tuple[str, ...] = ("doc_id", "n_bytes")) -> DataFrame:
-    """What is read back from stored images: their samples' digests, the image's own; and feature, of the stored tile and hash."""
-    schema = T.StructType().add("payload_bytes", "long").add("payload_sha256", "string").add("tail_crc32", "long").add("media_bytes", "long").add("media_sha256", "string").add("feature", "string")
+    """What is read back from stored images: their samples' digests, the image's own, tile (an NPY file of the area-resized samples) and feature.
 
-    def make(data, tile, dhash):
-        payload = decode(data).tobytes()
+    feature: the difference hash of the image, and a digest of the samples of the tile as it reads back.
+    """
+    schema = T.StructType().add("payload_bytes", "long").add("payload_sha256", "string").add("tail_crc32", "long").add("media_bytes", "long").add("media_sha256", "string").add("tile", "binary").add("feature", "string")
+
+    def make(data):
+        image = decode(data)
+        payload = image.tobytes()
+        tile = npy(resize(image, *TEXT_TILE).astype(np.uint8))
         cells = np.load(io.BytesIO(tile)).tobytes()
-        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), f"{dhash}:{hashlib.sha256(cells).hexdigest()[:16]}"
+        feature = f"{difference_hash(image)}:{hashlib.sha256(cells).hexdigest()[:16]}"
+        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), tile, feature
 
-    return _mapped(df, ("image", "tile", "dhash"), keep, schema, make)
+    return _mapped(df, ("image",), keep, schema, make)
 
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     images = stored(text_images(table(spark, sf_dir, "documents")), "media")
-    return payload_features(images)
+    return payload_features(images).drop("tile")
