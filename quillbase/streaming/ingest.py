@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamArrowWriter, WriterCommitMessage
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.text import mask, session_file, session_title
+from ..functions.text import session_file, session_title
 from ..operators.delta import work_list
 from ..operators.versions import Versions
 from ..sources.files import HOOK, HOOK_EVENTS
@@ -131,7 +131,7 @@ def due_sources(spark: SparkSession, root: str, summaries: DataFrame) -> DataFra
 
 # ---- blocks of session files
 
-BLOCKS = "session_id string, seq long, ts timestamp, title string, block string"
+BLOCKS = "session_id string, seq long, ts timestamp, begins boolean, block string"
 
 
 @dataclass
@@ -192,9 +192,9 @@ class BlockSink(DataSource):
 
 
 def blocks_of(events: DataFrame) -> DataFrame:
-    """What events (a batch or a stream) add to their sessions' files; title is null but for prompts that can begin a session."""
-    title = F.when(is_start(F.col("prompt"), F.col("hook_event_name")), session_title(mask(F.col("prompt"))))
-    return events.select("session_id", "seq", "ts", title.alias("title"), block(events).alias("block")).where("block is not null")
+    """What events (a batch or a stream) add to their sessions' files; begins: whether a session can begin with it."""
+    begins = is_start(F.col("prompt"), F.col("hook_event_name"))
+    return events.select("session_id", "seq", "ts", begins.alias("begins"), block(events).alias("block")).where("block is not null")
 
 
 def write_blocks(events: DataFrame, root: str, once: bool = True) -> StreamingQuery:
@@ -219,10 +219,12 @@ def committed_blocks(spark: SparkSession, root: str) -> DataFrame:
 
 def session_files(blocks: DataFrame) -> DataFrame:
     """One row for each session that has begun: file, session_id, n_blocks, content, in the order of seq from its first prompt on."""
-    first = blocks.where("title is not null").groupBy("session_id").agg(F.min(F.struct("seq", "ts", "title")).alias("first"))
+    first = blocks.where("begins").groupBy("session_id").agg(F.min(F.struct("seq", "ts", F.col("block").alias("asked"))).alias("first"))
     kept = blocks.join(first, "session_id").where("seq >= first.seq")
     # a session's file is one row
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "block"))), lambda b: b["block"]), "")
     rows = kept.groupBy("session_id").agg(F.first("first").alias("first"), F.count(F.lit(1)).alias("n_blocks"), body.alias("body"))
+    # the block of a prompt holds it masked, between its heading and a line's end
+    title = session_title(F.regexp_extract("first.asked", r"(?s)^\n## User\n\n(.*)\n\z", 1))
     front = F.concat(F.lit("---\ntype: log\nsession_id: "), "session_id", F.lit("\ningested: false\n---\n"))
-    return rows.select(session_file(F.col("first.ts"), F.col("session_id"), F.col("first.title")).alias("file"), "session_id", "n_blocks", F.concat(front, "body").alias("content"))
+    return rows.select(session_file(F.col("first.ts"), F.col("session_id"), title).alias("file"), "session_id", "n_blocks", F.concat(front, "body").alias("content"))
