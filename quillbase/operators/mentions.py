@@ -43,7 +43,7 @@ def mentions(pages: DataFrame, titles: DataFrame) -> DataFrame:
     rarest = filed.groupBy("title", "target").agg(F.min_by("word", F.struct(F.coalesce("pages", F.lit(0)), "word")).alias("word"))
     candidates = held.join(small(rarest), "word").groupBy("path").agg(F.collect_set(F.struct("title", "target")).alias("asked"))
     found = pages.select("path", _plain(F.col("body")).alias("plain")).join(candidates, "path").select("path", "plain", F.explode("asked").alias("t"))
-    # an overlapping name is counted too: a single space parts two that follow one another
+    # two spaces between words, so that names that follow one another have one each; names are counted from the left, without overlaps
     spread = F.replace(F.col("plain"), F.lit(" "), F.lit("  "))
     name = F.concat(F.lit(" "), F.replace(F.col("t.title"), F.lit(" "), F.lit("  ")), F.lit(" "))
     times = (F.length(spread) - F.length(F.replace(spread, name, F.lit("")))) / F.length(name)

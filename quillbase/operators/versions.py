@@ -1,7 +1,7 @@
 """Tables published in versions: data is written first, a manifest last, and readers keep to the version they began with.
 
 A root holds data folders, which nobody changes, and manifests by number. A version exists once its manifest does; that is put
-in place by a rename that fails where another writer was first. Stale versions, and data that no manifest names, go by collect().
+in place by a rename, behind a lock file that only one writer can create. Stale versions, and data that no manifest names, go by collect().
 """
 
 from __future__ import annotations
@@ -16,6 +16,10 @@ from pyspark.sql import DataFrame, SparkSession
 from ..shared import remove
 
 
+#: The lock of a writer that has died, without a manifest, is passed over after so many seconds.
+STALE_LOCK_S = 600.0
+
+
 class Conflict(RuntimeError):
     """Another writer has published the version that this one was to be."""
 
@@ -67,8 +71,11 @@ class Versions:
         out.close()
         final = self._path(f"{self.root}/manifest/{version:012}.json")
         # some file systems rename over a file that is there: a lock file that only one can create comes first
+        lock = self._path(f"{self.root}/manifest/{version:012}.lock")
+        if self._fs.exists(lock) and not self._fs.exists(final) and self._fs.getFileStatus(lock).getModificationTime() < (time.time() - STALE_LOCK_S) * 1000:
+            self._fs.delete(lock, False)
         try:
-            self._fs.create(self._path(f"{self.root}/manifest/{version:012}.lock"), False).close()
+            self._fs.create(lock, False).close()
         except Exception as e:
             self._fs.delete(made, False)
             raise Conflict(f"version {version} of {self.root} is taken") from e

@@ -93,6 +93,20 @@ def test_empty_index(spark, tmp_path):
     assert index.search("b").count() == 0 and index.term_statistics().count() == 0
 
 
+def test_a_dead_writers_lock_is_passed_over(spark, tmp_path, monkeypatch):
+    from quillbase.operators import versions
+
+    store = Versions(spark, str(tmp_path / "v"))
+    (tmp_path / "v/manifest").mkdir(parents=True)
+    (tmp_path / "v/manifest/000000000000.lock").write_text("")
+    with pytest.raises(Conflict):
+        store.commit({}, None)
+    monkeypatch.setattr(versions, "STALE_LOCK_S", -5.0)
+    assert store.commit({"a": 1}, None) == 0 and store.manifest() == {"a": 1}
+    with pytest.raises(Conflict):
+        store.commit({}, None)  # published: its lock stays
+
+
 def test_versions(spark, tmp_path):
     store = Versions(spark, str(tmp_path / "v"))
     assert store.latest() is None and store.manifest() == {}
