@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..config import KBConfig
 from ..functions import front_matter as fm
 from ..functions import html, text, urls
-from ..operators import delta, graph, pages
+from ..operators import delta, graph, mentions, pages
 from ..sources import archives
 
 
@@ -116,7 +116,26 @@ def lint(vault: DataFrame) -> DataFrame:
     bare = pages.missing_fields(kept).select("path", F.lit("missing_front_matter").alias("kind"), F.array_join("missing", ",").alias("detail"))
     alone = kept.join(graph.orphans(kept, edges), "name").select("path", F.lit("orphan").alias("kind"), F.lit("").alias("detail"))
     wanted = graph.missing_pages(kept, edges, 3).select(F.col("to").alias("path"), F.lit("missing_page").alias("kind"), F.col("pages").cast("string").alias("detail"))
-    return odd.unionByName(bare).unionByName(alone).unionByName(wanted)
+    unlinked = mentions.missing_links(kept).select("path", F.lit("missing_link").alias("kind"), F.col("target").alias("detail"))
+    return odd.unionByName(bare).unionByName(alone).unionByName(wanted).unionByName(unlinked)
+
+
+#: The sections of a report, in their order.
+SECTIONS = {"invisible_characters": "Invisible characters", "missing_front_matter": "Missing front matter", "orphan": "Orphan pages", "missing_page": "Pages to write", "missing_link": "Missing links"}
+
+
+def lint_report(findings: DataFrame, shown: int = 200) -> DataFrame:
+    """A report's sections: place, kind, n, and text, which lists the first `shown` (at most 1000) findings by path."""
+    order = Window.partitionBy("kind").orderBy("path", "detail")
+    first = findings.withColumn("at", F.row_number().over(order)).where(F.col("at") <= shown)
+    line = F.concat(F.lit("- "), "path", F.when(F.col("detail") != "", F.concat(F.lit(": "), "detail")).otherwise(""))
+    lines = first.groupBy("kind").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", line.alias("line")))), lambda x: x["line"]), "\n").alias("lines"))
+    counted = findings.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).join(lines, "kind")
+    heads = F.create_map(*[F.lit(x) for pair in SECTIONS.items() for x in pair])
+    place = F.array_position(F.array(*map(F.lit, SECTIONS)), F.col("kind"))
+    more = F.when(F.col("n") > shown, F.concat(F.lit("\n- and "), F.col("n") - shown, F.lit(" more"))).otherwise("")
+    text = F.concat(F.lit("## "), heads[F.col("kind")], F.lit(" ("), "n", F.lit(")\n\n"), "lines", more, F.lit("\n"))
+    return counted.select(place.alias("place"), "kind", "n", text.alias("text"))
 
 
 def commit_report(commits: DataFrame, now: Column, days: int = 7) -> DataFrame:

@@ -13,7 +13,7 @@ from .operators.index import SearchIndex
 from .operators.snapshots import Snapshots
 from .operators.vectors import VectorIndex
 from .operators.versions import Versions
-from .plans.ingest import from_template
+from .plans.ingest import from_template, lint, lint_report
 from .queries import _BM, _SESSIONS, _VAULT, ORACLE_SQL, _linked_sql, _masked, _strip, conversation_events, linked, query, read, vault
 from .shared import shared_dir
 from .sources import files, jsonl
@@ -111,6 +111,33 @@ def j13_cross_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mentions.missing_links(linked(spark, sf_dir))
 
 
+_LINT = f"""SELECT 'wiki/' || name || '.md' AS path, 'orphan' AS kind, '' AS detail FROM ({ORACLE_SQL["j13_orphans"]})
+UNION ALL SELECT "to", 'missing_page', CAST(pages AS VARCHAR) FROM ({ORACLE_SQL["j13_missing_pages"]}) WHERE pages >= 3
+UNION ALL SELECT path, 'missing_link', target FROM ({ORACLE_SQL["j13_cross_links"]})
+UNION ALL SELECT 'wiki/' || page_id || '.md', 'missing_front_matter', concat_ws(',', CASE WHEN regexp_extract(html, '<title>([^<]*)', 1) = '' THEN 'title' END, 'tags', CASE WHEN page_id % 2 = 1 THEN 'updated' END) FROM pages"""
+
+
+def linted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = linked(spark, sf_dir)
+    fields = F.create_map(F.lit("title"), F.col("title"), F.lit("tags"), F.lit("~"), F.lit("updated"), F.when(F.col("page_id") % 2 == 0, "2024-01-01"))
+    return lint(p.withColumn("fm", fields))
+
+
+@query(_LINT)
+def k12_lint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All findings about pages whose front matter has no tags, and half of which say no date."""
+    return linted(spark, sf_dir)
+
+
+@query(f"""WITH f AS ({_LINT}), o AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY path, detail) AS place FROM f)
+SELECT kind, count(*) AS n, sha256('## ' || CASE kind WHEN 'missing_front_matter' THEN 'Missing front matter' WHEN 'orphan' THEN 'Orphan pages' WHEN 'missing_page' THEN 'Pages to write' WHEN 'missing_link' THEN 'Missing links' END || ' (' || count(*) || ')' || chr(10) || chr(10)
+|| string_agg('- ' || path || CASE WHEN detail <> '' THEN ': ' || detail ELSE '' END, chr(10) ORDER BY place) FILTER (WHERE place <= 50) || CASE WHEN count(*) > 50 THEN chr(10) || '- and ' || (count(*) - 50) || ' more' ELSE '' END || chr(10)) AS text_sha256 FROM o GROUP BY kind""")
+def k12_lint_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report's sections, with the first fifty findings of each."""
+    made = lint_report(linted(spark, sf_dir), 50)
+    return made.select("kind", "n", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
 # ---- versions and streams
 
 

@@ -122,3 +122,28 @@ def test_long_front_matter(spark):
 def test_merge(spark):
     df = spark.createDataFrame([({"tags": "[a, b]", "t": "old", "n": "1"}, {"tags": "[b, c]", "t": "new", "n": "null"})], "o map<string,string>, n map<string,string>")
     assert df.select(fm.merge(F.col("o"), F.col("n")).alias("m")).first().m == {"tags": "[a, b, c]", "t": "new", "n": "1"}
+
+
+def test_path_codes_are_those_of_calls(spark):
+    from quillbase import kb
+    from quillbase.functions import text as T
+
+    def code(path):
+        try:
+            kb.checked_path(path)
+        except kb.KBError as e:
+            return e.code
+
+    paths = ["", "a.md", "a/b c/ü_1.md", "/etc", "..", "../a", "a/..", "a/../..", "a/../../b", "./a//b", "a;b", "a\0b", "a\n", "x" * 512, "x" * 513, "a/b/../../../c/d/e"]
+    rows = spark.createDataFrame([(p,) for p in paths], "p string").select("p", T.path_code(F.col("p")).alias("c")).collect()
+    assert [(r.p, r.c) for r in rows] == [(p, code(p)) for p in paths]
+    assert spark.range(1).select(T.path_code(F.lit(None).cast("string"))).first()[0] == "invalid_path"
+
+
+def test_lint_reports(spark):
+    from quillbase.plans import ingest
+
+    rows = [(f"p{i}", "orphan", "") for i in range(5)] + [("q", "missing_link", "t")]
+    got = ingest.lint_report(spark.createDataFrame(rows, "path string, kind string, detail string"), 3).orderBy("place").collect()
+    assert [(r.kind, r.n) for r in got] == [("orphan", 5), ("missing_link", 1)]
+    assert got[0].text == "## Orphan pages (5)\n\n- p0\n- p1\n- p2\n- and 2 more\n" and got[1].text == "## Missing links (1)\n\n- q: t\n"
