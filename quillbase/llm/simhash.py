@@ -197,31 +197,45 @@ def _joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray
     return tuple(np.concatenate(x) for x in zip(*used, strict=True)) if used else (a, b)
 
 
+def _pair_codes(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    return np.minimum(a, b) * n + np.maximum(a, b)
+
+
 def forest(
-    codes: np.ndarray, bits: np.ndarray | None = None, most: int = 0, distance: int = DISTANCE, head: int = BITS, label: np.ndarray | None = None, without: np.ndarray | None = None
+    codes: np.ndarray, bits: np.ndarray | None = None, most: int = 0, distance: int = DISTANCE, head: int = BITS, label: np.ndarray | None = None, without: np.ndarray | None = None, times: int = 1
 ) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of places that link: a spanning forest of the links between codes, or between clusters of them (label).
 
     bits: a sketch for each code, of which linked ones differ in at most `most` bits; closer pairs come first.
-    without: pairs not to use, each as smaller place times the number of codes plus larger place, sorted.
+    without: pairs not to use, as _pair_codes(), sorted. times: so many forests, each of the links that those before it leave.
     """
     order = np.argsort(gray_rank(codes), kind="stable")
     index = GrayIndex(codes[order])
-    label = np.arange(len(codes)) if label is None else label.copy()
+    label = np.arange(len(codes)) if label is None else label
+    labels = [label.copy() for _ in range(times)]
     found: list[tuple[np.ndarray, np.ndarray]] = []
-    for limit in [0] if bits is None else [most // 3, 2 * most // 3, most]:
+    limits = [0] if bits is None else [most // 3, 2 * most // 3, most]
+    for below, limit in zip([-1, *limits], limits):  # noqa: B905
         for a, b in index.near_pairs(distance, head):
             a, b = order[a], order[b]
             apart = label[a] != label[b]
             a, b = a[apart], b[apart]
             if bits is not None:
-                near = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int32) <= limit
+                differing = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int32)
+                near = (differing <= limit) & (differing > below)
                 a, b = a[near], b[near]
             if without is not None and len(without):
-                code = np.minimum(a, b) * len(codes) + np.maximum(a, b)
+                code = _pair_codes(a, b, len(codes))
                 new = without[np.minimum(np.searchsorted(without, code), len(without) - 1)] != code
                 a, b = a[new], b[new]
-            found.append(_joined(label, a, b))
+            for own in labels:
+                if not len(a):
+                    break
+                used = _joined(own, a, b)
+                found.append(used)
+                if times > 1 and len(used[0]):
+                    rest = ~np.isin(_pair_codes(a, b, len(codes)), _pair_codes(*used, len(codes)))
+                    a, b = a[rest], b[rest]
     return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (label[:0], label[:0])
 
 
@@ -339,16 +353,9 @@ def verified_links(codes: DataFrame, n: int, parts: int, most: int, verify) -> D
                 label = first[which]
                 order = np.argsort(nodes)
                 u, v = (order[np.searchsorted(nodes[order], wrong.column(c).to_numpy())] for c in "uv")
-                without = np.sort(np.minimum(u, v) * len(nodes) + np.maximum(u, v))
-            us, vs = [], []
-            for _ in range(times):
-                a, b = forest(fps, bits, most, WIDEST, head, label, without)
-                if not len(a):
-                    break
-                us.append(nodes[a])
-                vs.append(nodes[b])
-                without = np.union1d(without, np.minimum(a, b) * len(nodes) + np.maximum(a, b))
-            u, v = (np.concatenate(x) if x else nodes[:0] for x in (us, vs))
+                without = np.sort(_pair_codes(u, v, len(nodes)))
+            a, b = forest(fps, bits, most, WIDEST, head, label, without, times)
+            u, v = nodes[a], nodes[b]
             return _pairs(*[np.full(len(u), k.as_py(), np.int64) for k in key], u, v, names=names)
 
         return (lambda key, table: link(key, table, None)), link
