@@ -17,7 +17,8 @@ A wider reach, for a given Jaccard similarity of five-word shingles (similar_gro
 fingerprint's bits are cut into PARTS, each with its own groups and index, in which its bits lead and pairs differ in at most 3
 of them. Of pairs with a similarity of 0.8 (0.85), 94 (98) in 100 have such a part, if bits differ at random. Pairs found so
 that the longer sketch takes for nearly similar make the forests, closest pairs first, and only pairs whose texts have the
-similarity exactly become links. Groups with a refuted pair are searched again, among
+similarity exactly become links. Before texts are compared, pairs go whose sets of shingles can't have it: the sets differ in at
+least as many shingles as in parities of the numbers of shingles on each of PARITIES places. Groups with a refuted pair are searched again, among
 the members that have candidates, without the pairs refuted so far and with four times as many forests as before, between the clusters that verified links have left; this ends when a round refutes nothing, so
 every candidate is verified, or its texts are linked otherwise. Texts of one sketch are held against the first of them; those
 that have the similarity stand in the index by it, the others by themselves. Members of a large group whose part is
@@ -61,6 +62,8 @@ AIM, WIDE_AIM = 0.6, 0.25
 SIMILAR_SHINGLE, SKETCH, PARTS = 5, 4, 3
 #: Candidates differ in at most so many bits of the fingerprint (unlike ones in 32, about), and their sketches may look this much less similar.
 WIDEST, SLACK = 20, 0.12
+#: Places of a set's parities, and pairs that are held against each other by them at once.
+PARITIES, AT_ONCE = 2048, 1 << 15
 
 
 # ---- fingerprints
@@ -72,21 +75,23 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(31)
 
 
-def sketch(text: str | None, shingle: int = SHINGLE, words: int = 1, distinct: bool = False) -> np.ndarray:
-    """Words of 64 bits; a bit is 1 if it is set in over half the hashes of the shingles (or of the distinct ones): XXH64, after it hashes mixed from it."""
+def _hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 of each shingle of a text, repeats included."""
     split = (text or "").encode().lower().split()
     if not split:
-        return np.zeros(words, np.uint64)
+        return np.zeros(0, np.uint64)
     data = b" ".join(split)
     ends = np.cumsum(np.fromiter(map(len, split), np.int64, len(split)) + 1) - 1
     n = max(1, len(split) - shingle + 1)
     starts = np.concatenate(([0], ends[: n - 1] + 1)).tolist()
     stops = ends[len(split) - n :].tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(data[a:b], SEED) for a, b in zip(starts, stops, strict=True)], np.uint64)
-    if distinct:
-        hashes = np.unique(hashes)
-        n = len(hashes)
+    return np.array([digest(data[a:b], SEED) for a, b in zip(starts, stops, strict=True)], np.uint64)
+
+
+def _majority(hashes: np.ndarray, words: int) -> np.ndarray:
+    """Words of 64 bits; a bit is 1 if it is set in over half the hashes; words after the first are of hashes mixed from them."""
+    n = len(hashes)
     salts = np.arange(words, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     counts = np.zeros(BITS * words, np.int64)
     for at in range(0, n, 4096):
@@ -98,6 +103,29 @@ def sketch(text: str | None, shingle: int = SHINGLE, words: int = 1, distinct: b
     return np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)
 
 
+def sketch(text: str | None, shingle: int = SHINGLE, words: int = 1, distinct: bool = False) -> np.ndarray:
+    """The majority bits of a text's shingles, or of the distinct ones."""
+    hashes = _hashes(text, shingle)
+    return _majority(np.unique(hashes) if distinct else hashes, words)
+
+
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """Words of 64 bits: whether an odd number of the hashes falls on each of PARITIES places."""
+    odd = np.bincount((_mixed(hashes) % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def can_reach(odd_a: np.ndarray, odd_b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets of these parities and sizes can have that Jaccard similarity; never false where they have it.
+
+    An element of one set alone turns one parity, so sets differ in no fewer elements than their parities do.
+    """
+    apart = np.bitwise_count(odd_a ^ odd_b).sum(axis=1, dtype=np.int64)
+    apart = np.maximum(apart, np.abs(size_a - size_b))
+    total = size_a + size_b
+    return apart * (1 + similarity) <= total * (1 - similarity) + 1e-6 * (total + 1)
+
+
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     """A bit is 1 if it is set in over half the XXH64 hashes of the shingles."""
     return int(sketch(text, shingle)[0])
@@ -113,14 +141,15 @@ def with_fingerprints(df: DataFrame, text_col: str = "text", keep: tuple[str, ..
 
 
 def with_sketches(df: DataFrame, text_col: str, keep: tuple[str, ...], shingle: int = SIMILAR_SHINGLE) -> DataFrame:
-    """Columns fp and bits, a sketch of the distinct shingles and its first word, and digest, 128 bits of the words of the text."""
+    """Columns fp and bits, a sketch of the distinct shingles and its first word, digest, 128 bits of the words of the text, and size and odd, the number and parities of the shingles."""
 
     def call(texts):
-        made = np.array([sketch(t, shingle, SKETCH, True) for t in texts], np.uint64).reshape(-1, SKETCH)
+        sets = [np.unique(_hashes(t, shingle)) for t in texts]
+        made = np.array([_majority(x, SKETCH) for x in sets], np.uint64).reshape(-1, SKETCH)
         digests = [xxhash.xxh3_128_digest(b" ".join((t or "").encode().lower().split())) for t in texts]
-        return [np.ascontiguousarray(made[:, 0]).view(np.int64), [x.tobytes() for x in made], digests]
+        return [np.ascontiguousarray(made[:, 0]).view(np.int64), [x.tobytes() for x in made], digests, [len(x) for x in sets], [parities(x).tobytes() for x in sets]]
 
-    return per_document(df, lambda: call, "fp long, bits binary, digest binary", text_col, keep)
+    return per_document(df, lambda: call, "fp long, bits binary, digest binary, size long, odd binary", text_col, keep)
 
 
 # ---- the index
@@ -202,12 +231,21 @@ def _pair_codes(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
 
 
 def forest(
-    codes: np.ndarray, bits: np.ndarray | None = None, most: int = 0, distance: int = DISTANCE, head: int = BITS, label: np.ndarray | None = None, without: np.ndarray | None = None, times: int = 1
+    codes: np.ndarray,
+    bits: np.ndarray | None = None,
+    most: int = 0,
+    distance: int = DISTANCE,
+    head: int = BITS,
+    label: np.ndarray | None = None,
+    without: np.ndarray | None = None,
+    times: int = 1,
+    possible=None,
 ) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of places that link: a spanning forest of the links between codes, or between clusters of them (label).
 
     bits: a sketch for each code, of which linked ones differ in at most `most` bits; closer pairs come first.
     without: pairs not to use, as _pair_codes(), sorted. times: so many forests, each of the links that those before it leave.
+    possible: of at most AT_ONCE pairs of places, which to use.
     """
     order = np.argsort(gray_rank(codes), kind="stable")
     index = GrayIndex(codes[order])
@@ -228,6 +266,9 @@ def forest(
                 code = _pair_codes(a, b, len(codes))
                 new = without[np.minimum(np.searchsorted(without, code), len(without) - 1)] != code
                 a, b = a[new], b[new]
+            if possible is not None and len(a):
+                fits = np.concatenate([possible(a[at : at + AT_ONCE], b[at : at + AT_ONCE]) for at in range(0, len(a), AT_ONCE)])
+                a, b = a[fits], b[fits]
             for own in labels:
                 if not len(a):
                     break
@@ -333,20 +374,28 @@ def links(codes: DataFrame, n: int, parts: int = 1) -> DataFrame:
     return dealt(codes.select("node", "fp"), n, parts).groupBy(*_KEYS).applyInArrow(link, _LINKS)
 
 
-def verified_links(codes: DataFrame, n: int, parts: int, most: int, verify) -> DataFrame:
+def _words(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Binary values of one length as rows of 64-bit words."""
+    values = column.to_pylist()
+    return np.frombuffer(b"".join(values), np.uint64).reshape(len(values), -1)
+
+
+def verified_links(codes: DataFrame, n: int, parts: int, most: int, verify, sets=None, similarity: float = 0.0) -> DataFrame:
     """Edges (u, v) from n codes (node, fp, bits) whose sketches differ in at most `most` bits and that verify(edges) leaves.
 
-    Their components are those of all such edges between members of one group.
+    Their components are those of all such edges between members of one group. sets(nodes): node, size and odd of
+    some nodes, by which the searches after the first leave out pairs that can't have the similarity.
     """
     free = _part_bits(parts)
+    bounded = sets is not None
 
     def linkers(times: int):
         def link(key, table, wrong):
             names = [*_KEYS, "u", "v"]
             fps, head = _codes_of(key, table, free)
             nodes = table.column("node").to_numpy()
-            bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(fps), -1)
-            label, without = None, np.zeros(0, np.int64)
+            bits = _words(table.column("bits"))
+            label, without, possible = None, np.zeros(0, np.int64), None
             if wrong is not None:
                 # a cluster's label is the place of its first member
                 _, first, which = np.unique(table.column("root").to_numpy(), return_index=True, return_inverse=True)
@@ -354,7 +403,10 @@ def verified_links(codes: DataFrame, n: int, parts: int, most: int, verify) -> D
                 order = np.argsort(nodes)
                 u, v = (order[np.searchsorted(nodes[order], wrong.column(c).to_numpy())] for c in "uv")
                 without = np.sort(_pair_codes(u, v, len(nodes)))
-            a, b = forest(fps, bits, most, WIDEST, head, label, without, times)
+                if bounded:
+                    odd, sizes = _words(table.column("odd")), table.column("size").to_numpy()
+                    possible = lambda a, b: can_reach(odd[a], odd[b], sizes[a], sizes[b], similarity)
+            a, b = forest(fps, bits, most, WIDEST, head, label, without, times, possible)
             u, v = nodes[a], nodes[b]
             return _pairs(*[np.full(len(u), k.as_py(), np.int64) for k in key], u, v, names=names)
 
@@ -374,6 +426,8 @@ def verified_links(codes: DataFrame, n: int, parts: int, most: int, verify) -> D
             keyed = [F.col(c).cast(rows.schema[c].dataType).alias(c) for c in _KEYS]
             tried = left.groupBy(*_KEYS).cogroup(refuted.select(*keyed, "u", "v").groupBy(*_KEYS)).applyInArrow(again, schema)
         tried = stored(tried, "simhash-tried")
+        if found is not None and tried.isEmpty():
+            return found
         pairs = tried.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
         true = stored(verify(pairs), "simhash-edges")
         found = true if found is None else found.unionByName(true)
@@ -384,7 +438,10 @@ def verified_links(codes: DataFrame, n: int, parts: int, most: int, verify) -> D
         if refuted is None:
             # a forest reaches every member that has a candidate in its group; the others needn't be searched again
             ends = tried.select(*[F.col(c).cast(rows.schema[c].dataType).alias(c) for c in _KEYS], F.explode(F.array("u", "v")).alias("node")).distinct()
-            rows = stored(rows.join(ends, [*_KEYS, "node"], "left_semi"), "simhash-dealt")
+            rows = rows.join(wrong.select(*_KEYS).distinct(), _KEYS, "left_semi").join(ends, [*_KEYS, "node"], "left_semi")
+            if bounded:
+                rows = rows.join(sets(ends.select("node").distinct()), "node")
+            rows = stored(rows, "simhash-dealt")
         refuted = wrong if refuted is None else wrong.unionByName(refuted.join(wrong.select(*_KEYS).distinct(), _KEYS, "left_semi"))
         if roots is None or not true.isEmpty():
             roots = components(found)
@@ -445,8 +502,23 @@ def shingles(text: str | None, shingle: int = SIMILAR_SHINGLE) -> set[bytes]:
     return {b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))} if words else set()
 
 
+def _possible(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The edges whose sets (node, size, odd) can have that Jaccard similarity."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, AT_ONCE):
+                part = batch.slice(at, AT_ONCE)
+                size_u, size_v = (part.column(c).to_numpy() for c in ("size_u", "size_v"))
+                fits = can_reach(_words(part.column("odd_u")), _words(part.column("odd_v")), size_u, size_v, similarity)
+                yield part.select(["u", "v"]).filter(pa.array(fits, pa.bool_()))
+
+    left, right = (sets.select(F.col("node").alias(c), F.col("size").alias(f"size_{c}"), F.col("odd").alias(f"odd_{c}")) for c in "uv")
+    return edges.join(left, "u").join(right, "v").mapInArrow(run, "u long, v long")
+
+
 def _similar(edges: DataFrame, texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """The edges whose texts (node, text) have that Jaccard similarity."""
+    """The edges whose texts (node, __whole__) have that Jaccard similarity."""
 
     def run(batches):
         for batch in batches:
@@ -457,7 +529,7 @@ def _similar(edges: DataFrame, texts: DataFrame, similarity: float, shingle: int
                 fits.append(not a and not b or shared >= similarity * (len(a) + len(b) - shared))
             yield batch.select(["u", "v"]).filter(pa.array(fits, pa.bool_()))
 
-    left, right = (texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")) for c in "uv")
+    left, right = (texts.select(F.col("node").alias(c), F.col("__whole__").alias(f"text_{c}")) for c in "uv")
     return edges.join(left, "u").join(right, "v").select("u", "v", "text_u", "text_v").mapInArrow(run, "u long, v long")
 
 
@@ -465,22 +537,35 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """As with_groups, by the Jaccard similarity of the texts' sets of five-word shingles; texts of equal words are equal."""
     whole = with_sketches(df.withColumn("__whole__", F.col(f"`{text_col}`").cast("string")), "__whole__", (id_col, "__whole__", *keep), shingle)
     whole = stored(whole, "simhash-texts")
-    docs = stored(whole.drop("__whole__"), "simhash")
+    docs = stored(whole.drop("__whole__", "size", "odd"), "simhash")
     codes = docs.groupBy("digest").agg(F.min(F.col(f"`{id_col}`")).alias("first"), F.first("fp").alias("fp"), F.first("bits").alias("bits"))
     codes = stored(codes.withColumn("node", F.monotonically_increasing_id()), "simhash-codes")
 
+    def of_nodes(ends: DataFrame, *columns: str) -> DataFrame:
+        """node and these columns of a text of each end (node, digest)."""
+        rows = whole.select("digest", *columns).join(ends.select("digest"), "digest", "left_semi")
+        return rows.groupBy("digest").agg(*[F.first(c).alias(c) for c in columns]).join(ends, "digest").select("node", *columns)
+
+    def with_digests(nodes: DataFrame) -> DataFrame:
+        # stored, so that Spark knows before it shuffles texts whether they are few
+        return stored(nodes.join(codes.select("node", "digest"), "node"), "simhash-ends")
+
+    def ends_of(edges: DataFrame) -> DataFrame:
+        return with_digests(edges.select(F.explode(F.array("u", "v")).alias("node")).distinct())
+
+    def sets(nodes: DataFrame) -> DataFrame:
+        return of_nodes(with_digests(nodes), "size", "odd")
+
     def verify(edges: DataFrame) -> DataFrame:
         edges = stored(edges, "simhash-pairs")
-        # stored, so that Spark knows before it shuffles texts whether they are few
-        ends = stored(edges.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(codes.select("node", "digest"), "node"), "simhash-ends")
-        texts = whole.select("digest", "__whole__").join(ends.select("digest"), "digest", "left_semi").groupBy("digest").agg(F.first("__whole__").alias("text"))
-        return _similar(edges, texts.join(ends, "digest").select("node", "text"), similarity, shingle)
+        edges = stored(_possible(edges, of_nodes(ends_of(edges), "size", "odd"), similarity), "simhash-pairs")
+        return _similar(edges, of_nodes(ends_of(edges), "__whole__"), similarity, shingle)
 
     # the first text of each sketch stands for those that are similar to it
     firsts = codes.groupBy("bits").agg(F.min("node").alias("v"))
     near = stored(verify(codes.join(firsts, "bits").where("node <> v").select(F.col("node").alias("u"), "v")), "simhash-edges")
     alone = stored(codes.join(near.select(F.col("u").alias("node")), "node", "left_anti"), "simhash-codes")
-    edges = stored(near.unionByName(verified_links(alone, alone.count(), PARTS, differing(similarity - SLACK), verify)), "simhash-edges")
+    edges = stored(near.unionByName(verified_links(alone, alone.count(), PARTS, differing(similarity - SLACK), verify, sets, similarity)), "simhash-edges")
     drop_stored(whole)
     return _named(docs, codes, edges, "digest", id_col, keep)
 

@@ -211,6 +211,53 @@ def test_refuted_pairs_hide_no_link(spark, most, monkeypatch):
     assert grouped(range(n), got) == grouped(range(n), dict(enumerate(root)))
 
 
+@pytest.mark.parametrize("n", [1, 5, 9, 200, 6000])
+def test_parities_refuse_no_similar_sets(n):
+    """Sets at the bound always pass, also with more elements than places; small ones far from it don't."""
+    rng = np.random.default_rng(n)
+    passed = {}
+    for apart in {0, n // 9, n // 5, n // 2}:
+        for trial in range(20):
+            pool = rng.integers(0, 1 << 63, n + apart, np.uint64)
+            a, b = pool[:n], pool[apart if trial % 2 else 0 :]
+            shared, union = len(np.intersect1d(a, b)), len(np.union1d(a, b))
+            odd = [simhash.parities(x)[None] for x in (a, b)]
+            fits = simhash.can_reach(*odd, np.array([len(a)]), np.array([len(b)]), 0.8)[0]
+            assert fits or shared < 0.8 * union
+            passed.setdefault(5 * shared >= 4 * union, []).append(fits)
+    assert all(passed[True]) and (n != 200 or not any(passed[False]))
+
+
+def test_many_variants_of_one_text(spark):
+    """Chains of edits of one text, most pairs nearly but not quite similar: the groups are those of all similar pairs."""
+    rng = np.random.default_rng(11)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for k in range(12):
+        words = list(base)
+        for i in rng.choice(150, 5, replace=False):
+            words[i] = f"c{k}x{i}"
+        for step in range(5):
+            words[int(rng.integers(150))] = f"s{k}x{step}"
+            texts.append(" ".join(words))
+    sets = [simhash.shingles(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 10 * len(a & sets[j]) >= 8 * len(a | sets[j]):
+                root[find(i)] = find(j)
+    got = {r.doc_id: r.root for r in simhash.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    ids = range(len(texts))
+    assert 1 < len({find(i) for i in ids}) < len(texts)
+    assert grouped(ids, got) == grouped(ids, {i: find(i) for i in ids})
+
+
 def test_similar_odd_rows(odd, none):
     rows = simhash.similar_groups(odd, keep=("n",)).collect()
     assert len(rows) == odd.count()
