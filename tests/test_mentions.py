@@ -47,3 +47,19 @@ def test_only_the_rarest_word_fetches(spark):
     df = spark.createDataFrame([("a", "a", "The unheard", "the the the"), ("b", "b", "The heard", "said the heard once")], "path string, name string, title string, body string")
     rows = mentions.mentions(df, mentions.titles_of(df)).collect()
     assert [(r.path, r.title, r.target, r.times) for r in rows] == [("b", "the heard", "b", 1)]
+
+
+def test_titles_of_the_same_words_are_not_all_compared(spark):
+    """Titles that share all their words stand in all texts by these; only runs of words that begin as a title does are compared."""
+    rng = random.Random(5)
+    some = ["w%d" % i for i in range(12)]
+    pages = [(f"p{i:03}", f"n{i}", " ".join(rng.sample(some, 6)), " ".join(rng.choices(some, k=30))) for i in range(300)]
+    df = spark.createDataFrame(pages, "path string, name string, title string, body string")
+    titles = mentions.titles_of(df)
+    texts = df.selectExpr("path", "split(body, ' ') as w", "monotonically_increasing_id() as row")
+    compared = mentions.possible(texts, titles.selectExpr("title", "size(words) as size", "words")).count()
+    # by words it would be 300 texts with nearly all of 300 titles
+    assert compared < 1500
+    assert sorted(map(tuple, mentions.missing_links(df).collect())) == brute(pages)
+    twice = spark.createDataFrame([("a", "a", "x y x", "x y x y x y x y x"), ("b", "b", "y x", "z")], "path string, name string, title string, body string")
+    assert sorted(map(tuple, mentions.mentions(twice, mentions.titles_of(twice)).collect())) == [("a", "x y x", "a", 2), ("a", "y x", "b", 4)]
