@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import shared
 from ..config import KBConfig
 from ..functions import front_matter as fm
 from ..functions import html, text, urls
@@ -126,6 +127,7 @@ SECTIONS = {"invisible_characters": "Invisible characters", "missing_front_matte
 
 def lint_report(findings: DataFrame, shown: int = 200) -> DataFrame:
     """A report's sections: place, kind, n, and text, which lists the first `shown` (at most 1000) findings by path."""
+    findings = shared.stored(findings, "findings")
     order = Window.partitionBy("kind").orderBy("path", "detail")
     first = findings.withColumn("at", F.row_number().over(order)).where(F.col("at") <= shown)
     line = F.concat(F.lit("- "), "path", F.when(F.col("detail") != "", F.concat(F.lit(": "), "detail")).otherwise(""))

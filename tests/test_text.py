@@ -147,3 +147,19 @@ def test_lint_reports(spark):
     got = ingest.lint_report(spark.createDataFrame(rows, "path string, kind string, detail string"), 3).orderBy("place").collect()
     assert [(r.kind, r.n) for r in got] == [("orphan", 5), ("missing_link", 1)]
     assert got[0].text == "## Orphan pages (5)\n\n- p0\n- p1\n- p2\n- and 2 more\n" and got[1].text == "## Missing links (1)\n\n- q: t\n"
+
+
+def test_lint_report_takes_its_findings_once(spark):
+    """Counts and first lines are of one stored table: what finds them runs once."""
+    from quillbase.plans import ingest
+
+    taken = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            taken.add(batch.num_rows)
+            yield batch
+
+    rows = spark.createDataFrame([(f"p{i}", "orphan", "") for i in range(20)], "path string, kind string, detail string").mapInArrow(seen, "path string, kind string, detail string")
+    assert [(r.kind, r.n) for r in ingest.lint_report(rows, 3).collect()] == [("orphan", 20)]
+    assert taken.value == 20
