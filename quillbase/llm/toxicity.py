@@ -5,8 +5,8 @@ a lattice (signs give their letters, a run of one letter gives one or two, separ
 boundary), and the Viterbi path under a character model of order ORDER restores it. Other tokens are only
 lower-cased and freed of punctuation at their ends.
 
-Learning uses labelled rows outside the held-out fold, at most MAX_LABELLED of them, taken by a hash of the id. The other bounds
-of the fit: the character model knows the MAX_GRAMS most frequent character n-grams of words under MAX_WORD letters, and
+Learning uses all labelled rows outside the held-out fold; tokens are counted and features chosen by Spark. The bounds of the
+model: the character model knows the MAX_GRAMS most frequent character n-grams of words under MAX_WORD letters, and
 the MAX_CANDIDATES surest features under MAX_FEATURE characters are looked at. Everything else covers every row and whole texts,
 however long; a token of any length is one lattice, walked once. From them come the character model and a short
 list of features (tokens, and beginnings of tokens, since words are inflected): again and again the one that most
@@ -31,9 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, per_document, sampled, stored, table
+from .common import drop_stored, fold, per_document, stored, table
 
-MAX_LABELLED = 20_000
 MIN_Z = 6.0
 MIN_TOXIC = 10
 MIN_PRECISION = 0.9
@@ -42,6 +41,8 @@ ORDER = 4
 MAX_CACHED = 300_000
 #: Bounds of the fit.
 MAX_GRAMS, MAX_WORD, MAX_CANDIDATES, MAX_FEATURE = 200_000, 30, 5000, 64
+#: A task hands on its counts when it holds so many.
+MAX_HELD = 1_000_000
 #: The letters that a sign can stand for.
 SIGNS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "\u20ac": "e", "\xa3": "l"}
 SEPARATORS = frozenset(" .-_*~'`\u200b\xad")
@@ -149,29 +150,39 @@ def _restored(token: str, channel: Channel) -> set[str]:
 
 def _learn(batches):
     """(kind, key, toxic, clean): rows of either kind (0), features (1), character n-grams (2)."""
-    rows, words, grams = [0, 0], (Counter(), Counter()), Counter()
+    rows, words, times = [0, 0], (Counter(), Counter()), Counter()
     for batch in batches:
         for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            found = Counter(plain(t) for t in (text or "").split())
+            found = Counter()
+            for token, n in Counter((text or "").split()).items():
+                found[plain(token)] += n
             rows[not toxic] += 1
             words[not toxic].update({f for word in found for f in features(word)})
-            for word, n in found.items():
-                if word.isalpha() and len(word) < MAX_WORD:
-                    padded = " " * (ORDER - 1) + word + " "
-                    for i in range(len(padded) - ORDER + 1):
-                        grams[padded[i : i + ORDER]] += n
+            times.update(found)
+        if len(words[0]) + len(words[1]) + len(times) > MAX_HELD:
+            yield _counted(rows, words, times)
+            rows, words, times = [0, 0], (Counter(), Counter()), Counter()
+    yield _counted(rows, words, times)
+
+
+def _counted(rows: list[int], words: tuple[Counter, Counter], times: Counter) -> pa.RecordBatch:
+    grams: Counter = Counter()
+    for word, n in times.items():
+        if word.isalpha() and len(word) < MAX_WORD:
+            padded = " " * (ORDER - 1) + word + " "
+            for i in range(len(padded) - ORDER + 1):
+                grams[padded[i : i + ORDER]] += n
     made = [(0, "", *rows)] + [(1, w, words[0][w], words[1][w]) for w in words[0].keys() | words[1].keys()] + [(2, g, n, 0) for g, n in grams.items()]
     cols = zip(*made, strict=True)
     arrays = [pa.array(x, t) for x, t in zip(cols, (pa.int32(), pa.string(), pa.int64(), pa.int64()), strict=True)]
-    yield pa.RecordBatch.from_arrays(arrays, names=["kind", "key", "toxic", "clean"])
+    return pa.RecordBatch.from_arrays(arrays, names=["kind", "key", "toxic", "clean"])
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5) -> dict:
     """The model: counts of character n-grams, the log odds of chosen tokens, and those of no token."""
     usable = labels.select(F.col(id_col).alias("id"), F.col("toxic").cast("int").alias("toxic")).where("id is not null and toxic in (0, 1)").where(fold("id", folds) != 0)
-    chosen = sampled(usable, "id", MAX_LABELLED).groupBy("id").agg(F.max("toxic").alias("toxic"))
-    # at most MAX_LABELLED rows of two numbers
-    rows = stored(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("text", "toxic"), "toxicity")
+    chosen = usable.groupBy("id").agg(F.max("toxic").alias("toxic"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, "id").select("text", "toxic")
     counts = stored(rows.mapInArrow(_learn, "kind int, key string, toxic long, clean long").groupBy("kind", "key").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")), "toxicity")
     found = counts.where("kind = 0").first()
     toxic, clean = (found.toxic, found.clean) if found else (0, 0)
@@ -181,9 +192,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     share = toxic / (toxic + clean)
     expected = (F.col("toxic") + F.col("clean")) * share
     sure = counts.where((F.col("kind") == 1) & (F.length("key") < MAX_FEATURE)).where(F.col("toxic") >= MIN_TOXIC).where((F.col("toxic") - expected) >= MIN_Z * F.sqrt(expected)).where(F.col("toxic") >= MIN_PRECISION * (F.col("toxic") + F.col("clean")))
-    # each of them is in at least MIN_TOXIC of the at most MAX_LABELLED rows; the surest come first
+    # the surest come first
     candidates = {r.key: (r.toxic, r.clean) for r in sure.orderBy(F.desc((F.col("toxic") - expected) / F.sqrt(expected)), "key").limit(MAX_CANDIDATES).collect()}
-    sent = rows.sparkSession.sparkContext.broadcast(sorted(candidates))
+    drop_stored(counts)
+    names, n, odds = sorted(candidates), [clean, toxic], {}
+    sent = rows.sparkSession.sparkContext.broadcast(names)
 
     def held(batches):
         place = {w: i for i, w in enumerate(sent.value)}
@@ -191,25 +204,26 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             lists = [sorted({place[f] for t in set((text or "").split()) for f in features(plain(t)) if f in place}) for text in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(lists, pa.list_(pa.int32())), batch.column(1)], names=["held", "toxic"])
 
-    got = rows.mapInArrow(held, "held array<int>, toxic int").groupBy("held", "toxic").count().where(F.size("held") > 0).collect()
-    left, odds = [(frozenset(r.held), r.toxic, r["count"]) for r in got], {}
-    names, n = sorted(candidates), [clean, toxic]
-    length = np.array([len(x) for x in names])
-    while left:
+    # rows with equal features are one; a round's counts of the rows not yet explained are two numbers for each candidate at most
+    sets = rows.mapInArrow(held, "held array<int>, toxic int").where(F.size("held") > 0).groupBy("held", "toxic").agg(F.count(F.lit(1)).alias("times"))
+    sets = stored(sets, "toxicity") if names else None
+    length, taken = np.array([len(x) for x in names]), []
+    while names:
+        left = sets.where(~F.arrays_overlap("held", F.lit(taken).cast("array<int>"))) if taken else sets
         by = np.zeros((2, len(names)))
-        for tokens, label, times in left:
-            by[label, list(tokens)] += times
+        for r in left.select(F.explode("held").alias("at"), "toxic", "times").groupBy("at", "toxic").agg(F.sum("times").alias("times")).collect():
+            by[r.toxic, r["at"]] = r.times
         expected = by.sum(axis=0) * n[1] / max(1, sum(n))
         z = np.where(by[1] >= MIN_TOXIC, (by[1] - expected) / np.sqrt(np.maximum(expected, 1e-9)), 0)
-        best = int(np.lexsort((length, z))[-1]) if names else -1
-        if best < 0 or z[best] < MIN_Z:
+        best = int(np.lexsort((length, z))[-1])
+        if z[best] < MIN_Z:
             break
         t, c = candidates[names[best]]
         odds[names[best]] = math.log((t + 0.5) / (toxic + 1)) - math.log((c + 0.5) / (clean + 1))
-        for tokens, label, times in left:
-            if best in tokens:
-                n[label] -= times
-        left = [x for x in left if best not in x[0]]
+        n = [n[0] - int(by[0, best]), n[1] - int(by[1, best])]
+        taken.append(best)
+    if names:
+        drop_stored(sets)
     # words as common and as sure as the chosen ones, which explain no rows of their own only because these come together
     common = 0.5 * float(np.median([candidates[f][0] for f in odds])) if odds else 0
     for word, (t, c) in candidates.items():

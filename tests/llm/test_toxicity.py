@@ -101,3 +101,21 @@ def test_scores_against_brute_force(spark):
         held = {f for w in words for f in [w, *(w[:n] + "-" for n in toxicity.PREFIXES if len(w) >= n)] if f in model["odds"]}
         x = model["none"] + math.fsum(model["odds"][f] for f in held)
         assert abs(got[i] - 1 / (1 + math.exp(-max(-50.0, min(50.0, x))))) < 1e-9
+
+
+def test_learns_from_all_labelled_rows(spark, monkeypatch):
+    """The counts behind the odds are of all labelled rows outside the fold, however many; the old bound has no effect."""
+    import math
+    import zlib
+
+    monkeypatch.setattr(toxicity, "MAX_LABELLED", 60, raising=False)
+    monkeypatch.setattr(toxicity, "MAX_HELD", 5, raising=False)
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5]
+    text = lambda i: "some plain words here" + (" zuckbad" if i % 3 == 0 else "") + (" otherbad" if i % 3 == 0 and i % 2 or i % 5 == 1 and i % 3 == 1 else "")
+    bad = lambda i: int("bad" in text(i))
+    docs = spark.createDataFrame([(i, text(i)) for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, bad(i)) for i in range(400)], "doc_id long, quality int, toxic int")
+    model = toxicity.train(docs, labels)
+    toxic, held = sum(map(bad, ids)), sum("zuckbad" in text(i) for i in ids)
+    assert model["odds"]["zuckbad"] == pytest.approx(math.log((held + 0.5) / (toxic + 1)) - math.log(0.5 / (len(ids) - toxic + 1)))
+    assert model["grams"]["uckb"] == held
