@@ -56,3 +56,31 @@ def test_empty(spark, tmp_path):
     index.build(df.limit(0))
     assert index.search([1.0], 3).count() == 0
     assert index.search_many(spark.createDataFrame([(1, [1.0])], "query_id long, query array<double>"), 3).count() == 0
+
+
+def test_blocks_against_brute_force(spark, tmp_path, monkeypatch):
+    """Queries meet rows in blocks by matrix products, not as rows of pairs; copies, equal scores and small blocks change nothing."""
+    import numpy as np
+
+    from quillbase.operators import vectors
+
+    for name, n in (("BLOCK_ROWS", 16), ("BLOCK_QUERIES", 7), ("AT_ONCE", 3)):
+        monkeypatch.setattr(vectors, name, n, raising=False)
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.integers(-2, 3, 4)] if i % 3 else [1.0, 2.0, 0.0, 1.0]) for i in range(150)] + [(900, None), (901, [0.0] * 4)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    index = vectors.VectorIndex(spark, str(tmp_path / "v"))
+    index.build(df, 5)
+    asked = df.where("vec_id % 10 = 0").selectExpr("vec_id as query_id", "embedding as query")
+    good = [(i, np.array(v)) for i, v in rows if v is not None and any(v)]
+    want = []
+    for q, v in good:
+        if q % 10 == 0:
+            scored = sorted((-round(float(v @ w) / (float(v @ v) ** 0.5 * float(w @ w) ** 0.5), 6), i) for i, w in good)
+            want += [(q, at + 1, i, -s) for at, (s, i) in enumerate(scored[:4])]
+    got = index.search_many(asked, 4, probes=5)
+    assert "FlatMapCoGroupsInArrow" in got._jdf.queryExecution().toString()
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    some = index.search_many(asked, 4, probes=2).collect()
+    scores = {(q, i): s for q, v in good if q % 10 == 0 for i, w in good for s in [round(float(v @ w) / (float(v @ v) ** 0.5 * float(w @ w) ** 0.5), 6)]}
+    assert some and all(r.score == scores[r.query_id, r.vec_id] for r in some)
