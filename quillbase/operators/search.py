@@ -59,17 +59,26 @@ def bm25(pages: DataFrame, query: str, limit: int = 10, key: str = "path", text:
     return scored.where("score > 0").orderBy(F.desc("score"), key).limit(limit)
 
 
-def inverted_index(pages: DataFrame, key: str = "path", text: str = "body") -> DataFrame:
-    """(term, key, tf, n): each distinct word of each page with its count there and the page's words; a page without words is one row without term.
+def term_counts(rows: DataFrame) -> DataFrame:
+    """rows (w: words) with n, how many, and terms, the distinct ones with their counts (term, tf) in order, in place of w.
 
-    Counted within the rows, so that nothing is shuffled; store it by term to serve many queries.
+    Counted within the rows, so that nothing is shuffled.
     """
-    words = pages.select(F.col(key).alias("key"), words_of(F.col(text)).alias("w")).select("key", F.size("w").alias("n"), F.array_sort("w").alias("w"))
+    names = [c for c in rows.columns if c != "w"]
+    words = rows.select(*names, F.size("w").alias("n"), F.sort_array("w").alias("w"))
     # sorted words: a term's count is the distance of its first places
     at = F.filter(F.transform("w", lambda x, i: F.when((i == 0) | (F.get("w", i - 1) != x), i)), lambda i: i.isNotNull())
-    runs = words.select("key", "n", "w", at.alias("at"))
     terms = F.transform("at", lambda i, k: F.struct(F.get("w", i).alias("term"), (F.coalesce(F.get("at", k + 1), F.col("n")) - i).alias("tf")))
-    return runs.select("key", "n", F.explode_outer(terms).alias("t")).select("t.term", "key", F.coalesce("t.tf", F.lit(0)).alias("tf"), "n")
+    return words.select(*names, "n", "w", at.alias("at")).select(*names, "n", terms.alias("terms"))
+
+
+def inverted_index(pages: DataFrame, key: str = "path", text: str = "body") -> DataFrame:
+    """(term, key, tf, n): each distinct word of each page with its count there and the page's words; a page without words is one row without term.
+
+    Counted within the rows; store it by term to serve many queries.
+    """
+    counted = term_counts(pages.select(F.col(key).alias("key"), words_of(F.col(text)).alias("w")))
+    return counted.select("key", "n", F.explode_outer("terms").alias("t")).select("t.term", "key", F.coalesce("t.tf", F.lit(0)).alias("tf"), "n")
 
 
 def bm25_indexed(index: DataFrame, query: str, docs: int, mean: float, limit: int = 10, key: str = "path", k1: float = 1.2, b: float = 0.75) -> DataFrame:

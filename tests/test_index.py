@@ -123,3 +123,34 @@ def test_versions(spark, tmp_path):
     assert store.collect(keep=1, grace_s=3600) == ["manifest/000000000000.json"]
     assert len(store.collect(keep=1, grace_s=0)) == 3 and store.table("a").agg(F.sum("id")).first()[0] == 36
     assert store.all() == [1]
+
+
+def test_segments_keep_counted_words(spark, tmp_path):
+    """Blocks, tombstones and merges come from pages with counted words, so no single words are shuffled."""
+    from quillbase.operators.index import SearchIndex
+
+    index = SearchIndex(spark, str(tmp_path / "kept"))
+    rows = [("a", "x y x"), ("b", "y z"), ("c", ""), ("d", None), (None, "x")]
+    index.refresh(spark.createDataFrame(rows, "path string, body string"))
+    kept = index.store.read(index.state()[1]["segments"][0]["pages"]).collect()
+    assert {r.key: [tuple(t) for t in r.terms] for r in kept} == {"a": [("x", 2), ("y", 1)], "b": [("y", 1), ("z", 1)], "c": [], "d": []}
+    assert index.refresh(spark.createDataFrame([("a", "y"), ("b", "y z"), ("e", "z z")], "path string, body string")) == {"added": 1, "changed": 1, "removed": 2}
+    want = {"y": (2, 2), "z": (2, 3)}
+    assert {r.term: (r.docs, r.n) for r in index.term_statistics().collect()} == want
+    assert index.merge(most=1) == 2 and {r.term: (r.docs, r.n) for r in index.term_statistics().collect()} == want
+    assert [r.path for r in index.search("z").collect()] == ["e", "b"]
+
+
+def test_terms_are_dealt_without_a_pass_for_bounds(spark):
+    """The index is computed once, to be dealt out by term."""
+    from quillbase.operators import store
+
+    taken = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            taken.add(batch.num_rows)
+            yield batch
+
+    rows = spark.createDataFrame([(f"t{i}", i) for i in range(50)], "term string, n long").mapInArrow(seen, "term string, n long")
+    assert store.stored_by(rows, "term", "index").count() == 50 and taken.value == 50
