@@ -80,5 +80,8 @@ def write(df: DataFrame, path: str, by: tuple[str, ...] = ()) -> None:
 
 
 def stored_by(df: DataFrame, key: str, label: str) -> DataFrame:
-    """df in the shared folder, sorted by a key in ranges of it, so that filters on the key read few row groups."""
-    return stored(df.repartitionByRange(key).sortWithinPartitions(key), label)
+    """df in the shared folder, dealt out and sorted by a key, so that filters on the key read few row groups.
+
+    By hashes, not ranges: for the bounds of ranges Spark would compute df once more.
+    """
+    return stored(df.repartition(F.col(key)).sortWithinPartitions(key), label)
