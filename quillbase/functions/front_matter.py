@@ -20,7 +20,11 @@ def body(text: Column) -> Column:
 
 
 def _value(line: Column) -> Column:
-    value = strip(F.regexp_replace(line, "^[^:]*:", ""))
+    # bound once, since the line can be long
+    return F.transform(F.array(strip(F.regexp_replace(line, "^[^:]*:", ""))), _bare)[0]
+
+
+def _bare(value: Column) -> Column:
     # a comment begins at " #" unless that is inside quotes; found piece by piece, since a loop over alternatives
     # within one expression runs out of stack on long values
     hidden = F.when(F.startswith(value, F.lit('"')) | F.startswith(value, F.lit("[")), F.regexp_replace(value, r"\\.", "__")).otherwise(value)
@@ -35,8 +39,9 @@ def parse(text: Column) -> Column:
     lines = F.filter(lines, lambda x: (x != "") & ~F.regexp_like(x, F.lit(rf"^[{SPACES}]*#")) & F.contains(x, F.lit(":")))
     pairs = F.transform(lines, lambda x: F.struct(strip(F.regexp_extract(x, "^([^:]*):", 1)).alias("key"), _value(x).alias("value")))
     pairs = F.filter(pairs, lambda p: p["key"] != "")
-    later = lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(F.size(pairs), F.lit(1))), lambda q: q["key"] == p["key"])
-    return F.map_from_entries(F.filter(pairs, later))
+    # the last place of each key; pairs are bound by a transform, since an expression named twice is computed twice, and within a lambda for each element
+    last = lambda ps: F.filter(ps, lambda p, i: ~F.exists(F.slice(ps, i + 2, F.greatest(F.size(ps), F.lit(1))), lambda q: q["key"] == p["key"]))
+    return F.map_from_entries(F.transform(F.array(pairs), last)[0])
 
 
 def unquoted(value: Column) -> Column:

@@ -163,3 +163,14 @@ def test_lint_report_takes_its_findings_once(spark):
     rows = spark.createDataFrame([(f"p{i}", "orphan", "") for i in range(20)], "path string, kind string, detail string").mapInArrow(seen, "path string, kind string, detail string")
     assert [(r.kind, r.n) for r in ingest.lint_report(rows, 3).collect()] == [("orphan", 20)]
     assert taken.value == 20
+
+
+def test_front_matter_is_split_once(spark):
+    """A file's lines, and a line's value, are computed once, not again for each line that may repeat a key."""
+    from quillbase.functions import front_matter
+
+    made = front_matter.parse(F.col("x"))
+    assert made._jc.toString().count("split(") == 1
+    lines = [f"k{i % 300}: v{i} # c" for i in range(600)]
+    got = spark.createDataFrame([("---\n" + "\n".join(lines) + "\n---\nbody",), ("none",)], "x string").select(made.alias("m")).collect()
+    assert got[0].m == {f"k{i}": f"v{i + 300}" for i in range(300)} and got[1].m == {}
