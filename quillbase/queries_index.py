@@ -59,7 +59,7 @@ r AS (SELECT item_id, path, round(sum(ln((docs - df + 0.5) / (df + 0.5) + 1) * t
 SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, path) AS INT) AS rank, path, score FROM r WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, path) <= 10""")
 def q02_bm25_many(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every item of the benchmark as a query, all in one plan."""
-    index = SearchIndex(spark, folder(spark, "search-index"))
+    index = SearchIndex(spark, folder(spark, "search-index"), postings=False)
     index.refresh(vault(spark, sf_dir))
     return index.search_many(read(spark, sf_dir, "benchmark"), 10, "item_id", "text")
 

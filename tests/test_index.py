@@ -84,6 +84,35 @@ def test_many_queries_in_one_plan(spark, tmp_path, small):
     assert not {100, 101, 102} & got.keys()
 
 
+@pytest.mark.parametrize("pairs", [500_000, 40])
+def test_many_queries_meet_pages_by_blocks(spark, tmp_path, monkeypatch, pairs):
+    """Only the first pages of a task's queries are shuffled, not a row for each page and word; ties among copies go by key."""
+    from quillbase.operators import many
+
+    monkeypatch.setattr(I, "MAX_PAIRS", pairs, raising=False)
+    monkeypatch.setattr(I, "PART", 50, raising=False)
+    monkeypatch.setattr(many, "PAGES", 16)
+    monkeypatch.setattr(many, "QUERIES", 3)
+    monkeypatch.setattr(many, "WORDS", 2)
+    df = made(spark, [*texts(8, 120).items(), *[(f"copy{i:02}", "alpha beta same words") for i in range(40)]])
+    index = I.SearchIndex(spark, str(tmp_path / "i"), postings=False)
+    index.refresh(df)
+    with pytest.raises(ValueError, match="postings"):
+        index.search("alpha")
+    rng = random.Random(9)
+    queries = [(i, " ".join(rng.sample(WORDS, rng.randint(1, 5)))) for i in range(9)] + [(9, "same words same")]
+    found = index.search_many(spark.createDataFrame(queries, "query_id long, query string"), 4)
+    if pairs > 40:
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "Generate" not in plan
+    got = {}
+    for r in found.orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.path, r.score))
+    for i, q in queries:
+        assert got.get(i, []) == [tuple(r) for r in search.bm25(df, q, 4).collect()]
+    assert [k for k, _ in got[9]] == ["copy00", "copy01", "copy02", "copy03"]
+
+
 def test_empty_index(spark, tmp_path):
     index = I.SearchIndex(spark, str(tmp_path / "i"))
     assert index.search("a").count() == 0 and index.term_statistics().count() == 0
