@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +43,8 @@ MAX_CACHED = 300_000
 MAX_GRAMS, MAX_WORD, MAX_CANDIDATES, MAX_FEATURE = 200_000, 30, 5000, 64
 #: A task hands on its counts when it holds so many.
 MAX_HELD = 1_000_000
+#: Bitmaps of labels, of 32,768 numbers and two times 4 KB each, up to which they are broadcast.
+MAX_BITMAPS = 2048
 #: The letters that a sign can stand for.
 SIGNS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "\u20ac": "e", "\xa3": "l"}
 SEPARATORS = frozenset(" .-_*~'`\u200b\xad")
@@ -50,6 +52,10 @@ _ENDS = re.compile(r"^[\W_]+|[\W_]+$")
 _ODD = re.compile(r"[^\W\d_][\d@$!|+(\u20ac\xa3.*_~'`\u200b\xad-]+[^\W\d_]|(\w)\1\1|^[\d@$!|+(\u20ac\xa3]+[^\W\d_]{2}|[^\W\d_]{2}[\d@$|+(\u20ac\xa3]+$")
 _SPACED = re.compile(r"(?<!\S)\S(?:[ \t]\S){3,}(?!\S)")
 _LETTER = re.compile(r"[^\W\d_]")
+#: What simple() looks for: ends that plain() takes off, and what _ODD can match in letters with such ends.
+_ASCII_ENDS = "".join(c for c in map(chr, range(128)) if not c.isalnum())
+_FIRST, _LAST = frozenset("0123456789@$!|+("), frozenset("0123456789@$|+(")
+_THRICE = re.compile(r"(\w)\1\1")
 
 
 def plain(token: str) -> str:
@@ -58,7 +64,32 @@ def plain(token: str) -> str:
 
 def features(word: str) -> list[str]:
     """The word and its beginnings (marked by a hyphen after them, which no plain word ends in)."""
-    return [word, *(word[:n] + "-" for n in PREFIXES if len(word) >= n)]
+    return [word, *[word[:n] + "-" for n in PREFIXES if len(word) >= n]]
+
+
+def simple(token: str) -> str | None:
+    """plain(token) of an ASCII token that shows no disguise and is letters but for its ends; None if that isn't quickly seen."""
+    if not token.isascii():
+        return None
+    low = token.lower()
+    word = low if low.isalpha() else low.strip(_ASCII_ENDS)
+    return None if not word.isalpha() or token[0] in _FIRST or token[-1] in _LAST or _THRICE.search(low) else word
+
+
+class _Cached(dict):
+    """What make() says of a token, kept for short ones."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, token: str):
+        found = self.make(token)
+        if len(token) < 64:
+            if len(self) > MAX_CACHED:
+                self.clear()
+            self[token] = found
+        return found
 
 
 class Channel:
@@ -151,38 +182,77 @@ def _restored(token: str, channel: Channel) -> set[str]:
 def _learn(batches):
     """(kind, key, toxic, clean): rows of either kind (0), features (1), character n-grams (2)."""
     rows, words, times = [0, 0], (Counter(), Counter()), Counter()
+    made = _Cached(lambda token: tuple(features(plain(token))))
     for batch in batches:
         for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            found = Counter()
-            for token, n in Counter((text or "").split()).items():
-                found[plain(token)] += n
+            tokens = (text or "").split()
             rows[not toxic] += 1
-            words[not toxic].update({f for word in found for f in features(word)})
-            times.update(found)
+            words[not toxic].update(set().union(*map(made.__getitem__, set(tokens))))
+            times.update(tokens)
         if len(words[0]) + len(words[1]) + len(times) > MAX_HELD:
-            yield _counted(rows, words, times)
+            yield _counted(rows, words, times, made)
             rows, words, times = [0, 0], (Counter(), Counter()), Counter()
-    yield _counted(rows, words, times)
+    yield _counted(rows, words, times, made)
+
+
+def _grams(words: dict[str, int]) -> dict[str, int]:
+    """How often the n-grams (ORDER is two pairs of characters) of words occur, a space before and after each."""
+    found: dict[str, int] = defaultdict(int)
+    names = list(words)
+    for at in range(0, len(names), 100_000):
+        part = names[at : at + 100_000]
+        codes = np.frombuffer("".join([f"   {w} " for w in part]).encode("utf-32-le"), np.uint32).astype(np.int64)
+        lengths = np.array([len(w) for w in part])
+        times = np.repeat(np.array([words[w] for w in part], np.float64), lengths + 1)
+        ends = np.cumsum(lengths + ORDER)
+        starts = np.ones(len(codes), bool)
+        for k in range(1, ORDER):
+            starts[ends - k] = False
+        starts = np.flatnonzero(starts)
+        pairs, pair = np.unique(codes[:-1] * 0x110000 + codes[1:], return_inverse=True)
+        grams, gram = np.unique(pair[starts] * len(pairs) + pair[starts + 2], return_inverse=True)
+        shown = [chr(x // 0x110000) + chr(x % 0x110000) for x in pairs.tolist()]
+        for x, n in zip(grams.tolist(), np.bincount(gram, times).tolist(), strict=True):
+            found[shown[x // len(pairs)] + shown[x % len(pairs)]] += int(n)
+    return found
 
 
-def _counted(rows: list[int], words: tuple[Counter, Counter], times: Counter) -> pa.RecordBatch:
-    grams: Counter = Counter()
-    for word, n in times.items():
+def _counted(rows: list[int], words: tuple[Counter, Counter], times: Counter, made: _Cached) -> pa.RecordBatch:
+    """times: of tokens as they are."""
+    whole: dict[str, int] = defaultdict(int)
+    for token, n in times.items():
+        word = made[token][0]
         if word.isalpha() and len(word) < MAX_WORD:
-            padded = " " * (ORDER - 1) + word + " "
-            for i in range(len(padded) - ORDER + 1):
-                grams[padded[i : i + ORDER]] += n
-    made = [(0, "", *rows)] + [(1, w, words[0][w], words[1][w]) for w in words[0].keys() | words[1].keys()] + [(2, g, n, 0) for g, n in grams.items()]
-    cols = zip(*made, strict=True)
+            whole[word] += n
+    grams = _grams(whole)
+    keys = list(words[0].keys() | words[1].keys())
+    cols = ([0] + [1] * len(keys) + [2] * len(grams), ["", *keys, *grams], [rows[0], *map(words[0].__getitem__, keys), *grams.values()], [rows[1], *map(words[1].__getitem__, keys), *[0] * len(grams)])
     arrays = [pa.array(x, t) for x, t in zip(cols, (pa.int32(), pa.string(), pa.int64(), pa.int64()), strict=True)]
     return pa.RecordBatch.from_arrays(arrays, names=["kind", "key", "toxic", "clean"])
 
 
+def _labelled(docs: DataFrame, usable: DataFrame) -> DataFrame:
+    """(text, toxic) of the docs (id, text) with a label (id, toxic).
+
+    Where labels are by whole numbers that lie densely, they are broadcast as two bits for each number, and no text is shuffled; else texts meet
+    them by a join.
+    """
+    whole = {"tinyint", "smallint", "int", "bigint"}
+    if {docs.schema["id"].dataType.simpleString(), usable.schema["id"].dataType.simpleString()} <= whole:
+        place = F.bitmap_bit_position("id")
+        bits = usable.groupBy(F.bitmap_bucket_number("id").alias("bucket")).agg(F.bitmap_construct_agg(place).alias("known"), F.bitmap_construct_agg(F.when(F.col("toxic") == 1, place)).alias("bad"))
+        bits = stored(bits, "toxicity-labels")
+        if bits.count() <= MAX_BITMAPS:
+            bit = lambda c: F.expr(f"shiftright(cast(conv(hex(substring({c}, cast(place div 8 as int) + 1, 1)), 16, 10) as int), cast(place % 8 as int)) & 1")
+            met = docs.join(F.broadcast(bits), F.bitmap_bucket_number("id") == F.col("bucket")).withColumn("place", place)
+            return met.where(bit("known") == 1).select("text", bit("bad").alias("toxic"))
+    return docs.join(usable.groupBy("id").agg(F.max("toxic").alias("toxic")), "id").select("text", "toxic")
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5) -> dict:
     """The model: counts of character n-grams, the log odds of chosen tokens, and those of no token."""
     usable = labels.select(F.col(id_col).alias("id"), F.col("toxic").cast("int").alias("toxic")).where("id is not null and toxic in (0, 1)").where(fold("id", folds) != 0)
-    chosen = usable.groupBy("id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, "id").select("text", "toxic")
+    rows = _labelled(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), usable)
     counts = stored(rows.mapInArrow(_learn, "kind int, key string, toxic long, clean long").groupBy("kind", "key").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")), "toxicity")
     found = counts.where("kind = 0").first()
     toxic, clean = (found.toxic, found.clean) if found else (0, 0)
@@ -200,8 +270,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def held(batches):
         place = {w: i for i, w in enumerate(sent.value)}
+        heads, none = {f[:4] for f in place}, ()
+
+        def find(token):
+            word = plain(token)
+            return tuple(place[f] for f in features(word) if f in place) if word[:4] in heads else none
+
+        found = _Cached(find)
         for batch in batches:
-            lists = [sorted({place[f] for t in set((text or "").split()) for f in features(plain(t)) if f in place}) for text in batch.column(0).to_pylist()]
+            lists = [sorted(set().union(*map(found.__getitem__, set((text or "").split())))) for text in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(lists, pa.list_(pa.int32())), batch.column(1)], names=["held", "toxic"])
 
     # rows with equal features are one; a round's counts of the rows not yet explained are two numbers for each candidate at most
@@ -232,20 +309,21 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return {"grams": grams, "odds": odds, "none": math.log((n[1] + 0.5) / (n[0] + 0.5))}
 
 
-class _Weights(dict):
+class _Weights(_Cached):
     """Which chosen tokens a raw token restores to."""
 
     def __init__(self, channel: Channel, odds: dict[str, float]):
-        super().__init__()
-        self.channel, self.odds = channel, odds
+        # a word has no chosen feature unless one begins as it does: the shortest beginning has four letters
+        heads, none = {f[:4] for f in odds}, frozenset()
 
-    def __missing__(self, token: str) -> frozenset:
-        found = frozenset(f for w in _restored(token, self.channel) for f in features(w) if f in self.odds)
-        if len(token) < 64:
-            if len(self) > MAX_CACHED:
-                self.clear()
-            self[token] = found
-        return found
+        def find(token: str) -> frozenset:
+            word = simple(token)
+            if word is not None and word[:4] not in heads:
+                return none
+            words = (word,) if word is not None else _restored(token, channel)
+            return frozenset(f for w in words if w[:4] in heads for f in features(w) if f in odds)
+
+        super().__init__(find)
 
 
 def with_toxicity(df: DataFrame, model: dict, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -119,3 +119,30 @@ def test_learns_from_all_labelled_rows(spark, monkeypatch):
     toxic, held = sum(map(bad, ids)), sum("zuckbad" in text(i) for i in ids)
     assert model["odds"]["zuckbad"] == pytest.approx(math.log((held + 0.5) / (toxic + 1)) - math.log(0.5 / (len(ids) - toxic + 1)))
     assert model["grams"]["uckb"] == held
+
+
+def test_texts_meet_labels_without_a_shuffle(spark, monkeypatch):
+    """The labels of dense numbers are broadcast as bits; what that gives is what a join gives, for odd numbers too."""
+    ids = [*range(-70, 70), 32767, 32768, 32769, -32768, -32769, 65536, 2**62, -(2**62)]
+    docs = spark.createDataFrame([(i, f"text {i}") for i in ids] + [(5, "again 5"), (None, "none")], "id long, text string")
+    usable = spark.createDataFrame([(i, int(i % 3 == 0)) for i in ids if i % 2] + [(5, 1), (32768, 0), (999, 1)], "id long, toxic int")
+    got = toxicity._labelled(docs, usable)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+    monkeypatch.setattr(toxicity, "MAX_BITMAPS", 0)
+    joined = toxicity._labelled(docs, usable)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, joined.collect())) and got.count() > 70
+
+
+def test_simple_tokens_are_plain_ones():
+    """Tokens that pass for simple are those that the expressions leave alone."""
+    import random
+
+    rng, seen = random.Random(3), 0
+    for _ in range(40_000):
+        token = "".join(rng.choice("aabBc1!.,_-($@|+'\u20ac\xe9") for _ in range(rng.randint(1, 6)))
+        word = toxicity.simple(token)
+        if word is not None:
+            seen += 1
+            assert word == toxicity.plain(token) and not toxicity._ODD.search(token) and not toxicity._ODD.search(word)
+    assert seen > 1000
