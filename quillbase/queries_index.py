@@ -244,15 +244,15 @@ def t02_timed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions from a stream whose later turns come first."""
     root = folder(spark, "timed-sessions")
     c = read(spark, sf_dir, "conversations")
-    for part in (c.where("turn % 2 = 1"), c.where("turn % 2 = 0")):
-        part.write.mode("append").parquet(f"{root}/in")
-    source = spark.readStream.schema(c.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
     key, before = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
         put = lambda df, n: df.write.mode("overwrite").parquet(f"{root}/rows/batch={n}")
-        out = timed.stream(conversation_events(source), late="3650 days")
-        out.writeStream.outputMode("update").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
+        # a batch for each part, however many files it has; the second goes on from the first one's states
+        for part in (c.where("turn % 2 = 1"), c.where("turn % 2 = 0")):
+            part.write.mode("append").parquet(f"{root}/in")
+            out = timed.stream(conversation_events(spark.readStream.schema(c.schema).parquet(f"{root}/in")), late="3650 days")
+            out.writeStream.outputMode("update").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
     finally:
         spark.conf.set(key, before)
     last = spark.read.parquet(f"{root}/rows").groupBy("session_id").agg(F.max_by(F.struct("file", "prompts", "turns"), "batch").alias("r"))

@@ -71,3 +71,10 @@ def test_states_leave_and_streams_begin_with_a_rollup(rocks, tmp_path):
     # by then the watermark has passed all of January: only the newest session is left
     assert q.lastProgress["stateOperators"][0]["customMetrics"].get("numRegisteredTimers", 0) >= 0
     assert {r[0] for r in got} >= {"z"}
+
+
+def test_states_come_with_their_events(spark):
+    """A stream that begins with nothing doesn't call the state's server for each session."""
+    src = spark.readStream.format("rate").load().select(F.lit("s").alias("session_id"), F.col("value").alias("seq"), F.col("timestamp").alias("ts"), *[F.lit("").alias(c) for c in ("hook_event_name", "prompt", "text", "tool_name", "command", "file_path")])
+    plan = timed.stream(src)._jdf.queryExecution().analyzed().toString()
+    assert "FlatMapGroupsInPandasWithState" in plan and "TransformWithState" not in plan
