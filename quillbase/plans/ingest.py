@@ -36,7 +36,7 @@ def fetched(web: DataFrame, stored: DataFrame, now: Column, config: KBConfig | N
         F.when(~F.col("allowed"), "robots_disallowed").when(route == "reject", "unsupported_content_type").when(route == "pdf", "dispatched_to_pdf").when(never, "skipped_never").when(fresh, "skipped_within_refresh"),
     )
     # pages that an earlier step decides aren't parsed
-    read = src.withColumn("early", early).withColumn("a", html.article(F.when(F.col("early").isNull(), F.col("html"))))
+    read = src.withColumn("early", early).withColumn("a", html.article(F.when(F.col("early").isNull(), F.col("html")), "title", "markdown", "needs_fallback"))
     markdown = text.mask(F.col("a.markdown"))
     read = read.withColumn("markdown", F.when(F.col("early").isNull(), markdown))
     read = read.withColumn("source_sha256", F.when(F.col("early").isNull(), F.sha2(F.col("markdown").cast("binary"), 256)))

@@ -411,8 +411,11 @@ def f06_fetch_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def x20_ingest_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page read, masked and hashed, with nothing in store yet."""
-    web = read(spark, sf_dir, "pages").select("url", "html", F.lit("text/html").alias("content_type"), F.lit(False).alias("truncated"))
-    none = spark.createDataFrame([], "name string, source_sha256 string, refresh_days string, fetched_at string")
+    # a file can be one row group, thus one task, however many pages it has; parsing is what costs, so pages are dealt out evenly
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    web = read(spark, sf_dir, "pages").repartition(tasks, "page_id").select("url", "html", F.lit("text/html").alias("content_type"), F.lit(False).alias("truncated"))
+    # a relation that Spark knows to be empty: the size of an RDD's isn't known, and a join with it shuffles and sorts all pages
+    none = spark.sql("SELECT '' AS name, '' AS source_sha256, '' AS refresh_days, '' AS fetched_at WHERE false")
     return ingest.fetched(web, none, F.lit(NOW).cast("timestamp"))
 
 

@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillbase import kb as K
-from quillbase.functions import urls
+from quillbase import queries
+from quillbase.functions import html, text, urls
 from quillbase.plans import ingest, views
 
 AT = dt.datetime(2024, 6, 10)
@@ -25,6 +26,22 @@ def test_fetched(spark):
     assert text.startswith('---\ntitle: ""\nsource_type: "url"\nsource_url: "https://a.com/new"\nsource_sha256: "')
 
 
+def test_ingest_pages_cost(spark, sf):
+    """A store that is empty joins nothing; pages are dealt out even from one row group; a page's text is computed once."""
+    df = queries.QUERIES["x20_ingest_pages"](spark, sf)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+    assert plan.count(text.INVISIBLE) <= 3  # 25 where each head of a rule names the text again
+    assert df.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+    assert {r.status for r in df.select("status").distinct().collect()} <= {"fetched_and_summarized_pending", "extraction_failed"} and df.count() == queries.read(spark, sf, "pages").count()
+
+
+def test_article_fields(spark):
+    df = spark.createDataFrame([(LONG,), (None,)], "h string").select(html.article(F.col("h")).alias("a"), html.article(F.col("h"), "needs_fallback", "markdown").alias("b"))
+    assert df.schema["b"].dataType.names == ["markdown", "needs_fallback"]
+    assert all(r.a.markdown == r.b.markdown and r.a.needs_fallback == r.b.needs_fallback for r in df.collect())
+
+
 def test_page_chunks(spark):
     texts = [("papers/a.pdf", n, f"page {n} token=abc") for n in range(1, 43)] + [("papers/b.pdf", 1, " \n")] + [("papers/c.pdf", 1, "x")]
     docs = [("papers/a.pdf", "s", "Document1", False), ("papers/b.pdf", "s", "T", False), ("papers/c.pdf", "s", "T", True)]
